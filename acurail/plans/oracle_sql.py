@@ -298,3 +298,96 @@ FROM (
   SELECT 'true' AS kind, CAST(triage_acuity AS INT) AS acuity, count(*) AS n FROM encounters GROUP BY 1, 2
   UNION ALL
   SELECT 'predicted', final_acuity, count(*) FROM dec GROUP BY 1, 2) t"""))
+
+
+# ---------------------------------------------------------------- features
+def _flag_sql(v: dict) -> str:
+    specs = [("flag_hypotension", f"{v['sbp']} < 90"), ("flag_hypertension", f"{v['sbp']} > 180"),
+             ("flag_tachycardia", f"{v['hr']} > 100"), ("flag_bradycardia", f"{v['hr']} < 60"),
+             ("flag_tachypnea", f"{v['rr']} > 20"), ("flag_bradypnea", f"{v['rr']} < 12"),
+             ("flag_fever", f"{v['tc']} > 38.3"), ("flag_hypothermia", f"{v['tc']} < 35.0"),
+             ("flag_hypoxia", f"{v['sp']} < 94"), ("flag_severe_pain", f"{v['pain']} >= 7"),
+             ("flag_low_gcs", f"{v['gcs']} < 14"), ("flag_critical_gcs", f"{v['gcs']} <= 8")]
+    return ", ".join(f"CAST(coalesce({p}, false) AS INT) AS {n}" for n, p in specs)
+
+
+_RAW = dict(sbp="systolic_bp", hr="heart_rate", rr="respiratory_rate", tc="temperature_c", sp="spo2",
+            pain="pain_score", gcs="gcs_total")
+_HX_SUM = "coalesce(hx_heart_failure, 0) + coalesce(hx_copd, 0) + coalesce(hx_dementia, 0) + coalesce(hx_hypertension, 0)"
+_HX_HIGH = "coalesce(hx_heart_failure, 0) + coalesce(hx_copd, 0) + coalesce(hx_dementia, 0)"
+
+register("clinical_flags", with_encounters(f"SELECT patient_id, {_flag_sql(_RAW)} FROM encounters"))
+
+register("history_burden", with_encounters(f"""
+SELECT patient_id, CAST({_HX_SUM} AS INT) AS hx_total_burden, CAST(({_HX_HIGH}) > 0 AS INT) AS hx_high_risk_flag
+FROM encounters"""))
+
+register("shock_index", with_encounters(f"""
+SELECT patient_id, CASE WHEN coalesce(systolic_bp, 0) > 0
+  THEN {rnd('coalesce(heart_rate, 0) / systolic_bp', 3)} END AS shock_index FROM encounters"""))
+
+register("clean_target", with_encounters("""
+SELECT patient_id, CAST(trunc(TRY_CAST(triage_acuity_raw AS DOUBLE)) AS INT) AS triage_acuity
+FROM raw_target WHERE TRY_CAST(triage_acuity_raw AS DOUBLE) BETWEEN 1 AND 5""", f"raw_target AS ({RAW_TARGET_SQL})"))
+
+register("dedup_first", with_encounters("""
+SELECT patient_id, chief_complaint_raw, ord FROM (
+  SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY ord, chief_complaint_raw) AS rn FROM complaints) t
+WHERE rn = 1""", f"complaints AS ({COMPLAINTS_SQL})"))
+
+register("training_set", with_encounters(f"""
+SELECT patient_id, CAST(trunc(TRY_CAST(triage_acuity_raw AS DOUBLE)) AS INT) AS triage_acuity, age, sex,
+  mental_status_triage, heart_rate, systolic_bp, diastolic_bp, respiratory_rate, temperature_c, spo2, gcs_total,
+  pain_score, news2_score, chief_complaint_raw, hx_heart_failure, hx_copd, hx_dementia, hx_hypertension,
+  {_flag_sql(_RAW)}, CAST({_HX_SUM} AS INT) AS hx_total_burden, CAST(({_HX_HIGH}) > 0 AS INT) AS hx_high_risk_flag
+FROM (
+  SELECT m.*, rt.triage_acuity_raw, cc.chief_complaint_raw, hx.hx_heart_failure, hx.hx_copd, hx.hx_dementia, hx.hx_hypertension
+  FROM (SELECT patient_id, age, sex, mental_status_triage, heart_rate, systolic_bp, diastolic_bp, respiratory_rate,
+               temperature_c, spo2, gcs_total, pain_score, news2_score FROM encounters) m
+  JOIN raw_target rt USING (patient_id)
+  LEFT JOIN (SELECT patient_id, chief_complaint_raw FROM (
+      SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY ord, chief_complaint_raw) AS rn FROM complaints) t
+    WHERE rn = 1) cc USING (patient_id)
+  LEFT JOIN (SELECT patient_id, hx_heart_failure, hx_copd, hx_dementia, hx_hypertension FROM encounters) hx USING (patient_id)
+) j
+WHERE TRY_CAST(triage_acuity_raw AS DOUBLE) BETWEEN 1 AND 5""",
+    f"raw_target AS ({RAW_TARGET_SQL})", f"complaints AS ({COMPLAINTS_SQL})"))
+
+
+# ---------------------------------------------------------------- profiles
+_PV = ["heart_rate", "systolic_bp", "diastolic_bp", "spo2", "respiratory_rate", "temperature_c",
+       "gcs_total", "pain_score", "news2_score"]
+
+
+def _long(cols: list[str], sel: str) -> str:
+    return " UNION ALL ".join(sel.replace("{c}", c) for c in cols)
+
+
+register("acuity_stats", with_encounters(_long(_PV, f"""
+SELECT CAST(triage_acuity AS INT) AS acuity, '{{c}}' AS "column", {rnd('avg(CAST({c} AS DOUBLE))', 6)} AS mean,
+  {rnd('stddev_samp(CAST({c} AS DOUBLE))', 6)} AS std FROM encounters GROUP BY 1""")))
+
+register("numeric_profile", with_encounters(_long(_PV + ["age"], f"""
+SELECT s.acuity, 'stratum' AS source, '{{c}}' AS "column", CAST(count({{c}}) AS BIGINT) AS n,
+  {rnd('avg(CAST({c} AS DOUBLE))', 6)} AS mean,
+  CASE WHEN stddev_samp(CAST({{c}} AS DOUBLE)) > 0 THEN {rnd('stddev_samp(CAST({c} AS DOUBLE))', 6)} ELSE 0.01 END AS std,
+  {rnd('min(CAST({c} AS DOUBLE))', 6)} AS min, {rnd('max(CAST({c} AS DOUBLE))', 6)} AS max
+FROM (SELECT *, CAST(triage_acuity AS INT) AS acuity FROM encounters) s GROUP BY s.acuity""")))
+
+register("categorical_profile", with_encounters(f"""
+SELECT acuity, "column", value, CAST(n AS BIGINT) AS n, {rnd('n / sum(n) OVER (PARTITION BY acuity, "column")', 6)} AS freq
+FROM (
+  SELECT acuity, "column", value, count(*) AS n FROM (
+    SELECT CAST(triage_acuity AS INT) AS acuity, 'sex' AS "column", sex AS value FROM encounters
+    UNION ALL SELECT CAST(triage_acuity AS INT), 'mental_status_triage', mental_status_triage FROM encounters
+    UNION ALL SELECT CAST(triage_acuity AS INT), 'chief_complaint_raw', chief_complaint_raw FROM encounters) u
+  WHERE value IS NOT NULL GROUP BY 1, 2, 3) c"""))
+
+register("binary_profile", with_encounters(_long(["hx_heart_failure", "hx_copd", "hx_dementia", "hx_hypertension"], f"""
+SELECT CAST(triage_acuity AS INT) AS acuity, '{{c}}' AS "column", {rnd('avg(CAST({c} AS DOUBLE))', 6)} AS rate
+FROM encounters GROUP BY 1""")))
+
+register("column_profile", with_encounters("""
+SELECT "column", value, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT 'sex' AS "column", sex AS value FROM encounters
+  UNION ALL SELECT 'mental_status_triage', mental_status_triage FROM encounters) u GROUP BY 1, 2"""))

@@ -84,3 +84,108 @@ def q_feature_conflicts(spark, sf_dir):
     d = layers.feature_conflicts(layers.resolve_confidence(layers.confidence_states(layers.safety_rails(d))))
     return d.select("patient_id", "original_acuity", "conf_acuity", "final_acuity", "has_feature_conflict",
                     F.to_json("conflict_reasons").alias("conflict_reasons"), "conflict_note")
+
+
+# ---------------------------------------------------------------- features
+from acurail.operators import features, profile  # noqa: E402
+from acurail.operators.features import FLAG_NAMES  # noqa: E402
+
+R6 = 6
+
+
+def _r6(*cols: str) -> dict:
+    return {c: py_round(F.col(c), R6) for c in cols}
+
+
+@query("clinical_flags")
+def q_clinical_flags(spark, sf_dir):
+    d = features.clinical_flags(_enc(spark, sf_dir), only_present=False)
+    return d.select("patient_id", *FLAG_NAMES)
+
+
+@query("history_burden")
+def q_history_burden(spark, sf_dir):
+    d = features.history_burden(_enc(spark, sf_dir), only_present=False)
+    return d.select("patient_id", "hx_total_burden", "hx_high_risk_flag")
+
+
+@query("shock_index")
+def q_shock_index(spark, sf_dir):
+    return features.shock_index(_enc(spark, sf_dir)).select("patient_id", "shock_index")
+
+
+@query("clean_target")
+def q_clean_target(spark, sf_dir):
+    rt = tables.raw_target(_enc(spark, sf_dir))
+    return features.clean_target(rt, source="triage_acuity_raw").select("patient_id", "triage_acuity")
+
+
+@query("dedup_first")
+def q_dedup_first(spark, sf_dir):
+    cc = tables.complaints(_enc(spark, sf_dir))
+    return features.dedup_first(cc, "patient_id", ["ord", "chief_complaint_raw"]).select(
+        "patient_id", "chief_complaint_raw", "ord")
+
+
+def training_frame(spark, sf_dir) -> DataFrame:
+    enc = _enc(spark, sf_dir)
+    return features.training_set(tables.training_main(enc), tables.complaints(enc), tables.history(enc))
+
+
+TRAINING_COLUMNS = [
+    "patient_id", "triage_acuity", "age", "sex", "mental_status_triage", "heart_rate", "systolic_bp",
+    "diastolic_bp", "respiratory_rate", "temperature_c", "spo2", "gcs_total", "pain_score", "news2_score",
+    "chief_complaint_raw", "hx_heart_failure", "hx_copd", "hx_dementia", "hx_hypertension",
+    *FLAG_NAMES, "hx_total_burden", "hx_high_risk_flag",
+]
+
+
+@query("training_set")
+def q_training_set(spark, sf_dir):
+    return training_frame(spark, sf_dir).select(*TRAINING_COLUMNS)
+
+
+# ---------------------------------------------------------------- profiles
+PROFILE_NUMERIC = ["heart_rate", "systolic_bp", "diastolic_bp", "spo2", "respiratory_rate",
+                   "temperature_c", "gcs_total", "pain_score", "news2_score"]
+
+
+@query("class_distribution")
+def q_class_distribution(spark, sf_dir):
+    enc = _enc(spark, sf_dir)
+    true = profile.class_distribution(enc, "triage_acuity", kind="true")
+    pred = profile.class_distribution(layers.decisions(enc), "predicted_acuity", kind="predicted")
+    return true.unionByName(pred).select("kind", "acuity", "n", py_round(F.col("pct"), R6).alias("pct"))
+
+
+@query("acuity_stats")
+def q_acuity_stats(spark, sf_dir):
+    return profile.stratum_stats(_enc(spark, sf_dir), PROFILE_NUMERIC).withColumns(_r6("mean", "std"))
+
+
+@query("acuity_stats_json")
+def q_acuity_stats_json(spark, sf_dir):
+    return profile.stratum_stats_json(_enc(spark, sf_dir), PROFILE_NUMERIC)
+
+
+@query("numeric_profile")
+def q_numeric_profile(spark, sf_dir):
+    return profile.numeric_profile(spark, _enc(spark, sf_dir), PROFILE_NUMERIC + ["age"]) \
+        .withColumns(_r6("mean", "std", "min", "max"))
+
+
+@query("categorical_profile")
+def q_categorical_profile(spark, sf_dir):
+    return profile.categorical_profile(_enc(spark, sf_dir), ["sex", "mental_status_triage", "chief_complaint_raw"]) \
+        .withColumns(_r6("freq"))
+
+
+@query("binary_profile")
+def q_binary_profile(spark, sf_dir):
+    enc = _enc(spark, sf_dir)
+    return profile.binary_profile(enc, [c for c in enc.columns if c.startswith("hx_")]).withColumns(_r6("rate"))
+
+
+@query("column_profile")
+def q_column_profile(spark, sf_dir):
+    return profile.column_profile(_enc(spark, sf_dir), ["sex", "mental_status_triage"])

@@ -153,3 +153,22 @@ def clinician_actions(enc: DataFrame) -> DataFrame:
         F.when(eid % 5 == 0, (1 + (eid * 7) % 5).cast("int")).alias("override_acuity"),
         F.when(eid % 25 == 0, "  ").when(eid % 5 == 0, "clinical judgement").alias("override_reason"),
     )
+
+
+def training_main(enc: DataFrame) -> DataFrame:
+    """Main encounter table of the training job: raw text target plus vitals and
+    demographics (history and complaint live in their own tables)."""
+    eid = F.col("event_id")
+    raw = (F.when(eid % 37 == 0, "x").when(eid % 41 == 0, "7").when(eid % 43 == 0, "2.5")
+           .when(eid % 47 == 0, F.lit(None).cast("string"))
+           .otherwise(F.col("triage_acuity").cast("string")))
+    return enc.select(
+        "patient_id", raw.alias("triage_acuity"), "age", "sex", "mental_status_triage",
+        "heart_rate", "systolic_bp", "diastolic_bp", "respiratory_rate", "temperature_c", "spo2",
+        "gcs_total", "pain_score", "news2_score",
+    )
+
+
+def history(enc: DataFrame) -> DataFrame:
+    """History side table: ``patient_id`` plus the ``hx_*`` flags."""
+    return enc.select("patient_id", *[c for c in enc.columns if c.startswith("hx_")])
