@@ -60,14 +60,21 @@ def acuity_lookup(c: Column, mapping: Mapping[int, str], default: Column | None
     return expr.otherwise(default if default is not None else c.cast("string"))
 
 
+def _indexed(c: Column, mapping: Mapping[int, str], default: Column) -> Column:
+    """Lookup for keys 1..5 with a single reference to ``c`` (keeps plans small
+    when ``c`` is a deep expression that Catalyst may inline)."""
+    arr = F.array(*[F.lit(mapping[k]) for k in sorted(mapping)])
+    return F.coalesce(F.try_element_at(arr, c.cast("int")), default)
+
+
 def label_of(c: Column) -> Column:
     from acurail.constants import ACUITY_LABELS
-    return acuity_lookup(c, ACUITY_LABELS)
+    return _indexed(c, ACUITY_LABELS, c.cast("string"))
 
 
 def color_of(c: Column) -> Column:
     from acurail.constants import ACUITY_COLORS
-    return acuity_lookup(c, ACUITY_COLORS, F.lit("#888888"))
+    return _indexed(c, ACUITY_COLORS, F.lit("#888888"))
 
 
 def join_nonnull(arr: Column, sep: str) -> Column:

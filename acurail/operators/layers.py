@@ -144,8 +144,11 @@ def resolve_confidence(df: DataFrame, current: str = "rail_acuity") -> DataFrame
     c1, c2 = F.col("_c1"), F.col("_c2")
     conservative = F.least(c1, c2)
     low_esc = F.greatest(F.lit(1), cur - 1)
-    acuity = (F.when((st == "AMBIGUOUS") & (conservative < cur), conservative)
-              .when(st == "LOW", low_esc).otherwise(cur))
+    # One reference to the current class: LOW steps down by one (not below 1),
+    # AMBIGUOUS takes the more severe of the top two when that is lower.
+    acuity = F.greatest(F.lit(1), F.least(
+        cur - F.when(st == "LOW", 1).otherwise(0),
+        F.when(st == "AMBIGUOUS", conservative).otherwise(F.lit(99))))
     g3 = fmt_fixed(F.col("_gap"), 3)
     s1p, s2p = fmt_fixed(F.col("_s1") * 100, 1), fmt_fixed(F.col("_s2") * 100, 1)
     note = (
@@ -181,7 +184,7 @@ def feature_conflicts(df: DataFrame, current: str = "conf_acuity") -> DataFrame:
     out = df.withColumn("_conflicts", hits)
     cur = F.col(current)
     has = F.size("_conflicts") > 0
-    floor = F.array_min(F.transform("_conflicts", lambda x: x["floor"]))
+    floor = F.coalesce(F.array_min(F.transform("_conflicts", lambda x: x["floor"])), F.lit(99))
     escalate_to = F.least(cur, floor)
     reasons = F.transform("_conflicts", lambda x: x["reason"])
     joined = F.array_join(reasons, " | ")
@@ -190,7 +193,7 @@ def feature_conflicts(df: DataFrame, current: str = "conf_acuity") -> DataFrame:
         "has_feature_conflict": has,
         "conflict_reasons": reasons,
         "conflict_codes": F.transform("_conflicts", lambda x: x["code"]),
-        "final_acuity": F.when(has, escalate_to).otherwise(cur).cast("int"),
+        "final_acuity": escalate_to.cast("int"),
         "conflict_review": escalated,
         "conflict_note": F.when(escalated, F.concat(
             F.lit("CONFLICT escalated KTAS-"), orig.cast("string"), F.lit(" → KTAS-"),

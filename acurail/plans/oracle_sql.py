@@ -391,3 +391,119 @@ register("column_profile", with_encounters("""
 SELECT "column", value, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT 'sex' AS "column", sex AS value FROM encounters
   UNION ALL SELECT 'mental_status_triage', mental_status_triage FROM encounters) u GROUP BY 1, 2"""))
+
+
+# ---------------------------------------------------------------- metrics
+MSG_CTES = (
+    f"messages AS ({MESSAGES_SQL})",
+    """msgs AS (
+  SELECT m.run_id, m.patient_id, m.produced_at, m.consumer_received_at, m.ml_done_at, m.safety_done_at,
+    (m.consumer_received_at - m.produced_at) * 1000 AS kafka_transit_ms,
+    (m.ml_done_at - m.consumer_received_at) * 1000 AS ml_inference_ms,
+    (m.safety_done_at - m.ml_done_at) * 1000 AS safety_pipeline_ms,
+    (m.safety_done_at - m.produced_at) * 1000 AS e2e_ms,
+    CAST(d.trig AS INT) AS safety_rail_triggered, CAST(d.triage_acuity AS INT) AS true_acuity,
+    d.final_acuity AS predicted_acuity, x.explained_at,
+    CASE WHEN x.explained_at IS NOT NULL THEN (x.explained_at - coalesce(x.enrichment_requested_at, m.safety_done_at)) * 1000 END AS llm_ms
+  FROM messages m JOIN dec d USING (patient_id)
+  LEFT JOIN (SELECT patient_id, arg_min(explained_at, explained_at) AS explained_at,
+                    arg_min(enrichment_requested_at, explained_at) AS enrichment_requested_at
+             FROM messages WHERE explained_at IS NOT NULL GROUP BY patient_id) x USING (patient_id))""",
+)
+
+
+def _q(x: str, q: float) -> str:
+    return rnd(f"quantile_cont({x}, {q})", 6)
+
+
+RUN_SUMMARY_SQL = f"""
+SELECT run_id, CAST(count(*) AS BIGINT) AS message_count,
+  {rnd("max(CASE WHEN safety_done_at <> 0 THEN safety_done_at END) - min(CASE WHEN produced_at <> 0 THEN produced_at END)", 6)} AS duration_secs,
+  {rnd("count(*) / nullif(max(CASE WHEN safety_done_at <> 0 THEN safety_done_at END) - min(CASE WHEN produced_at <> 0 THEN produced_at END), 0)", 6)} AS throughput_msg_sec,
+  {rnd("avg(CAST(safety_rail_triggered AS DOUBLE))", 6)} AS rail_hit_rate,
+  {_q('e2e_ms', 0.5)} AS p50_e2e_ms, {_q('e2e_ms', 0.95)} AS p95_e2e_ms,
+  {_q('kafka_transit_ms', 0.5)} AS p50_kafka_ms, {_q('kafka_transit_ms', 0.95)} AS p95_kafka_ms,
+  {_q('ml_inference_ms', 0.5)} AS p50_ml_ms, {_q('ml_inference_ms', 0.95)} AS p95_ml_ms,
+  {_q('safety_pipeline_ms', 0.5)} AS p50_safety_ms, {_q('safety_pipeline_ms', 0.95)} AS p95_safety_ms,
+  {_q('llm_ms', 0.5)} AS p50_llm_ms, {_q('llm_ms', 0.95)} AS p95_llm_ms,
+  min(CASE WHEN produced_at <> 0 THEN produced_at END) AS t0, avg(CAST(safety_rail_triggered AS DOUBLE)) AS rail_raw
+FROM msgs GROUP BY run_id"""
+
+register("latency_segments", with_decisions(f"""
+SELECT run_id, patient_id, {rnd('kafka_transit_ms', 6)} AS kafka_transit_ms, {rnd('ml_inference_ms', 6)} AS ml_inference_ms,
+  {rnd('safety_pipeline_ms', 6)} AS safety_pipeline_ms, {rnd('e2e_ms', 6)} AS e2e_ms, {rnd('llm_ms', 6)} AS llm_ms,
+  safety_rail_triggered, true_acuity, predicted_acuity FROM msgs""", *MSG_CTES))
+
+register("llm_segments", with_decisions(f"""
+SELECT patient_id, run_id, {rnd('explained_at', 6)} AS explained_at, {rnd('llm_ms', 6)} AS llm_ms
+FROM msgs WHERE explained_at IS NOT NULL""", *MSG_CTES))
+
+register("run_summary", with_decisions(
+    "SELECT * EXCLUDE (t0, rail_raw) FROM rs", *MSG_CTES, f"rs AS ({RUN_SUMMARY_SQL})"))
+
+register("run_comparison", with_decisions("""
+SELECT run_id, strftime(make_timestamp(CAST(round(t0 * 1000000) AS BIGINT)), '%Y-%m-%d %H:%M') AS started,
+  message_count AS messages, duration_secs AS duration_s, throughput_msg_sec AS throughput,
+  p50_e2e_ms, p95_e2e_ms, p50_kafka_ms, p50_ml_ms, p50_safety_ms,
+  CAST(format('{:.6f}', rail_raw * 100) AS DOUBLE) AS rail_hit_pct
+FROM rs""", *MSG_CTES, f"rs AS ({RUN_SUMMARY_SQL})"))
+
+register("latest_run", with_decisions(
+    "SELECT arg_max(run_id, t0) AS run_id FROM rs", *MSG_CTES, f"rs AS ({RUN_SUMMARY_SQL})"))
+
+register("message_sequence", with_decisions("""
+SELECT run_id, patient_id, row_number() OVER (PARTITION BY run_id ORDER BY produced_at, patient_id) AS seq
+FROM msgs""", *MSG_CTES))
+
+register("running_accuracy", with_decisions(f"""
+SELECT run_id, patient_id, seq, hit, {rnd('running_hit / seq', 6)} AS running_accuracy FROM (
+  SELECT run_id, patient_id, hit,
+    row_number() OVER w AS seq, sum(hit) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_hit
+  FROM (SELECT *, CAST(coalesce(true_acuity = predicted_acuity, false) AS INT) AS hit FROM msgs) h
+  WINDOW w AS (PARTITION BY run_id ORDER BY produced_at, patient_id)) t""", *MSG_CTES))
+
+register("latency_points", with_decisions(f"""
+SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY produced_at, patient_id) AS seq, patient_id,
+  {rnd('e2e_ms', 6)} AS e2e_ms,
+  CASE WHEN safety_rail_triggered <> 0 THEN 'Rail fired' ELSE 'No rail' END AS rail,
+  CASE WHEN coalesce(predicted_acuity, 0) <> 0 THEN 'KTAS-' || predicted_acuity ELSE 'Unknown' END AS ktas,
+  CASE WHEN coalesce(predicted_acuity, 0) <> 0 THEN coalesce({_color('predicted_acuity')}, '#888') ELSE '#888' END AS color
+FROM msgs""", *MSG_CTES))
+
+register("recent_records", with_decisions(f"""
+SELECT patient_id, run_id, {rnd('produced_at', 6)} AS produced_at, predicted_acuity, safety_rail_triggered
+FROM msgs ORDER BY produced_at DESC, patient_id LIMIT 100""", *MSG_CTES))
+
+register("pipeline_counters", with_decisions(f"""
+SELECT processed, correct, rail_hits, conf_hits, conflict_hits,
+  {rnd('correct * 100.0 / processed', 6)} AS correct_pct, {rnd('rail_hits * 100.0 / processed', 6)} AS rail_hits_pct,
+  {rnd('conf_hits * 100.0 / processed', 6)} AS conf_hits_pct, {rnd('conflict_hits * 100.0 / processed', 6)} AS conflict_hits_pct
+FROM (SELECT CAST(count(*) AS BIGINT) AS processed,
+  CAST(count(*) FILTER (WHERE triage_acuity = final_acuity) AS BIGINT) AS correct,
+  CAST(count(*) FILTER (WHERE trig) AS BIGINT) AS rail_hits,
+  CAST(count(*) FILTER (WHERE cstate IN ('AMBIGUOUS', 'LOW')) AS BIGINT) AS conf_hits,
+  CAST(count(*) FILTER (WHERE has_conflict) AS BIGINT) AS conflict_hits FROM dec) a"""))
+
+register("layer_impact", with_decisions(f"""
+SELECT total, correct_raw, correct_final, rail_hits, conf_hits, conflict_hits, escalations, requires_review,
+  {rnd('correct_raw * 100.0 / total', 6)} AS raw_accuracy_pct, {rnd('correct_final * 100.0 / total', 6)} AS final_accuracy_pct,
+  {rnd('(correct_final - correct_raw) * 100.0 / total', 6)} AS accuracy_delta_pct
+FROM (SELECT CAST(count(*) AS BIGINT) AS total,
+  CAST(count(*) FILTER (WHERE triage_acuity = orig) AS BIGINT) AS correct_raw,
+  CAST(count(*) FILTER (WHERE triage_acuity = final_acuity) AS BIGINT) AS correct_final,
+  CAST(count(*) FILTER (WHERE trig) AS BIGINT) AS rail_hits,
+  CAST(count(*) FILTER (WHERE cstate IN ('AMBIGUOUS', 'LOW')) AS BIGINT) AS conf_hits,
+  CAST(count(*) FILTER (WHERE has_conflict) AS BIGINT) AS conflict_hits,
+  CAST(count(*) FILTER (WHERE orig <> final_acuity) AS BIGINT) AS escalations,
+  CAST(count(*) FILTER (WHERE review) AS BIGINT) AS requires_review FROM dec) a"""))
+
+register("layer_breakdowns", with_decisions("""
+SELECT 'confidence_state' AS breakdown, cstate AS key, CAST(count(*) AS BIGINT) AS n FROM dec GROUP BY cstate
+UNION ALL
+(SELECT 'acuity_transition', 'KTAS-' || orig || '→KTAS-' || final_acuity AS key, CAST(count(*) AS BIGINT) AS n
+ FROM dec WHERE orig <> final_acuity GROUP BY 2 ORDER BY n DESC, key LIMIT 10)
+UNION ALL
+(SELECT 'rail_reason', array_to_string(regexp_split_to_array(trim(r), '\\s+')[1:3], ' ') AS key, CAST(count(*) AS BIGINT) AS n
+ FROM (SELECT unnest(rail_list) AS r FROM dec WHERE trig) u GROUP BY 2 ORDER BY n DESC, key LIMIT 8)
+UNION ALL
+SELECT 'conflict_type', substr(c, 1, 3), CAST(count(*) AS BIGINT) FROM (SELECT unnest(conflict_list) AS c FROM dec WHERE has_conflict) u GROUP BY 2"""))

@@ -30,9 +30,24 @@ def _enc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.encounters(spark, sf_dir)
 
 
-def decided(spark: SparkSession, sf_dir: str, keep_input: bool = True) -> DataFrame:
-    """Decisions over the whole encounter view (row-local, no shuffle)."""
-    return layers.decisions(_enc(spark, sf_dir), keep_input=keep_input)
+def decided(spark: SparkSession, sf_dir: str, keep_input: bool = True, materialize: bool = True) -> DataFrame:
+    """Decisions over the whole encounter view (row-local, no shuffle).
+
+    Reports read decisions as a materialized stage (in production: the
+    decision sink). ``materialize`` checkpoints them into
+    ``spark.checkpoint.dir``: it cuts the lineage, computes the rule layers
+    once for reports that branch several times, and keeps filters on
+    decision columns from being pushed (and inlined) through the whole rule
+    tree by the optimizer.
+    """
+    d = layers.decisions(_enc(spark, sf_dir), keep_input=keep_input)
+    return materialized(d) if materialize else d
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    from acurail.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def _json(*cols: str) -> dict:
@@ -41,7 +56,7 @@ def _json(*cols: str) -> dict:
 
 @query("decisions")
 def q_decisions(spark, sf_dir):
-    d = decided(spark, sf_dir)
+    d = decided(spark, sf_dir, materialize=False)
     return d.select(
         "patient_id", "run_id", "original_acuity", "predicted_acuity", "true_acuity", "label", "color",
         "confidence", "confidence_pct", "confidence_state", "confidence_gap", "confidence_top2_acuity",
@@ -154,7 +169,7 @@ PROFILE_NUMERIC = ["heart_rate", "systolic_bp", "diastolic_bp", "spo2", "respira
 def q_class_distribution(spark, sf_dir):
     enc = _enc(spark, sf_dir)
     true = profile.class_distribution(enc, "triage_acuity", kind="true")
-    pred = profile.class_distribution(layers.decisions(enc), "predicted_acuity", kind="predicted")
+    pred = profile.class_distribution(decided(spark, sf_dir), "predicted_acuity", kind="predicted")
     return true.unionByName(pred).select("kind", "acuity", "n", py_round(F.col("pct"), R6).alias("pct"))
 
 
@@ -189,3 +204,87 @@ def q_binary_profile(spark, sf_dir):
 @query("column_profile")
 def q_column_profile(spark, sf_dir):
     return profile.column_profile(_enc(spark, sf_dir), ["sex", "mental_status_triage"])
+
+
+# ---------------------------------------------------------------- metrics
+from acurail.operators import metrics  # noqa: E402
+
+
+def message_table(spark, sf_dir) -> DataFrame:
+    """Messages: decisions + stage timestamps, with the LLM segment closed (A9 + A12)."""
+    enc = _enc(spark, sf_dir)
+    d = tables.message_times(decided(spark, sf_dir))
+    return metrics.close_llm_segment(metrics.message_rows(d), tables.explanation_events(enc))
+
+
+def _round_doubles(df: DataFrame) -> DataFrame:
+    return df.withColumns({f.name: py_round(F.col(f.name), R6) for f in df.schema.fields
+                           if f.dataType.typeName() == "double"})
+
+
+@query("latency_segments")
+def q_latency_segments(spark, sf_dir):
+    m = message_table(spark, sf_dir)
+    return _round_doubles(m.select("run_id", "patient_id", "kafka_transit_ms", "ml_inference_ms",
+                                   "safety_pipeline_ms", "e2e_ms", "llm_ms", "safety_rail_triggered",
+                                   "true_acuity", "predicted_acuity"))
+
+
+@query("llm_segments")
+def q_llm_segments(spark, sf_dir):
+    m = message_table(spark, sf_dir).filter(F.col("explained_at").isNotNull())
+    return _round_doubles(m.select("patient_id", "run_id", "explained_at", "llm_ms"))
+
+
+@query("run_summary")
+def q_run_summary(spark, sf_dir):
+    s = metrics.run_summary(message_table(spark, sf_dir))
+    return _round_doubles(s.drop("started_at"))
+
+
+@query("run_comparison")
+def q_run_comparison(spark, sf_dir):
+    return _round_doubles(metrics.run_comparison(metrics.run_summary(message_table(spark, sf_dir))))
+
+
+@query("latest_run")
+def q_latest_run(spark, sf_dir):
+    return metrics.latest_run(metrics.run_summary(message_table(spark, sf_dir), exact=False))
+
+
+@query("message_sequence")
+def q_message_sequence(spark, sf_dir):
+    return metrics.message_sequence(message_table(spark, sf_dir)).select("run_id", "patient_id", "seq")
+
+
+@query("running_accuracy")
+def q_running_accuracy(spark, sf_dir):
+    r = metrics.running_accuracy(message_table(spark, sf_dir))
+    return _round_doubles(r.select("run_id", "patient_id", "seq", "hit", "running_accuracy"))
+
+
+@query("latency_points")
+def q_latency_points(spark, sf_dir):
+    return _round_doubles(metrics.latency_points(message_table(spark, sf_dir)))
+
+
+@query("recent_records")
+def q_recent_records(spark, sf_dir):
+    m = message_table(spark, sf_dir).select("patient_id", "run_id", "produced_at", "predicted_acuity",
+                                            "safety_rail_triggered")
+    return _round_doubles(metrics.recent_records(m, 100))
+
+
+@query("pipeline_counters")
+def q_pipeline_counters(spark, sf_dir):
+    return _round_doubles(metrics.pipeline_counters(decided(spark, sf_dir)))
+
+
+@query("layer_impact")
+def q_layer_impact(spark, sf_dir):
+    return _round_doubles(metrics.layer_impact(decided(spark, sf_dir)))
+
+
+@query("layer_breakdowns")
+def q_layer_breakdowns(spark, sf_dir):
+    return metrics.layer_breakdowns(decided(spark, sf_dir))

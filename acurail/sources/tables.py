@@ -105,24 +105,46 @@ def encounters(spark: SparkSession, sf_dir: str, events: DataFrame | None = None
     )
 
 
-def messages(enc: DataFrame) -> DataFrame:
-    """Per-message timestamps (epoch seconds) of the streaming run, FIXTURES.md section 2."""
-    t0 = F.col("event_id") * 1500 + (F.col("event_id") * 7) % 400
-    t1 = t0 + 50 + (F.col("event_id") * 13) % 260
-    t2 = t1 + 20 + (F.col("event_id") * 29) % 45
-    t3 = t2 + (F.col("event_id") * 31) % 3
+def _stage_ms() -> tuple:
     eid = F.col("event_id")
-    return enc.select(
-        "patient_id", "run_id", "event_id",
-        (t0.cast("double") / 1000).alias("produced_at"),
-        (t1.cast("double") / 1000).alias("consumer_received_at"),
-        (t2.cast("double") / 1000).alias("ml_done_at"),
-        (t3.cast("double") / 1000).alias("safety_done_at"),
-        F.when((eid % 3 == 0) & (eid % 6 != 0), (t3 + 2).cast("double") / 1000).alias("enrichment_requested_at"),
-        F.when(eid % 3 == 0, (t3 + 502 + (eid * 37) % 1500).cast("double") / 1000).alias("explained_at"),
+    t0 = eid * 1500 + (eid * 7) % 400
+    t1 = t0 + 50 + (eid * 13) % 260
+    t2 = t1 + 20 + (eid * 29) % 45
+    t3 = t2 + (eid * 31) % 3
+    return t0, t1, t2, t3
+
+
+def message_times(df: DataFrame) -> DataFrame:
+    """Add the per-message stage timestamps (epoch seconds), FIXTURES.md section 2.
+
+    Row-local: applied to any frame that carries ``event_id`` (for example
+    the decisions), so the message table needs no join back to encounters.
+    """
+    t0, t1, t2, t3 = _stage_ms()
+    return df.withColumns({
+        "produced_at": t0.cast("double") / 1000,
+        "consumer_received_at": t1.cast("double") / 1000,
+        "ml_done_at": t2.cast("double") / 1000,
+        "safety_done_at": t3.cast("double") / 1000,
+    })
+
+
+def explanation_events(enc: DataFrame) -> DataFrame:
+    """Enrichment arrivals: one explanation for 1 in 3 patients, half without a request time."""
+    eid = F.col("event_id")
+    t3ms = _stage_ms()[3]
+    return enc.filter(eid % 3 == 0).select(
+        "patient_id",
+        F.when(eid % 6 != 0, (t3ms + 2).cast("double") / 1000).alias("enrichment_requested_at"),
+        ((t3ms + 502 + (eid * 37) % 1500).cast("double") / 1000).alias("explained_at"),
     )
 
 
+def messages(enc: DataFrame) -> DataFrame:
+    """Message timestamps view over encounters (FIXTURES.md section 2)."""
+    return message_times(enc.select("patient_id", "run_id", "event_id"))
+
+
 def complaints(enc: DataFrame) -> DataFrame:
     """Complaint side table with duplicate and missing keys."""
     first = enc.filter(F.col("event_id") % 17 != 0).select(
