@@ -288,3 +288,147 @@ def q_layer_impact(spark, sf_dir):
 @query("layer_breakdowns")
 def q_layer_breakdowns(spark, sf_dir):
     return metrics.layer_breakdowns(decided(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- review and feedback
+from acurail.operators import feedback, review  # noqa: E402
+
+
+def actions_table(spark, sf_dir) -> DataFrame:
+    return tables.clinician_actions(_enc(spark, sf_dir))
+
+
+@query("escalation_gate")
+def q_escalation_gate(spark, sf_dir):
+    d = decided(spark, sf_dir)
+    ovr = review.valid_overrides(actions_table(spark, sf_dir)).select(
+        "patient_id", F.lit("overridden").alias("decision")).distinct()
+    g = review.escalation_gate(d.join(ovr, "patient_id", "left"), decision_col="decision")
+    return g.select("patient_id", "should_call_llm", "reason_code", "reason_label", "reason_detail")
+
+
+@query("abnormal_vitals")
+def q_abnormal_vitals(spark, sf_dir):
+    a = review.abnormal_vitals(_enc(spark, sf_dir))
+    return a.select("patient_id", F.to_json("abnormal_vitals").alias("abnormal_vitals"))
+
+
+@query("history_text")
+def q_history_text(spark, sf_dir):
+    return review.history_text(_enc(spark, sf_dir)).select("patient_id", "history_text")
+
+
+@query("review_prompts")
+def q_review_prompts(spark, sf_dir):
+    p = review.review_prompts(decided(spark, sf_dir))
+    return p.select("patient_id", "reason_code", "prompt")
+
+
+def response_table(spark, sf_dir) -> DataFrame:
+    return tables.explanation_texts(decided(spark, sf_dir)).unionByName(tables.conversation_texts(spark, sf_dir))
+
+
+@query("parsed_responses")
+def q_parsed_responses(spark, sf_dir):
+    p = review.parse_responses(response_table(spark, sf_dir))
+    return p.select("response_id", "escalation_reason", "patient_summary",
+                    F.to_json("risk_flags").alias("risk_flags"), "confidence_note", "is_ready", "error_code")
+
+
+def events_table(spark, sf_dir) -> DataFrame:
+    d = features.history_burden(features.clinical_flags(decided(spark, sf_dir), only_present=False),
+                                only_present=False)
+    d = tables.message_times(d).withColumns({
+        "timestamp": F.date_format("arrival_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+        "processed_at": F.date_format(F.timestamp_micros(F.round(F.col("safety_done_at") * 1_000_000).cast("long")),
+                                      "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+        "chief_complaint": F.col("chief_complaint_raw"),
+    })
+    return feedback.feedback_events(d, actions_table(spark, sf_dir))
+
+
+@query("feedback_events")
+def q_feedback_events(spark, sf_dir):
+    e = events_table(spark, sf_dir)
+    return e.select("patient_id", "event_type", "feedback_type", "final_label", "override_reason", "override_ktas",
+                    F.col("patient.predicted_acuity").alias("shown_acuity"))
+
+
+def flat_table(spark, sf_dir) -> DataFrame:
+    return materialized(feedback.feedback_flat(events_table(spark, sf_dir)))
+
+
+@query("feedback_flat")
+def q_feedback_flat(spark, sf_dir):
+    return _round_doubles(flat_table(spark, sf_dir))
+
+
+@query("override_rows")
+def q_override_rows(spark, sf_dir):
+    return feedback.override_rows(flat_table(spark, sf_dir))
+
+
+@query("override_matrix")
+def q_override_matrix(spark, sf_dir):
+    return feedback.override_matrix(feedback.override_rows(flat_table(spark, sf_dir)))
+
+
+@query("override_matrix_dense")
+def q_override_matrix_dense(spark, sf_dir):
+    return feedback.override_matrix_dense(feedback.override_rows(flat_table(spark, sf_dir)))
+
+
+@query("override_summary")
+def q_override_summary(spark, sf_dir):
+    return _round_doubles(feedback.override_summary(feedback.override_rows(flat_table(spark, sf_dir))))
+
+
+@query("rail_reasons")
+def q_rail_reasons(spark, sf_dir):
+    return feedback.rail_reasons(feedback.override_rows(flat_table(spark, sf_dir)))
+
+
+@query("feedback_stats")
+def q_feedback_stats(spark, sf_dir):
+    return feedback.feedback_stats(flat_table(spark, sf_dir))
+
+
+@query("dashboard_kpis")
+def q_dashboard_kpis(spark, sf_dir):
+    enc = _enc(spark, sf_dir)
+    return _round_doubles(feedback.dashboard_kpis(decided(spark, sf_dir), actions_table(spark, sf_dir),
+                                                  tables.explanation_events(enc)))
+
+
+@query("pending_queue")
+def q_pending_queue(spark, sf_dir):
+    q = review.pending_queue(decided(spark, sf_dir), actions_table(spark, sf_dir))
+    return q.select("patient_id", "predicted_acuity", "label", "confidence_pct", "safety_rail_triggered")
+
+
+@query("review_backlog")
+def q_review_backlog(spark, sf_dir):
+    enc = _enc(spark, sf_dir)
+    b = review.review_backlog(decided(spark, sf_dir), tables.explanation_events(enc), actions_table(spark, sf_dir))
+    return b.select("patient_id", "predicted_acuity", "true_acuity", "safety_rail_triggered", "has_feature_conflict")
+
+
+@query("enriched_records")
+def q_enriched_records(spark, sf_dir):
+    enc = _enc(spark, sf_dir)
+    d = decided(spark, sf_dir).select(*layers.DECISION_COLUMNS)
+    m = feedback.merge_history(d, enc)
+    return m.select("patient_id", "predicted_acuity", *[c for c in m.columns if c.startswith("hx_")])
+
+
+@query("records_with_review")
+def q_records_with_review(spark, sf_dir):
+    d = decided(spark, sf_dir)
+    parsed = review.parse_responses(tables.explanation_texts(d)).withColumnRenamed("response_id", "patient_id")
+    enc = _enc(spark, sf_dir)
+    expl = tables.explanation_events(enc).join(parsed, "patient_id", "inner")
+    r = review.records_with_review(d, expl)
+    return _round_doubles(r.select("patient_id", "predicted_acuity",
+                                   F.col("llm_explanation.explained_at").alias("explained_at"),
+                                   F.col("llm_explanation.escalation_reason").alias("escalation_reason"),
+                                   F.col("llm_explanation.error_code").alias("error_code")))

@@ -194,3 +194,43 @@ def training_main(enc: DataFrame) -> DataFrame:
 def history(enc: DataFrame) -> DataFrame:
     """History side table: ``patient_id`` plus the ``hx_*`` flags."""
     return enc.select("patient_id", *[c for c in enc.columns if c.startswith("hx_")])
+
+
+def explanation_texts(decided: DataFrame) -> DataFrame:
+    """Explanation response texts for the explained patients (1 in 3), derived from
+    their decisions in five layouts: sectioned, inline headers with other bullet
+    marks, headers without colons after a preamble, unstructured prose, and an
+    error string."""
+    eid = F.col("event_id")
+    pa = F.col("predicted_acuity").cast("string")
+    complaint = F.coalesce(F.when(F.trim(F.col("chief_complaint_raw")) != "", F.col("chief_complaint_raw")),
+                           F.lit("an unrecorded complaint"))
+    reason = F.concat(F.lit("Model chose KTAS "), pa, F.lit(" for "), complaint, F.lit("."))
+    summary = F.concat(F.coalesce(F.col("age").cast("string"), F.lit("?")), F.lit("y "),
+                       F.coalesce(F.col("sex"), F.lit("?")), F.lit(" presenting with "), complaint, F.lit("."))
+    flag1 = F.coalesce(F.try_element_at(F.col("safety_rail_reasons"), F.lit(1)), F.lit("no rail fired"))
+    flag2 = F.coalesce(F.try_element_at(F.col("conflict_reasons"), F.lit(1)), F.lit("no conflict detected"))
+    note = F.concat(F.lit("Confidence "), F.col("confidence_pct"), F.lit(" supports clinician review."))
+    nl = F.lit("\n")
+    text = (
+        F.when(eid % 5 == 0, F.concat(F.lit("ESCALATION_REASON:\n"), reason, F.lit("\n\nPATIENT_SUMMARY:\n"), summary,
+                                      F.lit("\n\nRISK_FLAGS:\n- "), flag1, F.lit("\n- "), flag2,
+                                      F.lit("\n\nCONFIDENCE_NOTE:\n"), note))
+        .when(eid % 5 == 1, F.concat(F.lit("ESCALATION_REASON: "), reason, nl, F.lit("PATIENT_SUMMARY: "), summary,
+                                     F.lit("\r\nRISK_FLAGS:\n  • "), flag1, F.lit("\n\t* "), flag2, nl,
+                                     F.lit("CONFIDENCE_NOTE: "), note, F.lit("\n")))
+        .when(eid % 5 == 2, F.concat(F.lit("Here is my review.\nESCALATION_REASON\n"), reason,
+                                     F.lit("\n  RISK_FLAGS:\n  - "), flag1, F.lit("\n -- \n")))
+        .when(eid % 5 == 3, F.concat(F.lit("  "), reason, F.lit(" "), summary, F.lit("  ")))
+        .otherwise(F.lit("GROQ_RATE_LIMIT: Rate limit hit. Switch to llama-3.1-8b-instant "
+                         "(highest free limits) or wait a moment."))
+    )
+    return decided.filter(eid % 3 == 0).select(F.col("patient_id").alias("response_id"), text.alias("response_text"))
+
+
+def conversation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns of ``conversations`` as free-form response texts."""
+    conv = read_table(spark, sf_dir, "conversations")
+    return conv.filter(F.col("role") == "assistant").select(
+        F.concat(F.lit("C"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+        .alias("response_id"), F.col("text").alias("response_text"))
