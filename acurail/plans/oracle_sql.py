@@ -838,3 +838,105 @@ FROM dec d LEFT JOIN (
 
 register("review_prompts", "")  # text-heavy: rows-only check plus pytest golden
 del ORACLE["review_prompts"]
+
+
+# ---------------------------------------------------------------- evaluation and preprocessing
+SCORED_CTE = "scored AS (SELECT patient_id, CAST(triage_acuity AS INT) AS true_acuity, orig AS predicted_acuity, p1, p2, p3, p4, p5 FROM dec)"
+
+register("confusion_matrix", with_decisions("""
+SELECT true_acuity AS actual, predicted_acuity AS predicted, CAST(count(*) AS BIGINT) AS n FROM scored GROUP BY 1, 2""",
+                                            SCORED_CTE))
+
+_TRAIN_LABEL = ("CASE cls WHEN 1 THEN 'KTAS 1 - Resuscitation' WHEN 2 THEN 'KTAS 2 - Emergent' WHEN 3 THEN 'KTAS 3 - Urgent' "
+                "WHEN 4 THEN 'KTAS 4 - Less Urgent' WHEN 5 THEN 'KTAS 5 - Non-Urgent' END")
+register("classification_report", with_decisions(f"""
+SELECT {_TRAIN_LABEL} AS label, {rnd('prec', 6)} AS precision, {rnd('rec', 6)} AS recall, {rnd('f1', 6)} AS f1_score,
+  CAST(support AS BIGINT) AS support FROM per
+UNION ALL SELECT 'accuracy', NULL, NULL, {rnd('sum(tp) / sum(support)', 6)}, CAST(sum(support) AS BIGINT) FROM per
+UNION ALL SELECT 'macro avg', {rnd('avg(prec)', 6)}, {rnd('avg(rec)', 6)}, {rnd('avg(f1)', 6)}, CAST(sum(support) AS BIGINT) FROM per
+UNION ALL SELECT 'weighted avg', {rnd('sum(prec * support) / sum(support)', 6)}, {rnd('sum(rec * support) / sum(support)', 6)},
+  {rnd('sum(f1 * support) / sum(support)', 6)}, CAST(sum(support) AS BIGINT) FROM per""", SCORED_CTE, """per AS (
+  SELECT cls, tp, support, prec, rec, CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END AS f1 FROM (
+    SELECT cls, tp, support, CASE WHEN npred > 0 THEN tp / npred ELSE 0.0 END AS prec,
+      CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rec FROM (
+      SELECT c.cls,
+        (SELECT count(*) FROM scored s WHERE s.true_acuity = c.cls AND s.predicted_acuity = c.cls) AS tp,
+        (SELECT count(*) FROM scored s WHERE s.true_acuity = c.cls) AS support,
+        (SELECT count(*) FROM scored s WHERE s.predicted_acuity = c.cls) AS npred
+      FROM (SELECT true_acuity AS cls FROM scored UNION SELECT predicted_acuity FROM scored) c) a) b)"""))
+
+register("macro_auc", with_decisions(f"""
+SELECT cls, {rnd('auc', 6)} AS auc FROM aucs UNION ALL SELECT 0, {rnd('avg(auc)', 6)} FROM aucs""", SCORED_CTE, """ranks AS (
+  SELECT cls, pos, rank() OVER (PARTITION BY cls ORDER BY score) + (count(*) OVER (PARTITION BY cls, score) - 1) / 2.0 AS r
+  FROM (SELECT cls, score, CAST(true_acuity = cls AS INT) AS pos FROM (
+    SELECT true_acuity, unnest([1, 2, 3, 4, 5]) AS cls, unnest([p1, p2, p3, p4, p5]) AS score FROM scored) u) v)""", """aucs AS (
+  SELECT cls, CASE WHEN sum(pos) > 0 AND sum(1 - pos) > 0
+    THEN (sum(r * pos) - sum(pos) * (sum(pos) + 1) / 2.0) / (sum(pos) * sum(1 - pos)) END AS auc
+  FROM ranks GROUP BY cls)"""))
+
+register("emergency_accuracy", with_decisions(f"""
+SELECT {rnd('avg(CAST((true_acuity <= 3) = (predicted_acuity <= 3) AS DOUBLE))', 6)} AS emergency_accuracy, 3 AS cutoff
+FROM scored""", SCORED_CTE))
+
+register("distribution_compare", with_decisions("""
+SELECT coalesce(a.cls, p.cls) AS cls, CAST(coalesce(a.n, 0) AS BIGINT) AS actual, CAST(coalesce(p.n, 0) AS BIGINT) AS predicted
+FROM (SELECT true_acuity AS cls, count(*) AS n FROM scored GROUP BY 1) a
+FULL JOIN (SELECT predicted_acuity AS cls, count(*) AS n FROM scored GROUP BY 1) p ON a.cls = p.cls""", SCORED_CTE))
+
+_TRAINING_BODY = ORACLE["training_set"][ORACLE["training_set"].index("\nSELECT patient_id, CAST(trunc("):]
+TRAIN_CTES = (f"raw_target AS ({RAW_TARGET_SQL})", f"complaints AS ({COMPLAINTS_SQL})",
+              f"training AS ({_TRAINING_BODY})",
+              """split AS (
+  SELECT t.*, CASE WHEN row_number() OVER (PARTITION BY triage_acuity ORDER BY md5(patient_id || '|42'), patient_id)
+                      <= ceil(count(*) OVER (PARTITION BY triage_acuity) * 0.2) THEN 'test' ELSE 'train' END AS split
+  FROM training t)""")
+
+register("stratified_split", with_encounters("SELECT patient_id, triage_acuity, split FROM split", *TRAIN_CTES))
+
+register("stratified_sample", with_encounters("""
+SELECT patient_id, triage_acuity FROM (
+  SELECT patient_id, triage_acuity, row_number() OVER (PARTITION BY triage_acuity ORDER BY md5(patient_id || '|42'), patient_id) AS rk
+  FROM training) r WHERE rk <= 40 ORDER BY triage_acuity, rk LIMIT 200""", *TRAIN_CTES))
+
+register("class_weights", with_encounters(f"""
+SELECT triage_acuity, CAST(n_c AS BIGINT) AS n_c, {rnd('sum(n_c) OVER () / (count(*) OVER () * n_c)', 6)} AS class_weight
+FROM (SELECT triage_acuity, count(*) AS n_c FROM split WHERE split = 'train' GROUP BY 1) c""", *TRAIN_CTES))
+
+_MN = ["age", "heart_rate", "systolic_bp", "diastolic_bp", "respiratory_rate", "temperature_c", "spo2", "gcs_total",
+       "pain_score", "news2_score"]
+register("impute_scale", with_encounters(
+    "SELECT patient_id, split, " + ", ".join(
+        f"{rnd(f'(coalesce(CAST({c} AS DOUBLE), f.{c}_med) - f.{c}_mean) / f.{c}_scale', 6)} AS {c}" for c in _MN)
+    + " FROM split CROSS JOIN fit f", *TRAIN_CTES,
+    "med AS (SELECT " + ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS {c}_med" for c in _MN)
+    + " FROM split WHERE split = 'train')",
+    "fit AS (SELECT med.*, " + ", ".join(
+        f"avg(coalesce(CAST(s.{c} AS DOUBLE), med.{c}_med)) AS {c}_mean, "
+        f"CASE WHEN stddev_pop(coalesce(CAST(s.{c} AS DOUBLE), med.{c}_med)) > 0 "
+        f"THEN stddev_pop(coalesce(CAST(s.{c} AS DOUBLE), med.{c}_med)) ELSE 1.0 END AS {c}_scale" for c in _MN)
+    + " FROM split s CROSS JOIN med WHERE s.split = 'train' GROUP BY ALL)"))
+
+register("one_hot", with_encounters("""
+SELECT patient_id,
+  CAST(coalesce(sex, m.sex_mode) = 'F' AS INT) AS sex_F, CAST(coalesce(sex, m.sex_mode) = 'M' AS INT) AS sex_M,
+  CAST(coalesce(mental_status_triage, m.ms_mode) = '' AS INT) AS mental_status_triage_,
+  CAST(coalesce(mental_status_triage, m.ms_mode) = 'alert' AS INT) AS mental_status_triage_alert,
+  CAST(coalesce(mental_status_triage, m.ms_mode) = 'verbal' AS INT) AS mental_status_triage_verbal
+FROM split CROSS JOIN (
+  SELECT (SELECT sex FROM split WHERE split = 'train' AND sex IS NOT NULL GROUP BY sex ORDER BY count(*) DESC, sex LIMIT 1) AS sex_mode,
+         (SELECT mental_status_triage FROM split WHERE split = 'train' AND mental_status_triage IS NOT NULL
+          GROUP BY mental_status_triage ORDER BY count(*) DESC, mental_status_triage LIMIT 1) AS ms_mode) m""", *TRAIN_CTES))
+
+TFIDF_CTES = (
+    "docs AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[a-zA-Z]{2,}') AS tok FROM documents WHERE lang = 'en')",
+    "grams AS (SELECT doc_id, unnest(tok || [tok[i] || ' ' || tok[i + 1] for i in range(1, len(tok))]) AS term FROM docs)",
+    "tfs AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY 1, 2)",
+    """vocab AS (
+  SELECT term, ln((1 + (SELECT count(*) FROM docs)) / (1 + df)) + 1 AS idf FROM (
+    SELECT term, count(*) AS df, sum(tf) AS cf FROM tfs GROUP BY term HAVING count(*) >= 2
+    ORDER BY cf DESC, term LIMIT 300) v)""",
+)
+register("tfidf_vocabulary", with_encounters(f"SELECT term, {rnd('idf', 6)} AS idf FROM vocab", *TFIDF_CTES))
+register("tfidf_weights", with_encounters(f"""
+SELECT doc_id, term, {rnd('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))', 6)} AS weight FROM (
+  SELECT t.doc_id, t.term, (1 + ln(t.tf)) * v.idf AS w FROM tfs t JOIN vocab v USING (term)) x""", *TFIDF_CTES))

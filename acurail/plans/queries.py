@@ -432,3 +432,94 @@ def q_records_with_review(spark, sf_dir):
                                    F.col("llm_explanation.explained_at").alias("explained_at"),
                                    F.col("llm_explanation.escalation_reason").alias("escalation_reason"),
                                    F.col("llm_explanation.error_code").alias("error_code")))
+
+
+# ---------------------------------------------------------------- evaluation and preprocessing
+from acurail.operators import evaluate, preprocess  # noqa: E402
+
+MODEL_NUMERIC = ["age", "heart_rate", "systolic_bp", "diastolic_bp", "respiratory_rate", "temperature_c", "spo2",
+                 "gcs_total", "pain_score", "news2_score"]
+MODEL_CATEGORICAL = ["sex", "mental_status_triage"]
+
+
+def scored(spark, sf_dir) -> DataFrame:
+    """Model output of the fixture: raw argmax class and class scores, with the truth."""
+    return decided(spark, sf_dir).select("patient_id", "true_acuity", F.col("original_acuity").alias("predicted_acuity"),
+                                         "p1", "p2", "p3", "p4", "p5")
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf_dir):
+    return evaluate.confusion_matrix(scored(spark, sf_dir))
+
+
+@query("classification_report")
+def q_classification_report(spark, sf_dir):
+    return _round_doubles(evaluate.classification_report(scored(spark, sf_dir)))
+
+
+@query("macro_auc")
+def q_macro_auc(spark, sf_dir):
+    return _round_doubles(evaluate.macro_auc(scored(spark, sf_dir)))
+
+
+@query("emergency_accuracy")
+def q_emergency_accuracy(spark, sf_dir):
+    return _round_doubles(evaluate.emergency_accuracy(scored(spark, sf_dir)))
+
+
+@query("distribution_compare")
+def q_distribution_compare(spark, sf_dir):
+    return evaluate.distribution_compare(scored(spark, sf_dir))
+
+
+def split_training(spark, sf_dir) -> DataFrame:
+    return materialized(preprocess.stratified_split(training_frame(spark, sf_dir), "triage_acuity", "patient_id"))
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    return split_training(spark, sf_dir).select("patient_id", "triage_acuity", "split")
+
+
+@query("stratified_sample")
+def q_stratified_sample(spark, sf_dir):
+    return preprocess.stratified_sample(training_frame(spark, sf_dir), "triage_acuity", "patient_id", n=200) \
+        .select("patient_id", "triage_acuity")
+
+
+@query("class_weights")
+def q_class_weights(spark, sf_dir):
+    return _round_doubles(evaluate.class_weights(split_training(spark, sf_dir).filter(F.col("split") == "train")))
+
+
+@query("impute_scale")
+def q_impute_scale(spark, sf_dir):
+    df = split_training(spark, sf_dir)
+    fitted = preprocess.fit_impute_scale(df.filter(F.col("split") == "train"), MODEL_NUMERIC)
+    out = preprocess.apply_impute_scale(df, fitted, MODEL_NUMERIC)
+    return _round_doubles(out.select("patient_id", "split", *MODEL_NUMERIC))
+
+
+@query("one_hot")
+def q_one_hot(spark, sf_dir):
+    df = split_training(spark, sf_dir)
+    cats = preprocess.fit_categories(df.filter(F.col("split") == "train"), MODEL_CATEGORICAL)
+    out = preprocess.one_hot(df, cats, MODEL_CATEGORICAL)
+    return out.select("patient_id", *[c for c in out.columns if any(c.startswith(f"{m}_") for m in MODEL_CATEGORICAL)])
+
+
+def english_documents(spark, sf_dir) -> DataFrame:
+    return tables.read_table(spark, sf_dir, "documents").filter(F.col("lang") == "en").select("doc_id", "text")
+
+
+@query("tfidf_weights")
+def q_tfidf_weights(spark, sf_dir):
+    docs = english_documents(spark, sf_dir)
+    vocab = preprocess.fit_tfidf(docs)
+    return _round_doubles(preprocess.tfidf_weights(docs, vocab))
+
+
+@query("tfidf_vocabulary")
+def q_tfidf_vocabulary(spark, sf_dir):
+    return _round_doubles(preprocess.fit_tfidf(english_documents(spark, sf_dir)))
