@@ -523,3 +523,77 @@ def q_tfidf_weights(spark, sf_dir):
 @query("tfidf_vocabulary")
 def q_tfidf_vocabulary(spark, sf_dir):
     return _round_doubles(preprocess.fit_tfidf(english_documents(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- training and scoring
+from acurail.operators import training  # noqa: E402
+
+# Library default is the reference's 500 boosting rounds; the registered check
+# uses 20 so one run stays within minutes in local mode (about 3.5 s/round).
+CHECK_GBT_ROUNDS = 20
+_MODELS: dict = {}
+
+
+def trained(spark, sf_dir, names: tuple[str, ...]):
+    """Fit (once per session, data directory and candidate set) and return (best, results)."""
+    key = (id(spark), sf_dir, names)
+    if key not in _MODELS:
+        _MODELS[key] = training.train_candidates(split_training(spark, sf_dir), MODEL_NUMERIC, MODEL_CATEGORICAL,
+                                                 names=list(names), gbt_rounds=CHECK_GBT_ROUNDS)
+    return _MODELS[key]
+
+
+ALL_MODELS = ("Logistic Regression", "Random Forest", "Boosted Trees")
+
+
+@query("train_lr")
+def q_train_lr(spark, sf_dir):
+    return trained(spark, sf_dir, ("Logistic Regression",))[1]
+
+
+@query("train_rf")
+def q_train_rf(spark, sf_dir):
+    return trained(spark, sf_dir, ("Random Forest",))[1]
+
+
+@query("train_gbt")
+def q_train_gbt(spark, sf_dir):
+    return trained(spark, sf_dir, ("Boosted Trees",))[1]
+
+
+@query("model_selection")
+def q_model_selection(spark, sf_dir):
+    return trained(spark, sf_dir, ALL_MODELS)[1]
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    return training.feature_importance(trained(spark, sf_dir, ("Random Forest",))[0], 30)
+
+
+@query("score_batch")
+def q_score_batch(spark, sf_dir):
+    """C1 + C15: score every encounter with the selected model, then run the decision layers."""
+    best = trained(spark, sf_dir, ALL_MODELS)[0]
+    probs = materialized(best.transform(_enc(spark, sf_dir).drop("p1", "p2", "p3", "p4", "p5")))
+    d = layers.decisions(probs, model_name=best.name)
+    return d.select("patient_id", "original_acuity", "predicted_acuity", "true_acuity", "confidence",
+                    "confidence_state", "safety_rail_triggered", "has_feature_conflict", "requires_review", "model")
+
+
+@query("train_pipeline")
+def q_train_pipeline(spark, sf_dir):
+    """K11 + A15: select, save the bundle to the checkpoint folder, reload it and evaluate the reloaded model."""
+    import os
+    import uuid
+    from acurail.session import ensure_checkpoint_dir
+    best = trained(spark, sf_dir, ALL_MODELS)[0]
+    path = os.path.join(ensure_checkpoint_dir(spark), "models", f"triage-{uuid.uuid4().hex}")
+    best.save(path)
+    loaded = training.TriageModel.load(spark, path)
+    test = split_training(spark, sf_dir).filter(F.col("split") == "test")
+    scored_test = loaded.transform(test)
+    pred = layers.base_prediction(scored_test)
+    return pred.agg(F.count(F.lit(1)).alias("n_test"),
+                    F.avg((F.col("original_acuity") == F.col("triage_acuity")).cast("double")).alias("accuracy")) \
+        .select(F.lit(loaded.name).alias("model"), F.lit(path).alias("bundle_path"), "n_test", "accuracy")
