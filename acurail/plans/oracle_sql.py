@@ -940,3 +940,11 @@ register("tfidf_vocabulary", with_encounters(f"SELECT term, {rnd('idf', 6)} AS i
 register("tfidf_weights", with_encounters(f"""
 SELECT doc_id, term, {rnd('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))', 6)} AS weight FROM (
   SELECT t.doc_id, t.term, (1 + ln(t.tf)) * v.idf AS w FROM tfs t JOIN vocab v USING (term)) x""", *TFIDF_CTES))
+
+
+# ---------------------------------------------------------------- streaming (same results as batch)
+register("stream_decisions", ORACLE["decisions"])
+register("stream_messages", with_decisions(f"""
+SELECT run_id, patient_id, {rnd('kafka_transit_ms', 6)} AS kafka_transit_ms, {rnd('ml_inference_ms', 6)} AS ml_inference_ms,
+  {rnd('safety_pipeline_ms', 6)} AS safety_pipeline_ms, {rnd('e2e_ms', 6)} AS e2e_ms,
+  safety_rail_triggered, true_acuity, predicted_acuity FROM msgs""", *MSG_CTES))

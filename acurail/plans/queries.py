@@ -597,3 +597,54 @@ def q_train_pipeline(spark, sf_dir):
     return pred.agg(F.count(F.lit(1)).alias("n_test"),
                     F.avg((F.col("original_acuity") == F.col("triage_acuity")).cast("double")).alias("accuracy")) \
         .select(F.lit(loaded.name).alias("model"), F.lit(path).alias("bundle_path"), "n_test", "accuracy")
+
+
+# ---------------------------------------------------------------- streaming
+def stream_records(spark, sf_dir) -> DataFrame:
+    """Input messages as the producer sends them: encounter fields plus stage timestamps."""
+    enc = tables.message_times(_enc(spark, sf_dir))
+    return enc.select(
+        "patient_id", F.date_format("arrival_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+        "produced_at", "consumer_received_at", "ml_done_at", "safety_done_at", "run_id", "event_id",
+        F.col("triage_acuity").alias("true_acuity"), "age", "sex", "mental_status_triage", "chief_complaint_raw",
+        "heart_rate", "systolic_bp", "diastolic_bp", "respiratory_rate", "temperature_c", "spo2", "gcs_total",
+        "pain_score", "news2_score", "hx_heart_failure", "hx_copd", "hx_dementia", "hx_hypertension",
+        "p1", "p2", "p3", "p4", "p5")
+
+
+def run_decision_stream(spark, sf_dir, num_files: int = 8) -> str:
+    """J1 end to end on the file source (availableNow); returns the output folder."""
+    import os
+    from acurail.sources.files import write_stream_input
+    from acurail.streaming import jobs
+    root = write_stream_input(stream_records(spark, sf_dir), num_files=num_files)
+    from pyspark.sql import types as T
+    schema = T.StructType(list(jobs.INPUT_SCHEMA.fields) + [
+        T.StructField(c, T.DoubleType()) for c in ("consumer_received_at", "ml_done_at", "safety_done_at")])
+    raw = jobs.read_json_lines(spark, os.path.join(root, "in"), max_files_per_trigger=2)
+    good, bad = jobs.parse_records(raw, schema)
+    dec = jobs.decide_stream(good)
+    q = (dec.writeStream.foreachBatch(jobs.decision_sink(os.path.join(root, "out")))
+         .option("checkpointLocation", os.path.join(root, "chk")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return root
+
+
+@query("stream_decisions")
+def q_stream_decisions(spark, sf_dir):
+    import os
+    root = run_decision_stream(spark, sf_dir)
+    d = spark.read.parquet(os.path.join(root, "out", "decision_table"))
+    return d.select(*q_decisions(spark, sf_dir).columns).withColumns(
+        _json("safety_rail_reasons", "conflict_reasons", "safety_notes", "intervention_flags")) \
+        .withColumn("true_acuity", F.col("true_acuity").cast("int"))
+
+
+@query("stream_messages")
+def q_stream_messages(spark, sf_dir):
+    import os
+    root = run_decision_stream(spark, sf_dir)
+    m = spark.read.parquet(os.path.join(root, "out", "messages"))
+    return _round_doubles(m.select("run_id", "patient_id", "kafka_transit_ms", "ml_inference_ms",
+                                   "safety_pipeline_ms", "e2e_ms", "safety_rail_triggered", "true_acuity",
+                                   "predicted_acuity"))
