@@ -3,9 +3,9 @@
 Number formatting: the reference formats with Python's ``format(x, '.Nf')``
 and ``round(x, N)``, which round the exact binary value half-to-even. Java's
 ``String.format`` rounds the shortest decimal string half-up and disagrees
-on near-ties, so fixed-point text goes through ``format_number``
-(``DecimalFormat``, HALF_EVEN on the exact value), with grouping commas
-removed.
+on near-ties, so fixed-point text goes through ``format_number`` with a
+``DecimalFormat`` pattern such as ``'0.00'`` (HALF_EVEN on the exact value,
+no grouping separators).
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ def safe_double(c: Column | str) -> Column:
 
 
 def fmt_fixed(c: Column, decimals: int) -> Column:
-    """Python-compatible ``f"{x:.Nf}"`` text."""
-    return F.regexp_replace(F.format_number(c, decimals), ",", "")
+    """Python-compatible ``f"{x:.Nf}"`` text (DecimalFormat pattern without grouping)."""
+    return F.call_function("format_number", c, F.lit("0." + "0" * decimals if decimals > 0 else "0"))
 
 
 def py_round(c: Column, decimals: int) -> Column:
@@ -79,3 +79,18 @@ def color_of(c: Column) -> Column:
 
 def join_nonnull(arr: Column, sep: str) -> Column:
     return F.array_join(arr, sep)
+
+
+_UNIT_SEP = "\u001f"
+
+
+def compact_strings(*items: Column) -> Column:
+    """``array(items)`` without the NULL entries, built without a lambda.
+
+    ``filter(array(...), x -> x IS NOT NULL)`` is a higher-order function and
+    drags its whole argument subtree out of whole-stage codegen; ``concat_ws``
+    (which skips NULLs) plus ``split`` on a unit-separator character stay in
+    generated code. Items must be non-empty strings without U+001F.
+    """
+    joined = F.concat_ws(_UNIT_SEP, *items)
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, _UNIT_SEP))

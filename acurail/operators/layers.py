@@ -22,7 +22,7 @@ from acurail.constants import (
     ACUITY_LABELS, CONF_AMB_GAP, CONF_HIGH_GAP, CONF_HIGH_MIN, CONF_LOW_MAX,
     EMERGENCY_MAX_DECISION,
 )
-from acurail.functions.columns import color_of, fmt_fixed, label_of, py_round
+from acurail.functions.columns import color_of, compact_strings, fmt_fixed, label_of, py_round
 from acurail.operators.rules import (
     conflict_rules, rail_rule_combo, rail_rules_a, rail_rules_b, vitals_of,
 )
@@ -82,8 +82,7 @@ def safety_rails(df: DataFrame) -> DataFrame:
     v = vitals_of(df)
     orig = F.col("original_acuity")
     a_rules = rail_rules_a(v)
-    a_reasons = F.filter(F.array(*[F.when(F.coalesce(pred, F.lit(False)), txt) for _, pred, txt in a_rules]),
-                         lambda x: x.isNotNull())
+    a_reasons = compact_strings(*[F.when(F.coalesce(pred, F.lit(False)), txt) for _, pred, txt in a_rules])
     any_a = F.lit(False)
     for _, pred, _ in a_rules:
         any_a = any_a | F.coalesce(pred, F.lit(False))
@@ -96,8 +95,7 @@ def safety_rails(df: DataFrame) -> DataFrame:
     out = df.withColumns({"_any_a": any_a, "_a_reasons": a_reasons, "_b_reason": b_reason, "_combo": combo})
     rail = (F.when(F.col("_any_a") | F.col("_combo").isNotNull(), F.lit(1))
             .when(F.col("_b_reason").isNotNull(), F.lit(2)).otherwise(orig))
-    reasons = F.concat(F.col("_a_reasons"),
-                       F.filter(F.array(F.col("_b_reason"), F.col("_combo")), lambda x: x.isNotNull()))
+    reasons = F.concat(F.col("_a_reasons"), compact_strings(F.col("_b_reason"), F.col("_combo")))
     out = out.withColumns({"rail_acuity": rail.cast("int"), "safety_rail_reasons": reasons})
     trig = F.size("safety_rail_reasons") > 0
     joined = F.array_join("safety_rail_reasons", "; ")
@@ -177,22 +175,19 @@ def feature_conflicts(df: DataFrame, current: str = "conf_acuity") -> DataFrame:
     v = vitals_of(df)
     orig = F.col("original_acuity")
     rules = conflict_rules(v, orig)
-    hits = F.filter(F.array(*[
-        F.when(F.coalesce(pred, F.lit(False)),
-               F.struct(F.lit(code).alias("code"), F.lit(floor).alias("floor"), txt.alias("reason")))
-        for code, pred, floor, txt in rules]), lambda x: x.isNotNull())
-    out = df.withColumn("_conflicts", hits)
+    fired = [(code, F.coalesce(pred, F.lit(False)), floor, txt) for code, pred, floor, txt in rules]
+    out = df.withColumns({
+        "conflict_reasons": compact_strings(*[F.when(p, txt) for _, p, _, txt in fired]),
+        "conflict_codes": compact_strings(*[F.when(p, F.lit(code)) for code, p, _, _ in fired]),
+        "_floor": F.least(*[F.when(p, F.lit(floor)) for _, p, floor, _ in fired]),
+    })
     cur = F.col(current)
-    has = F.size("_conflicts") > 0
-    floor = F.coalesce(F.array_min(F.transform("_conflicts", lambda x: x["floor"])), F.lit(99))
-    escalate_to = F.least(cur, floor)
-    reasons = F.transform("_conflicts", lambda x: x["reason"])
-    joined = F.array_join(reasons, " | ")
+    has = F.size("conflict_reasons") > 0
+    escalate_to = F.least(cur, F.coalesce(F.col("_floor"), F.lit(99)))
+    joined = F.array_join("conflict_reasons", " | ")
     escalated = has & (escalate_to < orig)
     out = out.withColumns({
         "has_feature_conflict": has,
-        "conflict_reasons": reasons,
-        "conflict_codes": F.transform("_conflicts", lambda x: x["code"]),
         "final_acuity": escalate_to.cast("int"),
         "conflict_review": escalated,
         "conflict_note": F.when(escalated, F.concat(
@@ -200,7 +195,7 @@ def feature_conflicts(df: DataFrame, current: str = "conf_acuity") -> DataFrame:
             escalate_to.cast("string"), F.lit(": "), joined))
         .when(has, F.concat(F.lit("CONFLICT detected but acuity already at correct level: "), joined)),
     })
-    return out.drop("_conflicts")
+    return out.drop("_floor")
 
 
 DECISION_COLUMNS = [
@@ -232,11 +227,11 @@ def decisions(df: DataFrame, model_name: str = "unknown", keep_input: bool = Tru
         "color": color_of(final),
         "is_emergency": final <= emergency_max,
         "requires_review": F.col("conf_review") | F.col("conflict_review"),
-        "safety_notes": F.filter(F.array("rail_note", "conf_note", "conflict_note"), lambda x: x.isNotNull()),
-        "intervention_flags": F.filter(F.array(
+        "safety_notes": compact_strings(F.col("rail_note"), F.col("conf_note"), F.col("conflict_note")),
+        "intervention_flags": compact_strings(
             F.when(F.col("safety_rail_triggered"), F.lit("RAIL")),
             F.when(st.isin("AMBIGUOUS", "LOW"), st),
-            F.when(F.col("has_feature_conflict"), F.lit("CONFLICT"))), lambda x: x.isNotNull()),
+            F.when(F.col("has_feature_conflict"), F.lit("CONFLICT"))),
     })
     internal = [c for c in out.columns if c.startswith("_")] + [
         "final_acuity", "conf_review", "conflict_review"]

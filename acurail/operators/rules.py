@@ -128,10 +128,8 @@ def conflict_rules(v: Vitals, pred: Column) -> list[tuple[str, Column, int, Colu
     benign = any_keyword(v.complaint, BENIGN_KEYWORDS)
     benign_kw = F.coalesce(first_keyword(v.complaint, BENIGN_KEYWORDS), F.lit(""))
     critical = ((v.spo2 < 92) | (v.gcs < 14) | (v.sbp < 90) | (v.hr > 150) | (v.hr < 40))
-    names = F.array_join(F.filter(
-        F.array(*[F.when(v.hx[c] != 0, F.lit(c.replace("hx_", "").replace("_", " ")))
-                  for c in HIGH_RISK_HISTORY_CONFLICT]),
-        lambda x: x.isNotNull()), ", ")
+    names = F.concat_ws(", ", *[F.when(v.hx[c] != 0, F.lit(c.replace("hx_", "").replace("_", " ")))
+                                for c in HIGH_RISK_HISTORY_CONFLICT])
     any_hx = F.greatest(*[F.abs(v.hx[c]) for c in HIGH_RISK_HISTORY_CONFLICT]) > 0
     return [
         ("V_SPO2", (v.spo2 < 92) & (pred >= 3), 2,

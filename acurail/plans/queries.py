@@ -612,16 +612,17 @@ def stream_records(spark, sf_dir) -> DataFrame:
         "p1", "p2", "p3", "p4", "p5")
 
 
-def run_decision_stream(spark, sf_dir, num_files: int = 8) -> str:
+def run_decision_stream(spark, sf_dir, num_files: int | None = None) -> str:
     """J1 end to end on the file source (availableNow); returns the output folder."""
     import os
     from acurail.sources.files import write_stream_input
     from acurail.streaming import jobs
-    root = write_stream_input(stream_records(spark, sf_dir), num_files=num_files)
+    par = spark.sparkContext.defaultParallelism
+    root = write_stream_input(stream_records(spark, sf_dir), num_files=num_files or 2 * par)
     from pyspark.sql import types as T
     schema = T.StructType(list(jobs.INPUT_SCHEMA.fields) + [
         T.StructField(c, T.DoubleType()) for c in ("consumer_received_at", "ml_done_at", "safety_done_at")])
-    raw = jobs.read_json_lines(spark, os.path.join(root, "in"), max_files_per_trigger=2)
+    raw = jobs.read_json_lines(spark, os.path.join(root, "in"), max_files_per_trigger=par)
     good, bad = jobs.parse_records(raw, schema)
     dec = jobs.decide_stream(good)
     q = (dec.writeStream.foreachBatch(jobs.decision_sink(os.path.join(root, "out")))

@@ -33,7 +33,22 @@ def table_path(sf_dir: str, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan of one driver table; column pruning and filter pushdown
     are left to Catalyst (select only what you need downstream)."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    return ensure_parallelism(spark.read.parquet(table_path(sf_dir, name)))
+
+
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Spread an under-split scan over the available cores.
+
+    A small table stored as one parquet row group scans as one task, and the
+    CPU-heavy rule layers then run on one core. Only when the scan has fewer
+    partitions than ``defaultParallelism`` is it round-robin repartitioned;
+    large inputs (many files / row groups) already split and are untouched,
+    so no shuffle is added at scale.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def _class_weight(mult: int, mod: int, cls: int) -> str:
