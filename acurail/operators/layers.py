@@ -243,6 +243,19 @@ def decisions(df: DataFrame, model_name: str = "unknown", keep_input: bool = Tru
     return out
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Checkpoint decisions into ``spark.checkpoint.dir`` (reliable, lineage cut).
+
+    Filter or aggregate decision columns *after* this (or on the stored
+    decision sink): pushing a predicate on e.g. ``predicted_acuity`` down
+    through the rule layers makes Catalyst inline every layer into the
+    predicate, which grows the plan multiplicatively.
+    """
+    from acurail.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def decision_record(df: DataFrame) -> DataFrame:
     """Nested decision record (struct ``vitals``, map ``probabilities``) for publishing."""
     from acurail.constants import VITAL_FIELDS

@@ -181,7 +181,11 @@ def review_prompts(df: DataFrame, only_escalated: bool = True) -> DataFrame:
                            _falsy_null(_col_or_null(df, "chief_complaint_raw")), F.lit("Not recorded"))
 
     def vit(name: str) -> Column:
-        return _none_text(F.col(name)) if name in df.columns else F.lit("None")
+        # Vitals always exist in the record (NULL prints as None); a missing
+        # age/sex key prints '?'.
+        if name in df.columns:
+            return _none_text(F.col(name))
+        return F.lit("?") if name in ("age", "sex") else F.lit("None")
 
     conf_line = F.when(conflict, F.lit("Also explain the CONFLICT between predicted and ground-truth acuity.")) \
         .otherwise(F.lit(""))

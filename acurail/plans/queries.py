@@ -45,9 +45,7 @@ def decided(spark: SparkSession, sf_dir: str, keep_input: bool = True, materiali
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    from acurail.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return layers.materialize(df)
 
 
 def _json(*cols: str) -> dict:
