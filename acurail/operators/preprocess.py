@@ -128,11 +128,22 @@ def term_counts(docs: DataFrame, key: str = "doc_id", text_col: str = "text") ->
         F.count(F.lit(1)).alias("tf"))
 
 
+def tfidf_corpus(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Fit and transform one corpus with a single tokenisation pass: the
+    (doc, term, tf) table is persisted and feeds both the vocabulary and the
+    weights. Returns (vocab, weights)."""
+    tc = term_counts(docs, key, text_col).persist()
+    vocab = fit_tfidf(docs, key, text_col, counts=tc)
+    return vocab, tfidf_weights(docs, vocab, key, text_col, counts=tc)
+
+
 def fit_tfidf(train_docs: DataFrame, key: str = "doc_id", text_col: str = "text",
-              max_features: int = TFIDF_MAX_FEATURES, min_df: int = TFIDF_MIN_DF) -> DataFrame:
+              max_features: int = TFIDF_MAX_FEATURES, min_df: int = TFIDF_MIN_DF,
+              counts: DataFrame | None = None) -> DataFrame:
     """K3 fit: vocabulary (top ``max_features`` by corpus frequency, ties by term, df >= min_df)
-    with smooth idf = ln((1 + n) / (1 + df)) + 1. Returns (term, idf), at most max_features rows."""
-    tc = term_counts(train_docs, key, text_col)
+    with smooth idf = ln((1 + n) / (1 + df)) + 1. Returns (term, idf), at most max_features rows.
+    ``counts`` may pass precomputed ``term_counts`` (shared with the transform)."""
+    tc = counts if counts is not None else term_counts(train_docs, key, text_col)
     n_docs = train_docs.agg(F.count(F.lit(1)).alias("n_docs"))
     stats = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")) \
         .filter(F.col("df") >= min_df)
@@ -141,13 +152,15 @@ def fit_tfidf(train_docs: DataFrame, key: str = "doc_id", text_col: str = "text"
         "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def tfidf_weights(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tfidf_weights(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text_col: str = "text",
+                  counts: DataFrame | None = None) -> DataFrame:
     """K3 transform: sublinear tf (1 + ln tf) * idf, L2-normalised per document; (doc, term, weight).
 
     The vocabulary has at most ``max_features`` rows, so broadcasting it is
     size-safe; the per-document norm is a window bounded by the vocabulary.
     """
-    tc = term_counts(docs, key, text_col).join(F.broadcast(vocab), "term", "inner")
+    tc = (counts if counts is not None else term_counts(docs, key, text_col)).join(
+        F.broadcast(vocab), "term", "inner")
     w = tc.withColumn("w", (1 + F.log(F.col("tf"))) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return w.select(key, "term", (F.col("w") / norm).alias("weight"))

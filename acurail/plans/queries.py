@@ -513,9 +513,8 @@ def english_documents(spark, sf_dir) -> DataFrame:
 
 @query("tfidf_weights")
 def q_tfidf_weights(spark, sf_dir):
-    docs = english_documents(spark, sf_dir)
-    vocab = preprocess.fit_tfidf(docs)
-    return _round_doubles(preprocess.tfidf_weights(docs, vocab))
+    _, weights = preprocess.tfidf_corpus(english_documents(spark, sf_dir))
+    return _round_doubles(weights)
 
 
 @query("tfidf_vocabulary")

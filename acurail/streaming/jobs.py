@@ -191,3 +191,42 @@ def start_decision_job(spark: SparkSession, in_dir: str, out_dir: str, checkpoin
     q2 = trig(bad.writeStream.foreachBatch(quarantine_sink(out_dir))
               .option("checkpointLocation", os.path.join(checkpoint, "quarantine"))).start()
     return q1, q2
+
+
+def enrichment_messages(gated: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Enrichment message per escalated record: the parsed explanation plus the gate's code,
+    label and detail, flagged with the ``enrichment`` sentinel. ``gated`` carries the gate columns
+    and ``enrichment_requested_at``; ``parsed`` is keyed by ``response_id`` = patient id."""
+    p = parsed.withColumnRenamed("response_id", "patient_id")
+    j = gated.filter(F.col("should_call_llm")).join(p, "patient_id", "inner")
+    return j.select(
+        "patient_id", F.lit(True).alias("enrichment"), "enrichment_requested_at",
+        F.struct("escalation_reason", "patient_summary", "risk_flags", "confidence_note",
+                 F.col("response_text").alias("full_text"), F.col("reason_code").alias("escalation_code"),
+                 F.col("reason_label").alias("escalation_label"), F.col("reason_detail").alias("escalation_detail"),
+                 "is_ready", F.col("error_code").alias("error")).alias("llm_explanation"))
+
+
+def enrichment_sink(out_dir: str):
+    """Publish enrichment messages as keyed JSON (idempotent per batch)."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(batch.select(F.col("patient_id").alias("key"), F.to_json(F.struct("*")).alias("value")),
+                     os.path.join(out_dir, "enrichment"), batch_id, "json")
+    return sink
+
+
+def start_feedback_job(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
+                       event_schema: T.StructType, stats_every: int = 20):
+    """Feedback events (JSON lines) -> flat feedback table + audit rows in one micro-batch;
+    events without a label or patient are quarantined."""
+    raw = read_json_lines(spark, in_dir)
+    parsed = raw.select(F.col("value"), F.from_json("value", event_schema).alias("e"))
+    ok = F.col("e").isNotNull() & F.col("e.patient_id").isNotNull()
+    events = parsed.filter(ok).select("e.*")
+    q1 = (events.writeStream.foreachBatch(feedback_sink(out_dir, stats_every))
+          .option("checkpointLocation", os.path.join(checkpoint, "feedback")).trigger(availableNow=True).start())
+    q2 = (parsed.filter(~ok).select(F.col("value").alias("raw_value"), F.lit("bad feedback event").alias("reason"))
+          .writeStream.foreachBatch(quarantine_sink(out_dir))
+          .option("checkpointLocation", os.path.join(checkpoint, "feedback_quarantine"))
+          .trigger(availableNow=True).start())
+    return q1, q2

@@ -90,3 +90,34 @@ def test_run_counters_update_mode(spark):
     q.awaitTermination()
     got = spark.sql("SELECT run_id, max(processed) AS n FROM counters_out GROUP BY run_id")
     assert got.agg(F.sum("n")).first()[0] == 1000
+
+
+def test_feedback_stream_matches_batch_flat(spark):
+    root = tempfile.mkdtemp(prefix="acurail-feedback-")
+    events = Q.events_table(spark, SF001).drop("submitted_at")
+    events.select(F.to_json(F.struct("*"))).repartition(3).write.text(os.path.join(root, "in", "a"))
+    qs = jobs.start_feedback_job(spark, os.path.join(root, "in", "*"), os.path.join(root, "out"),
+                                 os.path.join(root, "chk"), events.schema, stats_every=20)
+    for q in qs:
+        q.awaitTermination()
+    flat = spark.read.parquet(os.path.join(root, "out", "feedback"))
+    batch = Q.flat_table(spark, SF001)
+    assert flat.count() == batch.count() == events.count()
+    cols = ["patient_id", "feedback_type", "final_label", "guardrail_acuity", "safety_rail_reasons", "hx_copd"]
+    assert flat.select(*cols).exceptAll(batch.select(*cols)).count() == 0
+    assert spark.read.parquet(os.path.join(root, "out", "overrides")).count() == flat.count()
+    stats = spark.read.parquet(os.path.join(root, "out", "feedback_stats"))
+    assert stats.agg(F.sum("n")).first()[0] == flat.count()
+
+
+def test_enrichment_messages(spark):
+    from acurail.operators import review
+    from acurail.sources import tables
+    d = Q.decided(spark, SF001)
+    gated = review.escalation_gate(tables.message_times(d)).withColumn(
+        "enrichment_requested_at", F.col("safety_done_at"))
+    parsed = review.parse_responses(tables.explanation_texts(d))
+    msgs = jobs.enrichment_messages(gated, parsed)
+    r = msgs.first()
+    assert r["enrichment"] is True and r["llm_explanation"]["is_ready"] is True
+    assert msgs.filter(F.col("llm_explanation.escalation_code") == "NONE").count() == 0
