@@ -259,8 +259,30 @@ def with_decisions(body: str, *extra_ctes: str) -> str:
 ORACLE: dict[str, str] = {}
 
 
+def _json_as_text(sql: str) -> str:
+    """Wrap every ``to_json(...)`` in ``CAST(... AS VARCHAR)``: DuckDB returns a JSON type,
+    Spark a string; the text is the same."""
+    out, i, key = [], 0, "to_json("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(sql[i:j] + "CAST(" + sql[j:k + 1] + " AS VARCHAR)")
+        i = k + 1
+
+
 def register(name: str, sql: str) -> None:
-    ORACLE[name] = sql
+    ORACLE[name] = _json_as_text(sql)
 
 
 register("decisions", with_decisions(DECISIONS_SELECT))
