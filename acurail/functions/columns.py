@@ -77,10 +77,6 @@ def color_of(c: Column) -> Column:
     return _indexed(c, ACUITY_COLORS, F.lit("#888888"))
 
 
-def join_nonnull(arr: Column, sep: str) -> Column:
-    return F.array_join(arr, sep)
-
-
 _UNIT_SEP = "\u001f"
 
 

@@ -1,9 +1,9 @@
 """Declarative rule tables for the three decision layers.
 
 Each rule is ``(code, predicate, reason_text)`` over a ``Vitals`` bundle of
-normalised columns. Layers compile a table into ``when`` / ``filter``
-expressions, so every rule stays inside whole-stage codegen and no rule adds
-a shuffle.
+normalised columns. Layers compile a table into ``when`` / ``coalesce`` /
+``concat_ws`` expressions, so the rules stay inside whole-stage codegen and
+no rule adds a shuffle.
 """
 
 from __future__ import annotations
@@ -18,10 +18,6 @@ from acurail.constants import (
 )
 from acurail.functions.columns import any_keyword, first_keyword, fmt_fixed, safe_double
 
-_VITALS = ("heart_rate", "systolic_bp", "diastolic_bp", "spo2", "respiratory_rate",
-           "temperature_c", "gcs_total", "pain_score", "news2_score", "age")
-
-
 @dataclass(frozen=True)
 class Vitals:
     """Normalised inputs shared by all rule tables (NULL = missing)."""
