@@ -50,10 +50,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured (local tests) do we create a private scratch folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
+    if not configured:
+        configured = tempfile.mkdtemp(prefix="acurail-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    try:
         spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="acurail-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    except Exception:  # noqa: BLE001 - Spark Connect: the server reads spark.checkpoint.dir itself
+        pass
+    return configured

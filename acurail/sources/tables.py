@@ -45,10 +45,12 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     large inputs (many files / row groups) already split and are untouched,
     so no shuffle is added at scale.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect sessions expose no RDD API
+        return df
+    return df.repartition(target) if current < target else df
 
 
 def _class_weight(mult: int, mod: int, cls: int) -> str:
