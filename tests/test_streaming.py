@@ -121,3 +121,13 @@ def test_enrichment_messages(spark):
     r = msgs.first()
     assert r["enrichment"] is True and r["llm_explanation"]["is_ready"] is True
     assert msgs.filter(F.col("llm_explanation.escalation_code") == "NONE").count() == 0
+
+
+def test_route_by_sentinel_splits_two_topics(spark):
+    values = spark.createDataFrame([('{"patient_id": "A", "predicted_acuity": 2}',),
+                                    ('{"patient_id": "A", "enrichment": true}',),
+                                    ('{"patient_id": "B", "enrichment": false}',)], "value string")
+    decisions, enrichment = jobs.route_by_sentinel(values)
+    assert decisions.count() == 2 and enrichment.count() == 1
+    parsed = enrichment.select(F.from_json("value", jobs.ENRICHMENT_SCHEMA).alias("e")).first()["e"]
+    assert parsed["patient_id"] == "A" and parsed["enrichment"] is True
