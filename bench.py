@@ -8,7 +8,9 @@ Each query is forced end to end with the ``noop`` sink (full computation, no
 driver collect). Wall time includes planning. One untimed warm-up pass runs
 every headline query first (JVM start, JIT and Janino compilation of the
 large rule expressions cost several seconds once per JVM); the reported times
-are the second, timed pass. ``BENCH_WARMUP=0`` disables the warm-up pass.
+are the second, timed pass, with the cache cleared before every query so
+no persisted intermediate from the warm-up is reused. ``BENCH_WARMUP=0``
+disables the warm-up pass.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ def main() -> None:
 
     times, rows = {}, {}
     for name in HEADLINE:
+        # No cached data may carry over from the warm-up pass or an earlier query.
+        spark.catalog.clearCache()
         t0 = time.perf_counter()
         df = QUERIES[name](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
