@@ -131,3 +131,24 @@ def test_route_by_sentinel_splits_two_topics(spark):
     assert decisions.count() == 2 and enrichment.count() == 1
     parsed = enrichment.select(F.from_json("value", jobs.ENRICHMENT_SCHEMA).alias("e")).first()["e"]
     assert parsed["patient_id"] == "A" and parsed["enrichment"] is True
+
+
+def test_stream_scoring_with_trained_model_matches_batch(spark):
+    from acurail.operators import training
+    split = Q.split_training(spark, SF001)
+    model, _ = training.train_candidates(split, Q.MODEL_NUMERIC, Q.MODEL_CATEGORICAL,
+                                         names=["Logistic Regression"])
+    root = tempfile.mkdtemp(prefix="acurail-scored-")
+    recs = Q.stream_records(spark, SF001).drop("p1", "p2", "p3", "p4", "p5")
+    recs.select(F.to_json(F.struct("*"))).repartition(2).write.text(os.path.join(root, "in", "a"))
+    for q in jobs.start_decision_job(spark, os.path.join(root, "in", "*"), os.path.join(root, "out"),
+                                     os.path.join(root, "chk"), model=model):
+        q.awaitTermination()
+    out = spark.read.parquet(os.path.join(root, "out", "decision_table"))
+    assert out.count() == 1000 and set(out.select("model").distinct().toPandas()["model"]) == {model.name}
+    # The streaming (row-local TF-IDF) and batch (joined TF-IDF) scoring paths agree.
+    batch = model.transform(Q._enc(spark, SF001).drop("p1", "p2", "p3", "p4", "p5"), row_local=False)
+    j = out.select("patient_id", "p1", "p3").join(
+        batch.select("patient_id", F.col("p1").alias("b1"), F.col("p3").alias("b3")), "patient_id")
+    assert j.count() == 1000
+    assert j.filter("abs(p1 - b1) > 1e-9 OR abs(p3 - b3) > 1e-9").count() == 0
