@@ -40,11 +40,15 @@ def fit_impute_scale(train: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def apply_impute_scale(df: DataFrame, fitted: DataFrame, cols: list[str]) -> DataFrame:
-    """K1 transform: (coalesce(x, median) - mean) / scale. ``fitted`` is one row (broadcast-safe)."""
-    j = df.crossJoin(F.broadcast(fitted))
-    out = j.withColumns({c: (F.coalesce(F.col(c).cast("double"), F.col(f"{c}_median")) - F.col(f"{c}_mean"))
-                         / F.col(f"{c}_scale") for c in cols})
-    return out.drop(*[f"{c}_{s}" for c in cols for s in ("median", "mean", "scale")])
+    """K1 transform: (coalesce(x, median) - mean) / scale.
+
+    ``fitted`` is the one-row table of fitted parameters; its values are read
+    once and inlined as literals (model parameters, not data), so the
+    transform is a plain projection on batch and streaming inputs alike.
+    """
+    p = fitted.first().asDict()
+    return df.withColumns({c: (F.coalesce(F.col(c).cast("double"), F.lit(p[f"{c}_median"])) - F.lit(p[f"{c}_mean"]))
+                           / F.lit(p[f"{c}_scale"]) for c in cols})
 
 
 # ---------------------------------------------------------------- K2
@@ -144,12 +148,11 @@ def fit_tfidf(train_docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     with smooth idf = ln((1 + n) / (1 + df)) + 1. Returns (term, idf), at most max_features rows.
     ``counts`` may pass precomputed ``term_counts`` (shared with the transform)."""
     tc = counts if counts is not None else term_counts(train_docs, key, text_col)
-    n_docs = train_docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    n_docs = train_docs.count()
     stats = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")) \
         .filter(F.col("df") >= min_df)
     vocab = stats.orderBy(F.col("cf").desc(), F.col("term")).limit(max_features)
-    return vocab.crossJoin(F.broadcast(n_docs)).select(
-        "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return vocab.select("term", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def tfidf_weights(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text_col: str = "text",

@@ -69,11 +69,11 @@ def numeric_profile(spark: SparkSession, df: DataFrame, cols: list[str], stratum
         return out
 
     per = df.groupBy(F.col(stratum).cast("int").alias("acuity")).agg(*aggs())
-    whole = df.agg(*aggs())
+    # Whole-table statistics: one bounded row, inlined as literals for the fallback.
+    whole = df.agg(*aggs()).first().asDict()
     spine = spark.createDataFrame([(s,) for s in STRATA], "acuity int")
-    # Both sides are bounded by the number of strata (5 rows): broadcast is safe.
-    joined = spine.join(F.broadcast(per), "acuity", "left").crossJoin(F.broadcast(whole.select(
-        *[F.col(c).alias(f"all_{c}") for c in whole.columns])))
+    joined = spine.join(per, "acuity", "left").withColumns(
+        {f"all_{k}": F.lit(v) for k, v in whole.items()})
     use_all = F.coalesce(F.col("__rows"), F.lit(0)) == 0
     stats = ["n", "mean", "std", "min", "max"]
     picked = joined.select("acuity", F.when(use_all, "all").otherwise("stratum").alias("source"), *[
