@@ -8,8 +8,10 @@ shuffle instead:
 1. range-partition on ``(g, o)`` so a hot group spans many partitions, and
    pin that assignment with a reliable ``checkpoint`` (in the cluster's
    ``spark.checkpoint.dir``) so both uses below see identical partitions;
-2. number and sum rows locally per ``(partition, g)`` (bounded by partition
-   size);
+2. number rows locally from a monotonically increasing id taken after
+   ``sortWithinPartitions`` (no extra shuffle), and, only when running sums
+   are requested, sum per ``(partition, g)`` with a window bounded by the
+   partition size;
 3. aggregate per ``(partition, g)`` into a small table (at most
    partitions + groups rows), prefix-sum it over partitions per group, and
    join the offsets back.
@@ -38,28 +40,34 @@ def prefix_within(df: DataFrame, group: Sequence[str], order: Sequence[str],
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     group, order = list(group), list(order)
-    ranged = df.repartitionByRange(n, *group, *order).withColumn("_pid", F.spark_partition_id())
+    # Sorted range partitions; the monotonically increasing id then counts rows
+    # in sorted order within each partition, so a group's rows in a partition
+    # carry consecutive ids. The checkpoint pins partitions and ids.
+    ranged = (df.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order)
+              .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}))
     ranged = ranged.checkpoint(eager=True)
 
-    local_w = Window.partitionBy("_pid", *group).orderBy(*order)
-    run_w = local_w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumns({"_lseq": F.row_number().over(local_w),
-                                **{f"_lsum_{s}": F.sum(s).over(run_w) for s in sums}})
-
     parts = ranged.groupBy("_pid", *group).agg(
-        F.count(F.lit(1)).alias("_pcnt"), *[F.sum(s).alias(f"_psum_{s}") for s in sums])
+        F.count(F.lit(1)).alias("_pcnt"), F.min("_mid").alias("_pmin"),
+        *[F.sum(s).alias(f"_psum_{s}") for s in sums])
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
-        "_pid", *group,
+        "_pid", *group, "_pmin",
         F.coalesce(F.sum("_pcnt").over(before), F.lit(0)).alias("_ocnt"),
         *[F.coalesce(F.sum(f"_psum_{s}").over(before), F.lit(0)).alias(f"_osum_{s}") for s in sums])
 
+    local = ranged
+    if sums:
+        # Running sums need an ordered scan per (partition, group): bounded by partition size.
+        run_w = Window.partitionBy("_pid", *group).orderBy("_mid").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        local = ranged.withColumns({f"_lsum_{s}": F.sum(s).over(run_w) for s in sums})
     out = local.join(offsets, ["_pid", *group], "inner")
     out = out.withColumns({
-        seq_col: (F.col("_lseq") + F.col("_ocnt")).cast("long"),
+        seq_col: (F.col("_mid") - F.col("_pmin") + 1 + F.col("_ocnt")).cast("long"),
         **{f"running_{s}": F.col(f"_lsum_{s}") + F.col(f"_osum_{s}") for s in sums},
     })
-    internal = ["_pid", "_lseq", "_ocnt"] + [f"_lsum_{s}" for s in sums] + [f"_osum_{s}" for s in sums]
+    internal = ["_pid", "_mid", "_pmin", "_ocnt"] + [f"_lsum_{s}" for s in sums] + [f"_osum_{s}" for s in sums]
     return out.drop(*internal)
 
 
