@@ -8,10 +8,12 @@ import pytest
 from tests.conftest import SF001
 from tools.oracle_check import TABLES, digest
 
-NAMES = ["decisions", "safety_rails", "confidence_resolved", "feature_conflicts", "training_set", "dedup_first",
-         "numeric_profile", "run_summary", "message_sequence", "running_accuracy", "rail_reasons",
-         "override_matrix_dense", "feedback_flat", "parsed_responses", "escalation_gate", "macro_auc",
-         "classification_report", "impute_scale", "tfidf_weights", "stream_decisions"]
+def _oracle_names():
+    import __spark_entry__ as E
+    return sorted(E.oracle_sql())
+
+
+NAMES = _oracle_names()   # every query that has an SQL oracle
 
 
 @pytest.fixture(scope="module")
