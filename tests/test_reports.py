@@ -46,3 +46,16 @@ def test_categorical_profile_sums_to_one(spark):
     p = profile.categorical_profile(Q._enc(spark, SF001), ["sex", "mental_status_triage"])
     sums = p.groupBy("acuity", "column").agg(F.sum("freq").alias("s")).collect()
     assert all(abs(r["s"] - 1) < 1e-12 for r in sums)
+
+
+def test_dashboard_kpis_over_live_window(spark):
+    from acurail.operators import feedback, metrics
+    from acurail.sources import tables
+    d = Q.decided(spark, SF001)
+    recent = metrics.recent_records(tables.message_times(d).select(
+        "patient_id", "produced_at", "is_emergency", "true_acuity", "predicted_acuity", "confidence"), 100)
+    k = feedback.dashboard_kpis(recent, Q.actions_table(spark, SF001),
+                                tables.explanation_events(Q._enc(spark, SF001))).first()
+    assert k["patients_seen"] == 100
+    assert k["pending_review"] == k["patients_seen"] - k["accepted"] - k["overridden"]
+    assert 0 <= k["model_accuracy_pct"] <= 100 and 0 < k["avg_confidence"] <= 1
