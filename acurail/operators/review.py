@@ -227,7 +227,16 @@ def review_prompts(df: DataFrame, only_escalated: bool = True) -> DataFrame:
         "CONFIDENCE_NOTE:\n[1 sentence. What does ", confidence,
         " model confidence mean for clinical decision-making here?]",
     ]
-    prompt = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    # One template with %s slots keeps the generated code small (a long concat
+    # of literals and expressions exceeds what Janino compiles in one method).
+    template, args = [], []
+    for p in parts:
+        if isinstance(p, str):
+            template.append(p.replace("%", "%%"))
+        else:
+            template.append("%s")
+            args.append(F.coalesce(p.cast("string"), F.lit("null")))
+    prompt = F.format_string("".join(template), *args)
     return g.withColumn("prompt", prompt)
 
 
