@@ -31,3 +31,36 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = decision_list.fit(docs, table(spark, sf_dir, "labels"))
     return decision_list.judge(docs, rules).drop("text")
+
+
+#: Host, path and verdict of the rules that op9 applies (fixed values of its contract).
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query("op9_url_filter")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acurail.llm import url_filter
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+ORACLE["op9_url_filter"] = r"""
+WITH parts AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(url, '^(.*?)://([^/?#]*)([^?#]*)', 2, 's'),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '^(.*?)://([^/?#]*)([^?#]*)', 3, 's'), '') AS path
+  FROM pages),
+rules(rhost, rpath, action) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+         ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fits AS (
+  SELECT p.page_id, p.host, p.path, r.rhost || r.rpath AS rule, r.action,
+         row_number() OVER (PARTITION BY p.page_id, p.host, p.path
+                            ORDER BY length(r.rhost || r.rpath) DESC NULLS LAST) AS k
+  FROM parts p LEFT JOIN rules r
+    ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath))
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits WHERE k = 1
+"""
