@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acurail.llm.common import importable, table
+from acurail.llm.common import crc_bucket, importable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,3 +64,14 @@ fits AS (
     ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath))
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits WHERE k = 1
 """
+
+
+@query("op1_langid")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acurail.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(crc_bucket(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),
+        "lang_pred", "score", "rejected")
