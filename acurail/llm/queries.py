@@ -85,3 +85,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     held_out = F.coalesce(crc_bucket(F.col("doc_id"), toxicity.MODULUS) == toxicity.HELD_OUT, F.lit(False))
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op7_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acurail.llm import rule_ensemble
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rule_ensemble.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), rule_ensemble.MODULUS) == rule_ensemble.HELD_OUT, F.lit(False))
+    return rule_ensemble.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
