@@ -95,3 +95,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = rule_ensemble.fit(docs, table(spark, sf_dir, "labels"))
     held_out = F.coalesce(crc_bucket(F.col("doc_id"), rule_ensemble.MODULUS) == rule_ensemble.HELD_OUT, F.lit(False))
     return rule_ensemble.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op4_simhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acurail.llm import simhash
+
+    return simhash.duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
