@@ -102,3 +102,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from acurail.llm import simhash
 
     return simhash.duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op2_mixing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acurail.llm import mixing
+
+    d = mixing.copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
