@@ -110,3 +110,17 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = mixing.copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def word_tokenizer() -> str:
+    """Place of the public word tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op5_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acurail.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), word_tokenizer())
