@@ -147,11 +147,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     pdf = sample.mapInPandas(encode, "doc_id bigint, positive boolean, hits array<int>").toPandas()
     pdf = pdf.sort_values(["positive", "doc_id"], kind="stable")
     positive = pdf["positive"].to_numpy(dtype=bool)
+    hits = np.empty(len(pdf), dtype=object)
+    hits[:] = [np.asarray(h, dtype=np.int64) for h in pdf["hits"]]
     if not positive.any() or positive.all() or not number:
         return Model({}, math.log(prior / (1 - prior)))
 
     def share(mask: np.ndarray) -> np.ndarray:
-        found = np.concatenate(pdf["hits"][mask].tolist() or [np.zeros(0, dtype=np.int32)])
+        found = np.concatenate([np.zeros(0, dtype=np.int64), *hits[mask]]).astype(np.int64)
         return np.bincount(found, minlength=len(number)) / mask.sum()
 
     in_p, in_u = share(positive), share(~positive)
@@ -162,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     place = np.full(len(number), -1)
     place[best] = np.arange(len(best))
     x = np.zeros((len(pdf), len(best)), dtype=np.float32)
-    for i, h in enumerate(pdf["hits"]):
+    for i, h in enumerate(hits):
         at = place[h]
         x[i, at[at >= 0]] = 1.0
     w, bias = train_nnpu(x, positive, prior)
