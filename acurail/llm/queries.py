@@ -124,3 +124,25 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from acurail.llm import packing
 
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), word_tokenizer())
+
+
+@query("op8_warc")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acurail.llm import warc
+
+    directory = warc.write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_archive(directory).select("page_id", "payload_bytes", "payload_digest", "record_type",
+                                               "refers_to")
+
+
+ORACLE["op8_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, h, sha1(h) AS hex, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+         (CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS BIGINT))
+         & 31) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d
+"""
