@@ -244,16 +244,15 @@ def decisions(df: DataFrame, model_name: str = "unknown", keep_input: bool = Tru
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint decisions into ``spark.checkpoint.dir`` (reliable, lineage cut).
+    """Store decisions as Parquet in the shared checkpoint folder (lineage cut, readers prune columns).
 
     Filter or aggregate decision columns *after* this (or on the stored
     decision sink): pushing a predicate on e.g. ``predicted_acuity`` down
     through the rule layers makes Catalyst inline every layer into the
     predicate, which grows the plan multiplicatively.
     """
-    from acurail.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from acurail.session import stored
+    return stored(df, "decisions")
 
 
 def decision_record(df: DataFrame) -> DataFrame:

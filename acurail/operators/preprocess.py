@@ -95,7 +95,9 @@ def stratified_sample(df: DataFrame, label: str, key: str, n: int = 200, seed: i
     """at most ``n // 5`` rows per class (hash order), then the first ``n`` overall.
     A sampling operator: the limit is the feature."""
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
-    ranked = prefix_within(df.withColumn("_h", h), [label], ["_h", key], seq_col="_rk")
+    # Spark keeps the first rows of each class in every partition before the shuffle (ranked limit).
+    w = Window.partitionBy(label).orderBy("_h", key)
+    ranked = df.withColumn("_h", h).withColumn("_rk", F.row_number().over(w))
     return ranked.filter(F.col("_rk") <= n // 5).orderBy(label, "_rk").limit(n).drop("_h", "_rk")
 
 

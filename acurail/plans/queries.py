@@ -353,6 +353,7 @@ def q_feedback_events(spark, sf_dir):
 
 
 def flat_table(spark, sf_dir) -> DataFrame:
+    """The 99-column table, stored once as Parquet; each report scans only the columns it uses."""
     return materialized(feedback.feedback_flat(events_table(spark, sf_dir)))
 
 

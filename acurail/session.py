@@ -7,9 +7,11 @@ fill in settings that are unset (tests and local benches).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -46,15 +48,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; set a scratch one only if unset.
 
     Cluster deployments name a shared (HDFS/S3/ABFS) folder in
-    ``spark.checkpoint.dir``; that value always wins. Only when nothing is
-    configured (local tests) do we create a private scratch folder.
+    ``spark.checkpoint.dir``; that value always wins. Only a local master
+    without a setting gets a private scratch folder; on a cluster a folder of
+    the driver's machine would be invisible to the executors, so the missing
+    setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         configured = tempfile.mkdtemp(prefix="acurail-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    try:
-        spark.sparkContext.setCheckpointDir(configured)
-    except Exception:  # noqa: BLE001 - Spark Connect: the server reads spark.checkpoint.dir itself
-        pass
+    spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()``, but readers scan only the columns
+    they use, and the files are compressed.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/acurail-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,10 +26,18 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def read_optional(spark: SparkSession, path: str | None, reader=None) -> DataFrame | None:
-    """A3: an absent optional source is skipped (None) rather than failing the job."""
-    if not path or not os.path.exists(path):
+    """A3: an absent optional source is skipped (None) rather than failing the job.
+
+    Spark itself decides whether the path exists, so any file system works; other errors are raised.
+    """
+    if not path:
         return None
-    return (reader or (lambda p: read_csv(spark, p)))(path)
+    try:
+        return (reader or (lambda p: read_csv(spark, p)))(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def write_stream_input(records: DataFrame, num_files: int = 4, base: str | None = None) -> str:
