@@ -169,12 +169,24 @@ def rail_reasons(overrides: DataFrame, strict: bool = False) -> DataFrame:
     return items.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def combine_partials(partials: DataFrame) -> DataFrame:
+    """E13 from any number of ``feedback_partials`` tables."""
+    from acurail.functions.columns import py_round
+    return partials.groupBy("feedback_type").agg(
+        F.sum("n").alias("n"),
+        py_round(F.sum("label_sum") / F.sum("labelled"), 2).alias("avg_label"),
+        *[F.sum(c).alias(c) for c in ("rail_hits", "conflicts", "model_wrong")])
+
+
 def feedback_stats(flat: DataFrame) -> DataFrame:
     """Per feedback type: n, average label (2 places), rail hits, conflicts, model wrong."""
-    from acurail.functions.columns import py_round
+    return combine_partials(feedback_partials(flat))
+
+
+def feedback_partials(flat: DataFrame) -> DataFrame:
+    """E13 as sums that add up over parts of the table."""
     return flat.groupBy("feedback_type").agg(
-        F.count(F.lit(1)).alias("n"),
-        py_round(F.avg("final_label"), 2).alias("avg_label"),
+        F.count(F.lit(1)).alias("n"), F.sum("final_label").alias("label_sum"), F.count("final_label").alias("labelled"),
         F.count_if(F.col("safety_rail_triggered") == 1).alias("rail_hits"),
         F.count_if(F.col("has_feature_conflict") == 1).alias("conflicts"),
         F.count_if((F.col("model_predicted_acuity") != F.col("final_label"))

@@ -60,12 +60,33 @@ def read_kafka(spark: SparkSession, servers: str, topics: str, starting: str = "
 
 
 def parse_records(raw: DataFrame, schema: T.StructType = INPUT_SCHEMA) -> tuple[DataFrame, DataFrame]:
-    """A17 + B12: decode JSON; records that fail to parse or lack a key go to quarantine."""
-    parsed = raw.select(F.col("value"), F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"))
-    ok = F.col("r").isNotNull() & F.col("r.patient_id").isNotNull() & (F.col("r.patient_id") != "")
-    good = parsed.filter(ok).select("r.*")
-    bad = parsed.filter(~ok).select(F.col("value").alias("raw_value"),
-                                    F.lit("unparsable or missing patient_id").alias("reason"))
+    """A17 + B12: decode JSON; records that fail to parse, lack a key or hold a damaged field go to quarantine.
+
+    Whole-number floats (``1.0``) are accepted in integer fields. A field that
+    is present but is not of its type (a text vital, ``2.5`` in an integer
+    field) is damaged: the record is set aside with the field's name, never
+    scored as if the value were missing.
+    """
+    whole = {f.name: f.dataType for f in schema.fields if isinstance(f.dataType, (T.IntegerType, T.LongType))}
+    wide = T.StructType([T.StructField(f.name, T.DoubleType() if f.name in whole else f.dataType)
+                         for f in schema.fields])
+    parsed = raw.select(F.col("value"), F.from_json("value", wide, {"mode": "PERMISSIVE"}).alias("r"),
+                        F.from_json("value", "map<string,string>").alias("m"))
+
+    def damaged(f: T.StructField):
+        value = F.col(f"r.{f.name}")
+        lost = F.col("m")[f.name].isNotNull() & value.isNull()
+        return lost | (value != F.floor(value)) if f.name in whole else lost
+
+    broken = F.array_compact(F.array(*[F.when(damaged(f), F.lit(f.name)) for f in schema.fields]))
+    keyed = F.col("r.patient_id").isNotNull() & (F.col("r.patient_id") != "")
+    parsed = parsed.select("value", "r", F.when(
+        F.col("r").isNull() | F.col("m").isNull() | ~F.coalesce(keyed, F.lit(False)),
+        F.lit("unparsable or missing patient_id")).when(
+        F.size(broken) > 0, F.concat(F.lit("damaged field: "), F.array_join(broken, ", "))).alias("reason"))
+    good = parsed.filter(F.col("reason").isNull()).select(*[
+        F.col(f"r.{f.name}").cast(f.dataType).alias(f.name) for f in schema.fields])
+    bad = parsed.filter(F.col("reason").isNotNull()).select(F.col("value").alias("raw_value"), "reason")
     return good, bad
 
 
@@ -94,9 +115,12 @@ def dedupe_patients(records: DataFrame, watermark: str = "10 minutes") -> DataFr
 
 
 def attach_enrichment(decisions: DataFrame, enrichment: DataFrame, watermark: str = "10 minutes",
-                      within: str = "30 minutes") -> DataFrame:
+                      within: str = "24 hours") -> DataFrame:
     """Stream-stream left join of enrichment onto decisions; both sides watermarked,
-    so an enrichment that arrives first is not lost and state stays bounded."""
+    so an enrichment that arrives first is not lost and state stays bounded.
+
+    ``within`` is how long after its decision an explanation is still attached; it bounds the join state.
+    """
     d = decisions.withColumn("d_time", F.timestamp_seconds("produced_at")).withWatermark("d_time", watermark)
     e = enrichment.select(F.col("patient_id").alias("e_patient_id"), "llm_explanation", "explained_at",
                           F.timestamp_seconds("explained_at").alias("e_time")).withWatermark("e_time", watermark)
@@ -153,15 +177,24 @@ def decision_sink(out_dir: str, with_messages: bool = True):
 
 
 def feedback_sink(out_dir: str, stats_every: int = 20):
-    """One micro-batch writes the flat feedback table and the audit rows;
-    stats over the stored table are refreshed when the saved row count crosses a multiple of ``stats_every``."""
+    """One micro-batch writes the flat feedback table, the audit rows and its partial statistics;
+    the published statistics are refreshed when the number of saved rows crosses a multiple of ``stats_every``.
+
+    Each batch stores one partial row per feedback type (idempotent per batch id), and a refresh adds up these
+    small partials, so the history of feedback rows is never read again.
+    """
     def sink(events: DataFrame, batch_id: int) -> None:
+        spark = events.sparkSession
         flat = feedback.feedback_flat(events).persist()
         _write_batch(flat, os.path.join(out_dir, "feedback"), batch_id)
         _write_batch(feedback.override_rows(flat), os.path.join(out_dir, "overrides"), batch_id)
-        if flat.count() >= stats_every or batch_id % 10 == 0:
-            stored = flat.sparkSession.read.parquet(os.path.join(out_dir, "feedback"))
-            _write_batch(feedback.feedback_stats(stored), os.path.join(out_dir, "feedback_stats"), 0)
+        partials = os.path.join(out_dir, "feedback_partials")
+        _write_batch(feedback.feedback_partials(flat), partials, batch_id)
+        saved = spark.read.parquet(partials)
+        n = saved.agg(F.coalesce(F.sum("n"), F.lit(0)),
+                      F.coalesce(F.sum(F.when(F.col("batch_id") == batch_id, F.col("n"))), F.lit(0))).first()
+        if n[0] // stats_every > (n[0] - n[1]) // stats_every:
+            _write_batch(feedback.combine_partials(saved), os.path.join(out_dir, "feedback_stats"), 0)
         flat.unpersist()
     return sink
 
@@ -215,13 +248,60 @@ def enrichment_sink(out_dir: str):
     return sink
 
 
+def kafka_sink_options(servers: str, topic: str, checkpoint: str) -> dict[str, str]:
+    """Options of a keyed JSON Kafka sink."""
+    return {"kafka.bootstrap.servers": servers, "topic": topic, "checkpointLocation": checkpoint}
+
+
+def write_kafka(records: DataFrame, servers: str, topic: str, checkpoint: str):
+    """Publish (key, value) records to a Kafka topic; needs the Kafka connector. Returns the unstarted writer."""
+    return (records.select(F.col("key").cast("string"), F.col("value").cast("string")).writeStream.format("kafka")
+            .options(**kafka_sink_options(servers, topic, checkpoint)).outputMode("append"))
+
+
+def start_merged_job(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
+                     record_schema: T.StructType = INPUT_SCHEMA, watermark: str = "10 minutes",
+                     within: str = "24 hours"):
+    """A5 + H2 + J2 + J3 + A7: one stream of records and explanations -> routed, deduplicated, decided, joined, published.
+
+    Explanations may come before, after or without their decision; a decision
+    without one is published once its window has passed. Returns the started
+    queries (merged records, quarantine).
+    """
+    decisions_in, explanations_in = route_by_sentinel(read_json_lines(spark, in_dir))
+    good, bad = parse_records(decisions_in, record_schema)
+    decided = decide_stream(dedupe_patients(good, watermark).drop("event_time"))
+    notes = explanations_in.select(F.from_json("value", ENRICHMENT_SCHEMA).alias("e")).select("e.*").filter(
+        F.col("patient_id").isNotNull())
+    merged = attach_enrichment(decided.select("patient_id", "produced_at", "predicted_acuity", "label",
+                                              "requires_review", "safety_rail_triggered"), notes, watermark, within)
+    q1 = (merged.writeStream.foreachBatch(enrichment_sink(out_dir))
+          .option("checkpointLocation", os.path.join(checkpoint, "merged")).trigger(availableNow=True).start())
+    q2 = (bad.writeStream.foreachBatch(quarantine_sink(out_dir))
+          .option("checkpointLocation", os.path.join(checkpoint, "merged_quarantine"))
+          .trigger(availableNow=True).start())
+    return q1, q2
+
+
+def start_counter_job(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str):
+    """J5 + J8: live per-run counters; every micro-batch replaces the rows of the runs that it touched."""
+    good, _ = parse_records(read_json_lines(spark, in_dir))
+    counters = run_counters(decide_stream(good))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(batch, os.path.join(out_dir, "run_counters"), batch_id)
+
+    return (counters.writeStream.outputMode("update").foreachBatch(sink)
+            .option("checkpointLocation", os.path.join(checkpoint, "counters")).trigger(availableNow=True).start())
+
+
 def start_feedback_job(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
                        event_schema: T.StructType, stats_every: int = 20):
     """Feedback events (JSON lines) -> flat feedback table + audit rows in one micro-batch;
     events without a label or patient are quarantined."""
     raw = read_json_lines(spark, in_dir)
     parsed = raw.select(F.col("value"), F.from_json("value", event_schema).alias("e"))
-    ok = F.col("e").isNotNull() & F.col("e.patient_id").isNotNull()
+    ok = F.coalesce(F.col("e.patient_id").isNotNull() & F.col("e.final_label").isNotNull(), F.lit(False))
     events = parsed.filter(ok).select("e.*")
     q1 = (events.writeStream.foreachBatch(feedback_sink(out_dir, stats_every))
           .option("checkpointLocation", os.path.join(checkpoint, "feedback")).trigger(availableNow=True).start())
