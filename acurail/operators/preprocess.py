@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from acurail.constants import TFIDF_MAX_FEATURES, TFIDF_MIN_DF, TFIDF_TOKEN_PATTERN
 from acurail.functions.ordered import exact_percentiles, prefix_within
+from acurail.session import stored
 
 
 # ---------------------------------------------------------------- K1
@@ -26,13 +27,15 @@ def fit_impute_scale(train: DataFrame, cols: list[str]) -> DataFrame:
     long = train.select(F.lit(1).alias("_g"), F.inline(entries))
     med = exact_percentiles(long, ["_g", "col"], "v", [0.5])
     stats = long.groupBy("_g", "col").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("nn"),
-                                         F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss"))
+                                         F.avg("v").alias("a"), F.var_pop("v").alias("vp"))
     j = stats.join(med, ["_g", "col"], "left").withColumnRenamed("q50", "median")
-    # Imputed values: nulls replaced by the median (sum and sum of squares adjust in closed form).
+    # Imputed values: nulls replaced by the median. Mean and variance adjust in closed form from centred
+    # moments, so nothing cancels on large values.
     nmiss = F.col("n") - F.col("nn")
-    mean = (F.col("s") + nmiss * F.col("median")) / F.col("n")
+    mean = (F.col("nn") * F.col("a") + nmiss * F.col("median")) / F.col("n")
     j = j.withColumn("mean", mean)
-    var = (F.col("ss") + nmiss * F.col("median") * F.col("median")) / F.col("n") - F.col("mean") * F.col("mean")
+    var = (F.col("nn") * (F.col("vp") + (F.col("a") - F.col("mean")) ** 2)
+           + nmiss * (F.col("median") - F.col("mean")) ** 2) / F.col("n")
     j = j.withColumn("scale", F.when(F.sqrt(F.greatest(var, F.lit(0.0))) > 0,
                                      F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(F.lit(1.0)))
     return j.groupBy("_g").pivot("col", cols).agg(
@@ -103,7 +106,11 @@ def stratified_sample(df: DataFrame, label: str, key: str, n: int = 200, seed: i
 
 # ---------------------------------------------------------------- K3
 def _accent_table() -> tuple[str, str]:
-    """Accent folding for the Latin blocks, derived from Unicode NFKD (1:1 mappings only)."""
+    """Accent folding for the Latin blocks, derived from Unicode NFKD (1:1 mappings).
+
+    Combining marks stand at the end of the source without a counterpart, so ``translate`` deletes them and
+    decomposed text folds like precomposed text.
+    """
     src, dst = [], []
     for cp in list(range(0x00C0, 0x0250)) + list(range(0x1E00, 0x1F00)):
         ch = chr(cp)
@@ -111,7 +118,17 @@ def _accent_table() -> tuple[str, str]:
         if len(base) == 1 and base != ch:
             src.append(ch)
             dst.append(base)
-    return "".join(src), "".join(dst)
+    return "".join(src) + "".join(map(chr, range(0x0300, 0x0370))), "".join(dst)
+
+
+def _ligatures() -> list[tuple[str, str]]:
+    """Lower-case Latin letters whose NFKD form has several letters (ligatures and digraphs)."""
+    found = []
+    for cp in [*range(0x00C0, 0x0250), *range(0xFB00, 0xFB07)]:
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(cp)) if not unicodedata.combining(c))
+        if len(base) > 1 and chr(cp) == chr(cp).lower():
+            found.append((chr(cp), base))
+    return found
 
 
 _ACC_FROM, _ACC_TO = _accent_table()
@@ -120,27 +137,32 @@ _ACC_FROM, _ACC_TO = _accent_table()
 def tokens(text_col: str = "text") -> F.Column:
     """Lower-case, fold accents, extract ``[a-zA-Z]{2,}`` tokens."""
     t = F.translate(F.lower(F.coalesce(F.col(text_col), F.lit(""))), _ACC_FROM, _ACC_TO)
+    for letter, base in _ligatures():
+        t = F.replace(t, F.lit(letter), F.lit(base))
     return F.regexp_extract_all(t, F.lit(f"({TFIDF_TOKEN_PATTERN})"), 1)
 
 
+def grams(tok: F.Column) -> F.Column:
+    """Unigrams and bigrams of a token array."""
+    pairs = F.zip_with(tok, F.slice(tok, 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.concat(tok, F.filter(pairs, lambda x: x.isNotNull()))
+
+
 def term_counts(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, term, tf) for unigrams and bigrams of each document (whole text)."""
-    tok = docs.select(key, tokens(text_col).alias("tok"))
-    # Bigrams pair each token with its successor; the token array is only
-    # referenced outside lambdas, so it is never recomputed per element.
-    pairs = F.zip_with("tok", F.slice("tok", 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
-    grams = tok.select(key, F.concat(F.col("tok"), F.filter(pairs, lambda x: x.isNotNull())).alias("grams"))
-    return grams.select(key, F.explode("grams").alias("term")).groupBy(key, "term").agg(
+    # Documents are dealt out by their key first: counting a document's terms and its norm both reuse that
+    # partitioning, so the far larger (doc, term) rows never move.
+    tok = docs.select(key, text_col).repartition(key).select(key, tokens(text_col).alias("tok"))
+    # The token array is only referenced outside lambdas, so it is never recomputed per element.
+    return tok.select(key, F.explode(grams(F.col("tok"))).alias("term")).groupBy(key, "term").agg(
         F.count(F.lit(1)).alias("tf"))
 
 
 def tfidf_corpus(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Fit and transform one corpus with a single tokenisation pass: the
-    (doc, term, tf) table is persisted and feeds both the vocabulary and the
-    weights. Returns (vocab, weights)."""
-    tc = term_counts(docs, key, text_col).persist()
-    vocab = fit_tfidf(docs, key, text_col, counts=tc)
-    return vocab, tfidf_weights(docs, vocab, key, text_col, counts=tc)
+    """Fit and transform one corpus. The vocabulary (at most ``max_features`` rows) is stored; the (doc, term)
+    counts are taken again for the weights, which is cheaper than keeping them. Returns (vocab, weights)."""
+    vocab = stored(fit_tfidf(docs, key, text_col), "vocabulary")
+    return vocab, tfidf_weights(docs, vocab, key, text_col)
 
 
 def fit_tfidf(train_docs: DataFrame, key: str = "doc_id", text_col: str = "text",

@@ -950,7 +950,7 @@ FROM split CROSS JOIN (
           GROUP BY mental_status_triage ORDER BY count(*) DESC, mental_status_triage LIMIT 1) AS ms_mode) m""", *TRAIN_CTES))
 
 TFIDF_CTES = (
-    "docs AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[a-zA-Z]{2,}') AS tok FROM documents WHERE lang = 'en')",
+    "docs AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[a-zA-Z]{2,}') AS tok FROM documents)",
     "grams AS (SELECT doc_id, unnest(tok || [tok[i] || ' ' || tok[i + 1] for i in range(1, len(tok))]) AS term FROM docs)",
     "tfs AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY 1, 2)",
     """vocab AS (
