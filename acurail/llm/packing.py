@@ -31,10 +31,12 @@ END_ID = 1
 SENTENCE_PENALTY, HARD_PENALTY = 8.0, 64.0
 #: Tokens of a partition that one round of the dynamic programme covers.
 BLOCK_TOKENS = 1 << 18
+#: Words that are encoded as one text.
+JOINED = 256
 #: Documents whose new words are encoded together.
 GROUP = 256
 #: Words whose ids a worker remembers, and the longest word that is remembered.
-MEMORY_WORDS, MEMORY_LENGTH = 400_000, 64
+MEMORY_WORDS, MEMORY_LENGTH = 1_000_000, 64
 
 
 @lru_cache(maxsize=2)
@@ -70,13 +72,33 @@ class WordEncoder:
                                             add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of single words. Words of letters alone are one piece each, so they are encoded joined and told
+        apart by the piece number of each token."""
+        plain, other = [], []
+        for w in words:
+            s = w.decode("utf-8", "surrogatepass")
+            (plain if s.isalpha() and s.lower().isalpha() else other).append(w)
+        found = dict(zip(other, self.encode(other))) if other else {}
+        groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
+        whole = self.tokenizer.encode_batch([b" ".join(g).decode() for g in groups], add_special_tokens=False)
+        for g, e in zip(groups, whole):
+            piece = np.array(e.word_ids, dtype=np.int64)
+            if len(piece) == 0 or piece[-1] != len(g) - 1:  # letters that normalisation takes apart
+                found.update(zip(g, self.encode(g)))
+                continue
+            raw = np.array(e.ids, dtype="<u4").tobytes()
+            cuts = (4 * np.searchsorted(piece, np.arange(len(g) + 1))).tolist()
+            found.update((w, raw[a:b]) for w, a, b in zip(g, cuts[:-1], cuts[1:]))
+        return found
+
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
         memory = self.memory
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         words = [[] if b"<|" in r else _MARK.sub(rb" \g<0>", r.lower()).split() for r in raw]
         unseen = [w for w in set(chain.from_iterable(words)) if w not in memory]
-        now = dict(zip(unseen, self.encode(unseen))) if unseen else {}
+        now = self.encode_words(unseen) if unseen else {}
         room = MEMORY_WORDS - len(memory)  # common words come early, so a full memory is kept as it is
         memory.update((w, i) for w, i in islice(now.items(), max(0, room)) if len(w) <= MEMORY_LENGTH)
         rest = {w: i for w, i in now.items() if w not in memory}
