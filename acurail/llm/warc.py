@@ -120,26 +120,23 @@ DIRECTORY = ("part string, first_key string, last_key string, captures bigint, i
              "warc_start bigint, warc_bytes bigint")
 
 
-def decided(pages: DataFrame, min_payload_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, digest, size, refers_to, key): which pages revisit which response.
-
-    Pages of equal payloads (SHA-256 and length) of at least
-    ``min_payload_bytes`` have one response, that of the smallest ``page_id``;
-    the others get its id in ``refers_to``. Only payloads that occur more than
-    once are joined back, and only their digests move for that. A revisit's
-    html is dropped before any text moves.
+def decided(pages: DataFrame, min_payload_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(page rows, revisit marks), both with columns key, page_id, sha.
+
+    Pages of equal payloads (SHA-256) of at least ``min_payload_bytes`` have
+    one response, that of the smallest ``page_id``; a mark names each page that
+    revisits it in ``refers_to``. Marks come from ids and digests alone: no html
+    moves to decide.
     """
     d = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    d = d.select("page_id", "url", "html", F.octet_length("html").cast("bigint").alias("size"),
-                 F.sha2("html", 256).alias("sha"))
-    repeated = (d.filter(F.col("size") >= min_payload_bytes).groupBy("sha", "size")
-                .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-                .select(F.col("sha").alias("rs"), F.col("size").alias("rz"), "first"))
-    d = d.join(repeated, (F.col("sha") == F.col("rs")) & (F.col("size") == F.col("rz")), "left")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return d.select("page_id", "url", F.when(~again, F.col("html")).alias("html"),
-                    F.unhex(F.sha1("html")).alias("sha1"), "size", F.when(again, F.col("first")).alias("refers_to"),
-                    url_key(F.col("url")).alias("key"))
+    d = d.select(url_key(F.col("url")).alias("key"), "page_id", F.unhex(F.sha2("html", 256)).alias("sha"), "url", "html")
+    thin = d.select("key", "page_id", "sha", F.octet_length("html").alias("size")).filter(
+        F.col("size") >= min_payload_bytes)
+    repeated = (thin.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
+                .filter("n > 1 AND refers_to IS NOT NULL"))
+    marks = (thin.join(repeated, "sha").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+             .select("key", "page_id", "sha", "refers_to"))
+    return d, marks
 
 
 def write_archive(pages: DataFrame, folder: str | None = None, min_payload_bytes: int = 0) -> DataFrame:
@@ -154,6 +151,7 @@ def write_archive(pages: DataFrame, folder: str | None = None, min_payload_bytes
     folder = folder or shared_path(pages.sparkSession, "warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        capture, revisits = None, {}
         task = TaskContext.get()
         store, root = open_store(folder)
         part = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
@@ -171,16 +169,22 @@ def write_archive(pages: DataFrame, folder: str | None = None, min_payload_bytes
 
         for batch in batches:
             for row in batch.to_pylist():
+                if (row["key"], row["page_id"]) != capture:
+                    capture, revisits = (row["key"], row["page_id"]), {}
+                if row["html"] is None:  # a mark; it sorts before the page that it speaks of
+                    revisits[row["sha"]] = row["refers_to"]
+                    continue
                 if warc is None:
                     store.create_dir(root, recursive=True)
                     warc = store.open_output_stream(f"{root}/{part}.warc.gz", compression=None)
                     index = store.open_output_stream(f"{root}/{part}.cdx", compression=None)
-                html = None if row["html"] is None else row["html"].encode("utf-8", "surrogatepass")
-                data = record(row["page_id"], row["url"], html, base64.b32encode(row["sha1"]).decode(), row["size"],
-                              row["refers_to"])
+                html = row["html"].encode("utf-8", "surrogatepass")
+                again = row["sha"] in revisits
+                data = record(row["page_id"], row["url"], None if again else html, payload_digest(html), len(html),
+                              revisits.get(row["sha"]))
                 warc.write(data)
                 lines.append(json.dumps([row["key"], at, len(data)], ensure_ascii=True))
-                at, payload = at + len(data), payload + (len(html) if html else 0)
+                at, payload = at + len(data), payload + (0 if again else len(html))
                 if len(lines) >= BLOCK_CAPTURES or payload >= BLOCK_BYTES:
                     close_block()
         if warc is not None:
@@ -192,13 +196,13 @@ def write_archive(pages: DataFrame, folder: str | None = None, min_payload_bytes
         for i in range(0, len(rows), 1000):
             yield pa.record_batch([pa.array(c) for c in zip(*rows[i:i + 1000])], names=names)
 
-    # Page ids split hot keys, so one very common host or URL spreads over many archives.
-    # The boundaries are sampled from stored rows: thin ones would have to be joined back to their html.
-    d = decided(pages, min_payload_bytes)
-    ordered = d.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    columns = ["page_id", "url", "html", "sha1", "size", "refers_to", "key"]
-    return staged(ordered.select(*columns).mapInArrow(write, DIRECTORY), "warc-directory").withColumn(
-        "folder", F.lit(folder))
+    # Pages and marks are sorted together, so html is shuffled once and never joined. Page ids split hot keys:
+    # one very common host or URL spreads over many archives.
+    d, marks = decided(pages, min_payload_bytes)
+    both = marks.unionByName(d, allowMissingColumns=True).select("key", "page_id", "sha", "refers_to", "url", "html")
+    ordered = both.repartitionByRange("key", "page_id").sortWithinPartitions(
+        "key", "page_id", F.col("html").isNotNull(), "sha")
+    return staged(ordered.mapInArrow(write, DIRECTORY), "warc-directory").withColumn("folder", F.lit(folder))
 
 
 def _read(store: fs.FileSystem, path: str, start: int, size: int) -> bytes:
@@ -229,7 +233,10 @@ def read_archive(directory: DataFrame) -> DataFrame:
                 found = [_capture(gzip.decompress(span[at:at + size])) for at, size in cuts]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found), types)], names=names)
 
-    return directory.repartition("part", "warc_start").mapInArrow(read, CAPTURES)
+    # A few blocks a task: their rows are tiny, so adaptive execution would put far too many into one.
+    blocks = directory.count()
+    tasks = max(1, -(-blocks // max(4, blocks // 10_000)))
+    return directory.repartition(tasks, "part", "warc_start").mapInArrow(read, CAPTURES)
 
 
 def lookup(directory: DataFrame, urls: DataFrame) -> DataFrame:
