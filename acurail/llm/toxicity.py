@@ -11,16 +11,14 @@ from __future__ import annotations
 
 import math
 import string
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acurail.llm.common import crc_bucket, labelled_ids, without
+from acurail.llm.common import crc_bucket, labelled_ids, staged, without
 
 MODULUS, HELD_OUT = 4, 2
 #: Most confirmed toxic and most unlabelled texts that a classifier is trained on.
@@ -75,28 +73,45 @@ class Model:
         return score
 
 
-def train_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05,
+@dataclass(frozen=True)
+class Hits:
+    """Sparse binary rows: ``feature`` holds the features of all rows in turn, ``row`` the row of each."""
+
+    row: np.ndarray
+    feature: np.ndarray
+    rows: int
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.feature], minlength=self.rows)
+
+    def transposed_dot(self, g: np.ndarray, features: int) -> np.ndarray:
+        return np.bincount(self.feature, weights=g[self.row], minlength=features)
+
+
+def train_nnpu(p: Hits, u: Hits, features: int, prior: float, rounds: int = 400, rate: float = 0.05,
                ridge: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Linear weights and bias minimising the non-negative PU risk of the logistic loss (Adam, full batch)."""
-    p, u = x[positive], x[~positive]
-    w, b = np.zeros(x.shape[1]), math.log(prior / (1 - prior))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    """Linear weights and bias minimising the non-negative PU risk of the logistic loss (Adam, full batch).
+
+    ``p`` are the confirmed positives, ``u`` the unlabelled rows.
+    """
+    w, b = np.zeros(features), math.log(prior / (1 - prior))
+    m, v = np.zeros(features + 1), np.zeros(features + 1)
 
     def sigmoid(z: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))
 
     for t in range(1, rounds + 1):
-        zp, zu = p @ w.astype(np.float32) + b, u @ w.astype(np.float32) + b
+        zp, zu = p.dot(w) + b, u.dot(w) + b
         sp, su = sigmoid(zp), sigmoid(zu)
         negative_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp_pos = -prior * (1 - sp) / len(p)  # d/dz of prior * loss(z, +1)
-        gp_neg, gu_neg = -prior * sp / len(p), su / len(u)
+        gp_pos = -prior * (1 - sp) / p.rows  # d/dz of prior * loss(z, +1)
+        gp_neg, gu_neg = -prior * sp / p.rows, su / u.rows
         if negative_risk < 0:  # undo over-fitting of the negative part only
             gp, gu = -gp_neg, -gu_neg
         else:
             gp, gu = gp_pos + gp_neg, gu_neg
-        g = np.concatenate([p.T @ gp.astype(np.float32) + u.T @ gu.astype(np.float32) + ridge * w,
-                            [gp.sum() + gu.sum()]])
+        g = np.append(p.transposed_dot(gp, features) + u.transposed_dot(gu, features) + ridge * w,
+                      gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -122,54 +137,46 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
                                              & (crc_bucket(F.col("doc_id"), MODULUS) != HELD_OUT))
                 .orderBy(F.xxhash64(F.lit("unlabelled"), "doc_id"), "doc_id").limit(max_unlabelled)
                 .distinct().select("doc_id", F.lit(False).alias("positive")))
-    texts = docs.select("doc_id", "text")
-
-    def distinct_features(column):
-        @F.arrow_udf("array<string>")
-        def of(values: pa.Array) -> pa.Array:
-            return pa.array([sorted(features_of(x.as_py())) for x in values], pa.list_(pa.string()))
-        return of.asNondeterministic()(column)
-
-    # Candidate features: shared by enough of the (bounded) positives.
-    positives = texts.join(F.broadcast(confirmed), "doc_id")
-    shared = (positives.select(F.explode(distinct_features(F.col("text"))).alias("f")).groupBy("f").count()
-              .filter(F.col("count") >= max(3, round(0.004 * min(seen["p"], max_positive))))
-              .orderBy(F.desc("count"), "f").limit(50 * MAX_FEATURES).select("f").toPandas()["f"].tolist())
-    number = {f: i for i, f in enumerate(sorted(shared))}
-
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            hits = [np.array(sorted(number[f] for f in features_of(t) if f in number), dtype=np.int32)
-                    for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "positive": pdf["positive"], "hits": hits})
-
-    sample = texts.join(F.broadcast(confirmed.unionByName(anything)), "doc_id").select("doc_id", "positive", "text")
-    pdf = sample.mapInPandas(encode, "doc_id bigint, positive boolean, hits array<int>").toPandas()
-    pdf = pdf.sort_values(["positive", "doc_id"], kind="stable")
-    positive = pdf["positive"].to_numpy(dtype=bool)
-    hits = np.empty(len(pdf), dtype=object)
-    hits[:] = [np.asarray(h, dtype=np.int64) for h in pdf["hits"]]
-    if not positive.any() or positive.all() or not number:
-        return Model({}, math.log(prior / (1 - prior)))
-
-    def share(mask: np.ndarray) -> np.ndarray:
-        found = np.concatenate([np.zeros(0, dtype=np.int64), *hits[mask]]).astype(np.int64)
-        return np.bincount(found, minlength=len(number)) / mask.sum()
-
-    in_p, in_u = share(positive), share(~positive)
-    # Features that positives have more often than the mixture, by how much they tell (ties: by name).
-    gain = np.where(in_p > 2 * in_u, in_p * np.log((in_p + 1e-6) / (in_u + 1e-4)), 0)
-    best = np.argsort(-gain, kind="stable")[:MAX_FEATURES]
-    best = np.sort(best[gain[best] > 0])
-    place = np.full(len(number), -1)
-    place[best] = np.arange(len(best))
-    x = np.zeros((len(pdf), len(best)), dtype=np.float32)
-    for i, h in enumerate(hits):
-        at = place[h]
-        x[i, at[at >= 0]] = 1.0
-    w, bias = train_nnpu(x, positive, prior)
-    names = sorted(number)
-    return Model({names[j]: float(w[i]) for i, j in enumerate(best)}, bias)
+
+    @F.arrow_udf("array<string>")
+    def distinct_features(values: pa.Array) -> pa.Array:
+        return pa.array([sorted(features_of(x.as_py())) for x in values], pa.list_(pa.string()))
+
+    ids = confirmed.unionByName(anything)  # bounded by max_positive + max_unlabelled
+    sample = staged(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(
+        "doc_id", "positive", distinct_features.asNondeterministic()(F.col("text")).alias("fs")), "toxicity-sample")
+    sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
+    n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
+    base = Model({}, math.log(prior / (1 - prior)))
+    if not n_p or not n_u:
+        return base
+    # Features that enough positives share, and how often unlabelled texts have them. A feature is kept if
+    # positives have it clearly more often than the mixture does: at twice the rate, and beyond chance.
+    features = sample.select("doc_id", "positive", F.explode("fs").alias("f"))
+    shared = (features.filter("positive").groupBy("f").agg(F.count("*").alias("p"))
+              .filter(F.col("p") >= max(3, round(0.004 * n_p))))
+    mixed = (features.filter(~F.col("positive")).join(shared.select("f"), "f", "left_semi")
+             .groupBy("f").agg(F.count("*").alias("u")))
+    told = shared.join(mixed, "f", "left").select("f", "p", F.coalesce("u", F.lit(0)).alias("u"))
+    expected = F.col("u") * (n_p / n_u)
+    gain = F.col("p") * F.log((F.col("p") / n_p + 1e-6) / (F.col("u") / n_u + 1e-4))
+    best = (told.filter((F.col("p") > 2 * expected) & (F.col("p") - expected > 4 * F.sqrt(expected + 1)))
+            .orderBy(gain.desc(), "f").limit(MAX_FEATURES).select("f").toPandas()["f"].tolist())
+    names = sorted(best)
+    if not names:
+        return base
+    numbered = docs.sparkSession.createDataFrame(list(enumerate(names)), "i int, f string")
+    hits = (features.join(F.broadcast(numbered), "f").groupBy("positive", "doc_id")
+            .agg(F.collect_set("i").alias("i"))).toPandas()
+
+    def rows(positive: bool, n: int) -> Hits:
+        part = hits[hits["positive"] == positive].sort_values("doc_id")
+        found = [np.asarray(x, dtype=np.int64) for x in part["i"]]
+        row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        return Hits(row, np.concatenate([np.zeros(0, dtype=np.int64), *map(np.sort, found)]), n)
+
+    w, bias = train_nnpu(rows(True, n_p), rows(False, n_u), len(names), prior)
+    return Model({f: float(x) for f, x in zip(names, w)}, bias)
 
 
 RESULT = ["score", "predicted"]
