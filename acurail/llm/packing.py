@@ -2,7 +2,7 @@
 
 The documents of a scan partition form one token stream in their stored order.
 Windows of at most ``length`` tokens are cut at document ends (free), sentence
-ends or, where a sentence leaves no other choice, anywhere. The cheapest cuts
+ends or, at a higher price, within stretches that have no sentence end for long. The cheapest cuts
 minimise padding plus a penalty per truncated document. With positions ``p``
 and ``best[i] = min over j of best[j] + length - (p[i] - p[j]) + penalty[i]``,
 ``best[j] + p[j]`` is all that a transition needs, so a monotone queue over
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 LENGTH = 2048
 END_ID = 1
 #: Cost, in tokens of padding, of ending a window inside a document: at a sentence end, or anywhere.
-SENTENCE_PENALTY, HARD_PENALTY = 8.0, 64.0
+SENTENCE_PENALTY, HARD_PENALTY = 8.0, 32.0
+#: Stretches of more tokens than this without a sentence end may be cut every so many tokens.
+LONG_SENTENCE, HARD_STEP = 64, 16
 #: Tokens of a partition that one round of the dynamic programme covers.
 BLOCK_TOKENS = 1 << 18
 #: Words that are encoded as one text.
@@ -155,8 +157,9 @@ def cut_points(ids: np.ndarray, doc_ends: np.ndarray, stops: np.ndarray, length:
     sentence = np.flatnonzero(np.isin(ids, stops)) + 1
     points = np.union1d(sentence, doc_ends)
     points = np.union1d(points, [0, len(ids)])
-    gaps = np.diff(points)
-    hard = [np.arange(points[i] + length, points[i + 1], length) for i in np.flatnonzero(gaps > length)]
+    step = min(HARD_STEP, length)
+    long = np.flatnonzero(np.diff(points) > min(LONG_SENTENCE, length))
+    hard = [np.arange(points[i] + step, points[i + 1], step) for i in long]
     every = np.union1d(points, np.concatenate(hard)) if hard else points
     penalty = np.full(len(every), HARD_PENALTY)
     penalty[np.isin(every, sentence)] = SENTENCE_PENALTY
