@@ -16,6 +16,7 @@ from acurail.constants import (
     FEEDBACK_GUARDRAIL, FEEDBACK_IDENTITY, FEEDBACK_INT_COLS, FEEDBACK_JSON_COLS, FEEDBACK_REAL_COLS,
     FEEDBACK_VITALS, HISTORY_COLS,
 )
+from acurail.operators import layers
 from acurail.operators.review import py_strip
 
 FEEDBACK_COLUMNS = (FEEDBACK_IDENTITY + FEEDBACK_DECISION + FEEDBACK_VITALS + FEEDBACK_DEMOGRAPHIC
@@ -32,23 +33,16 @@ def feedback_sql_type(col: str) -> str:
     return "string"
 
 
-def merge_history(decisions: DataFrame, raw: DataFrame, key: str = "patient_id") -> DataFrame:
-    """D3: bring history-type fields of the input next to the decision; existing keys win."""
-    extra = [c for c in raw.columns if c != key and (c.startswith("hx_") or c in (
+def merge_history(decisions: DataFrame) -> DataFrame:
+    """D3: history-type fields of the input next to the decision; existing keys win.
+
+    Decisions made with ``keep_input`` carry the input's columns, so this is a projection, not a join.
+    """
+    extra = [c for c in decisions.columns if c.startswith("hx_") or c in (
         "medical_history", "past_medical_history", "arrival_mode", "arrival_transport",
-        "mental_status", "mentation", "injury_type", "mechanism_of_injury"))]
-    r = raw.select(key, *[F.col(c).alias(f"__raw_{c}") for c in extra])
-    out = decisions.join(r, key, "left")
-    return out.withColumns({
-        c: (F.coalesce(F.col(c), F.col(f"__raw_{c}")) if c in decisions.columns else F.col(f"__raw_{c}"))
-        for c in extra}).drop(*[f"__raw_{c}" for c in extra])
-
-
-def accept_type() -> Column:
-    """C22 on a flat decision row: guardrail_accepted when any layer intervened, else accepted."""
-    changed = F.col("original_acuity") != F.col("predicted_acuity")
-    return F.when(changed | F.col("safety_rail_triggered") | F.col("confidence_state").isin("AMBIGUOUS", "LOW")
-                  | F.col("has_feature_conflict"), F.lit("guardrail_accepted")).otherwise(F.lit("accepted"))
+        "mental_status", "mentation", "injury_type", "mechanism_of_injury")]
+    kept = [c for c in layers.DECISION_COLUMNS if c in decisions.columns]
+    return decisions.select(*dict.fromkeys([*kept, *extra]))
 
 
 def feedback_events(decided: DataFrame, actions: DataFrame) -> DataFrame:

@@ -8,8 +8,7 @@ Column contract
 ---------------
 input   : patient_id, vitals (heart_rate ... news2_score), age,
           mental_status_triage, chief_complaint_raw, hx_*, and class
-          probabilities p1..p5 (or a ``probability`` vector via
-          ``probabilities_from_vector``).
+          probabilities p1..p5.
 output  : the decision columns listed in ``DECISION_COLUMNS``.
 """
 
@@ -42,13 +41,6 @@ def _argmax(vals: list[Column]) -> tuple[Column, Column]:
     return cls, top
 
 
-def probabilities_from_vector(df: DataFrame, col: str = "probability") -> DataFrame:
-    """Split a Spark ML probability vector (class index i -> acuity i+1) into p1..p5."""
-    from pyspark.ml.functions import vector_to_array
-    arr = vector_to_array(F.col(col))
-    return df.withColumns({f"p{k}": arr[k - 1] for k in CLASSES})
-
-
 def base_prediction(df: DataFrame, model_name: str = "unknown",
                     emergency_max: int = EMERGENCY_MAX_DECISION) -> DataFrame:
     """Argmax class, confidence, label, colour, emergency flag, probability map."""

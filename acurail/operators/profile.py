@@ -14,6 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from acurail.constants import TARGET
+from acurail.functions.columns import py_round
 
 STRATA = [1, 2, 3, 4, 5]
 
@@ -44,11 +45,14 @@ def stratum_stats(df: DataFrame, cols: list[str], stratum: str = TARGET) -> Data
     return _unpivot_wide(wide, ["acuity"], present, ["mean", "std"])
 
 
-def stratum_stats_json(df: DataFrame, cols: list[str], stratum: str = TARGET) -> DataFrame:
-    """The nested ``{stratum: {column: {mean, std}}}`` document as one JSON row per stratum."""
+def stratum_stats_json(df: DataFrame, cols: list[str], stratum: str = TARGET,
+                       decimals: int | None = None) -> DataFrame:
+    """The nested ``{stratum: {column: {mean, std}}}`` document as one JSON row per stratum, columns by name."""
     long = stratum_stats(df, cols, stratum)
-    per = long.groupBy("acuity").agg(F.map_from_entries(F.collect_list(
-        F.struct("column", F.struct("mean", "std")))).alias("stats"))
+    if decimals is not None:
+        long = long.withColumns({c: py_round(F.col(c), decimals) for c in ("mean", "std")})
+    per = long.groupBy("acuity").agg(F.map_from_entries(F.array_sort(F.collect_list(
+        F.struct("column", F.struct("mean", "std"))))).alias("stats"))
     return per.select(F.col("acuity").cast("string").alias("acuity"), F.to_json("stats").alias("stats_json"))
 
 

@@ -389,6 +389,14 @@ register("acuity_stats", with_encounters(_long(_PV, f"""
 SELECT CAST(triage_acuity AS INT) AS acuity, '{{c}}' AS "column", {rnd('avg(CAST({c} AS DOUBLE))', 6)} AS mean,
   {rnd('stddev_samp(CAST({c} AS DOUBLE))', 6)} AS std FROM encounters GROUP BY 1""")))
 
+register("acuity_stats_json", with_encounters(f"""
+SELECT CAST(acuity AS VARCHAR) AS acuity,
+  '{{' || string_agg('"' || "column" || '":{{"mean":' || CAST(mean AS VARCHAR) || ',"std":' || CAST(std AS VARCHAR) || '}}',
+                     ',' ORDER BY "column") || '}}' AS stats_json
+FROM ({_long(_PV, f"""
+SELECT CAST(triage_acuity AS INT) AS acuity, '{{c}}' AS "column", {rnd('avg(CAST({c} AS DOUBLE))', 6)} AS mean,
+  {rnd('stddev_samp(CAST({c} AS DOUBLE))', 6)} AS std FROM encounters GROUP BY 1""")}) GROUP BY acuity"""))
+
 register("numeric_profile", with_encounters(_long(_PV + ["age"], f"""
 SELECT s.acuity, 'stratum' AS source, '{{c}}' AS "column", CAST(count({{c}}) AS BIGINT) AS n,
   {rnd('avg(CAST({c} AS DOUBLE))', 6)} AS mean,
@@ -637,7 +645,7 @@ def _responses_from_dec() -> str:
     WHEN event_id % 5 = 2 THEN 'Here is my review.' || {NL} || 'ESCALATION_REASON' || {NL} || {reason} || {NL} || '  RISK_FLAGS:' || {NL}
       || '  - ' || {f1} || {NL} || ' -- ' || {NL}
     WHEN event_id % 5 = 3 THEN '  ' || {reason} || ' ' || {summary} || '  '
-    ELSE 'GROQ_RATE_LIMIT: Rate limit hit. Switch to llama-3.1-8b-instant (highest free limits) or wait a moment.' END AS response_text
+    ELSE 'GROQ_RATE_LIMIT: service busy, no explanation was written.' END AS response_text
   FROM dec WHERE event_id % 3 = 0)"""
 
 
@@ -858,10 +866,6 @@ FROM dec d LEFT JOIN (
   FROM messages m JOIN parsed p ON p.response_id = m.patient_id WHERE m.explained_at IS NOT NULL) x USING (patient_id)""",
     f"messages AS ({MESSAGES_SQL})", _responses_from_dec(), *_parse_ctes("responses")))
 
-register("review_prompts", "")  # text-heavy: rows-only check plus pytest golden
-del ORACLE["review_prompts"]
-
-
 # ---------------------------------------------------------------- evaluation and preprocessing
 SCORED_CTE = "scored AS (SELECT patient_id, CAST(triage_acuity AS INT) AS true_acuity, orig AS predicted_acuity, p1, p2, p3, p4, p5 FROM dec)"
 

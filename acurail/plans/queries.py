@@ -178,7 +178,7 @@ def q_acuity_stats(spark, sf_dir):
 
 @query("acuity_stats_json")
 def q_acuity_stats_json(spark, sf_dir):
-    return profile.stratum_stats_json(_enc(spark, sf_dir), PROFILE_NUMERIC)
+    return profile.stratum_stats_json(_enc(spark, sf_dir), PROFILE_NUMERIC, decimals=R6)
 
 
 @query("numeric_profile")
@@ -414,9 +414,7 @@ def q_review_backlog(spark, sf_dir):
 
 @query("enriched_records")
 def q_enriched_records(spark, sf_dir):
-    enc = _enc(spark, sf_dir)
-    d = decided(spark, sf_dir).select(*layers.DECISION_COLUMNS)
-    m = feedback.merge_history(d, enc)
+    m = feedback.merge_history(decided(spark, sf_dir))
     return m.select("patient_id", "predicted_acuity", *[c for c in m.columns if c.startswith("hx_")])
 
 

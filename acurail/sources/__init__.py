@@ -1,5 +1,5 @@
 """Sources: driver tables, the encounter fixture view, file/stream readers."""
 
 from acurail.sources.tables import (  # noqa: F401
-    read_table, encounters, messages, complaints, raw_target, clinician_actions,
+    read_table, encounters, complaints, raw_target, clinician_actions,
 )

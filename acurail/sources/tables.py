@@ -157,11 +157,6 @@ def explanation_events(enc: DataFrame) -> DataFrame:
     )
 
 
-def messages(enc: DataFrame) -> DataFrame:
-    """Message timestamps view over encounters (FIXTURES.md section 2)."""
-    return message_times(enc.select("patient_id", "run_id", "event_id"))
-
-
 def complaints(enc: DataFrame) -> DataFrame:
     """Complaint side table with duplicate and missing keys."""
     first = enc.filter(F.col("event_id") % 17 != 0).select(
@@ -239,8 +234,7 @@ def explanation_texts(decided: DataFrame) -> DataFrame:
         .when(eid % 5 == 2, F.concat(F.lit("Here is my review.\nESCALATION_REASON\n"), reason,
                                      F.lit("\n  RISK_FLAGS:\n  - "), flag1, F.lit("\n -- \n")))
         .when(eid % 5 == 3, F.concat(F.lit("  "), reason, F.lit(" "), summary, F.lit("  ")))
-        .otherwise(F.lit("GROQ_RATE_LIMIT: Rate limit hit. Switch to llama-3.1-8b-instant "
-                         "(highest free limits) or wait a moment."))
+        .otherwise(F.lit("GROQ_RATE_LIMIT: service busy, no explanation was written."))
     )
     return decided.filter(eid % 3 == 0).select(F.col("patient_id").alias("response_id"), text.alias("response_text"))
 
