@@ -29,3 +29,25 @@ def test_exact_percentiles_match_numpy(spark):
     assert abs(got["a"]["q50"] - np.percentile(a, 50)) < 1e-9
     assert abs(got["a"]["q95"] - np.percentile(a, 95)) < 1e-9
     assert abs(got["b"]["q95"] - np.percentile(b, 95)) < 1e-9
+
+
+def test_null_groups_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 1.0, 1), (None, 3.0, 2), ("a", 2.0, 3), ("a", None, 4)], "g string, v double, id int")
+    seq = prefix_within(df, ["g"], ["id"], num_partitions=3)
+    assert sorted((r["g"] or "", r["id"], r["seq"]) for r in seq.collect()) == [("", 1, 1), ("", 2, 2), ("a", 3, 1), ("a", 4, 2)]
+    got = {r["g"]: r["q50"] for r in exact_percentiles(df, ["g"], "v", [0.5]).collect()}
+    assert got == {None: 2.0, "a": 2.0}
+
+
+def test_percentiles_of_repeated_values_stay_spread(spark):
+    """A 0/1 flag in a hot group: the ordered rows are distinct values, so no partition holds the repeats."""
+    df = spark.range(40_000).select(
+        F.when(F.col("id") % 3 == 0, "cold").otherwise("hot").alias("g"),
+        F.when(F.col("id") % 20 == 1, 1.0).otherwise(0.0).alias("v"))
+    got = {r["g"]: (r["q50"], r["q95"], r["q96"], r["q99"])
+           for r in exact_percentiles(df, ["g"], "v", [0.5, 0.95, 0.96, 0.99], num_partitions=8).collect()}
+    rows = df.toPandas()
+    for g, part in rows.groupby("g"):
+        assert got[g] == tuple(np.percentile(part["v"], [50, 95, 96, 99]))
+    counted = df.groupBy("g", "v").count()
+    assert counted.count() == 4  # what is range-partitioned and numbered

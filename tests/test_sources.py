@@ -41,3 +41,29 @@ def test_numeric_profile_falls_back_for_empty_stratum(spark):
     assert p[(2, "hr")]["source"] == "all" and p[(2, "hr")]["mean"] == 20.0
     assert p[(3, "hr")]["std"] == 0.01          # single value: undefined std -> 0.01
     assert p[(1, "hr")]["n"] == 2
+
+
+def test_optional_source_by_uri(spark):
+    d = tempfile.mkdtemp(prefix="acurail-test-")
+    spark.createDataFrame([("P1", 1)], "patient_id string, x int").write.mode("overwrite").option("header", True).csv(f"{d}/t")
+    assert read_optional(spark, f"file://{d}/t").count() == 1
+    assert read_optional(spark, f"file://{d}/missing") is None and read_optional(spark, None) is None
+
+
+def test_checkpoint_folder_must_be_shared_on_a_cluster():
+    from types import SimpleNamespace
+
+    from acurail.session import ensure_checkpoint_dir
+
+    seen = []
+
+    def session(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: folder, set=lambda k, v: seen.append(v)),
+                               sparkContext=SimpleNamespace(master=master, setCheckpointDir=seen.append))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(session("spark://host:7077", None))
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(session("local-cluster[2,1,1024]", ""))
+    assert ensure_checkpoint_dir(session("yarn", "hdfs:///shared")) == "hdfs:///shared" and seen == ["hdfs:///shared"]
+    assert ensure_checkpoint_dir(session("local[4]", None)) == seen[-1]

@@ -60,7 +60,80 @@ def test_dedupe_within_watermark(spark):
     assert got == {("A", 1.0), ("B", 3.0)}
 
 
-def test_enrichment_join_keeps_late_and_early(spark):
+def _lines(spark, rows):
+    return spark.createDataFrame([(r if isinstance(r, str) else json.dumps(r),) for r in rows], "value string")
+
+
+def test_damaged_fields_are_set_aside(spark):
+    rows = [{"patient_id": "A", "hx_copd": 1.0, "true_acuity": 3.0, "heart_rate": 25},
+            {"patient_id": "B", "heart_rate": "25"}, {"patient_id": "C", "true_acuity": 2.5},
+            {"patient_id": "D", "heart_rate": None, "age": 4.5}, {"patient_id": ""}, {"heart_rate": 3}, "not json"]
+    good, bad = jobs.parse_records(_lines(spark, rows))
+    kept = {r["patient_id"]: r for r in good.collect()}
+    assert set(kept) == {"A", "D"}
+    assert (kept["A"]["hx_copd"], kept["A"]["true_acuity"], kept["A"]["heart_rate"]) == (1, 3, 25.0)
+    reasons = [r["reason"] for r in bad.collect()]
+    assert len(reasons) == 5 and {"damaged field: heart_rate", "damaged field: true_acuity"} <= set(reasons)
+
+
+def test_feedback_without_label_is_quarantined_and_stats_follow_saved_rows(spark):
+    root = tempfile.mkdtemp(prefix="acurail-feedback-")
+    schema = "patient_id string, feedback_type string, final_label int, override_reason string, patient struct<original_acuity:int,predicted_acuity:int>"
+    from pyspark.sql import types as T
+    sink = jobs.feedback_sink(os.path.join(root, "out"), stats_every=20)
+    event = lambda i, label: (f"P{i}", "accepted", label, None, (2, 2))
+    for batch in range(5):
+        sink(spark.createDataFrame([event(10 * batch + i, 3) for i in range(10)], schema), batch)
+        stats = os.path.join(root, "out", "feedback_stats")
+        shown = spark.read.parquet(stats).agg(F.sum("n")).first()[0] if os.path.exists(stats) else 0
+        assert shown == [0, 20, 20, 40, 40][batch]
+    sink(spark.createDataFrame([event(40 + i, 3) for i in range(10)], schema), 4)  # a replayed batch adds nothing
+    assert spark.read.parquet(os.path.join(root, "out", "feedback")).count() == 50
+    events = spark.createDataFrame([event(i, None if i == 4 else 3) for i in range(6)], schema)
+    events.select(F.to_json(F.struct("*")).alias("value")).write.text(os.path.join(root, "in"))
+    for q in jobs.start_feedback_job(spark, os.path.join(root, "in"), os.path.join(root, "o2"),
+                                     os.path.join(root, "c2"), T.StructType(events.schema.fields)):
+        q.awaitTermination()
+    assert spark.read.parquet(os.path.join(root, "o2", "feedback")).count() == 5
+    assert spark.read.parquet(os.path.join(root, "o2", "quarantine")).count() == 1
+
+
+def test_kafka_sink_options():
+    assert jobs.kafka_sink_options("b:9092", "decisions", "/chk") == {
+        "kafka.bootstrap.servers": "b:9092", "topic": "decisions", "checkpointLocation": "/chk"}
+
+
+def test_merged_and_counter_jobs(spark):
+    root = tempfile.mkdtemp(prefix="acurail-merged-")
+    records = Q.stream_records(spark, SF001).limit(40).drop("consumer_received_at", "ml_done_at", "safety_done_at")
+    known = [r.asDict() for r in records.collect()]
+    note = lambda r, t: {"patient_id": r["patient_id"], "enrichment": True, "explained_at": t,
+                         "llm_explanation": {"escalation_reason": "why", "is_ready": True}}
+    first = known[0]
+    lines = [note(first, first["produced_at"] + 5.0)]  # arrives before its decision
+    lines += known + [known[1], {"patient_id": "Q1", "heart_rate": "x"}]
+    lines += [note(known[2], known[2]["produced_at"] + 3600.0), note({"patient_id": "nobody"}, 1.0)]  # late, unmatched
+    os.makedirs(os.path.join(root, "in"))
+    with open(os.path.join(root, "in", "a.json"), "w") as fh:
+        fh.write("\n".join(json.dumps(x) for x in lines))
+    with open(os.path.join(root, "in", "b.json"), "w") as fh:  # moves both watermarks past the join's window
+        far = max(r["produced_at"] for r in known) + 10 * 86400
+        fh.write(json.dumps({**first, "patient_id": "Z", "produced_at": far}) + "\n")
+        fh.write(json.dumps(note({"patient_id": "Z"}, far)))
+    for q in jobs.start_merged_job(spark, os.path.join(root, "in"), os.path.join(root, "out"), os.path.join(root, "chk")):
+        q.awaitTermination()
+    out = [json.loads(r["value"]) for r in spark.read.json(os.path.join(root, "out", "enrichment")).collect()]
+    by = {r["patient_id"]: r for r in out}
+    for r in (first, known[2]):
+        assert by[r["patient_id"]]["llm_explanation"]["escalation_reason"] == "why"
+    assert "nobody" not in by and len(by) == len(out)
+    assert spark.read.parquet(os.path.join(root, "out", "quarantine")).count() == 1
+    q = jobs.start_counter_job(spark, os.path.join(root, "in"), os.path.join(root, "out"), os.path.join(root, "c3"))
+    q.awaitTermination()
+    assert spark.read.parquet(os.path.join(root, "out", "run_counters")).agg(F.sum("processed")).first()[0] >= 42
+
+
+def test_enrichment_join_attaches_explanation(spark):
     root = tempfile.mkdtemp(prefix="acurail-enrich-")
     for d in ("dec", "enr"):
         os.makedirs(os.path.join(root, d))
