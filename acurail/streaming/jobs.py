@@ -120,8 +120,12 @@ def attach_enrichment(decisions: DataFrame, enrichment: DataFrame, watermark: st
     so an enrichment that arrives first is not lost and state stays bounded.
 
     ``within`` is how long after its decision an explanation is still attached; it bounds the join state.
+    Decisions that carry a watermarked ``event_time`` (from ``dedupe_patients``) keep that watermark.
     """
-    d = decisions.withColumn("d_time", F.timestamp_seconds("produced_at")).withWatermark("d_time", watermark)
+    if "event_time" in decisions.columns:
+        d = decisions.withColumnRenamed("event_time", "d_time")
+    else:
+        d = decisions.withColumn("d_time", F.timestamp_seconds("produced_at")).withWatermark("d_time", watermark)
     e = enrichment.select(F.col("patient_id").alias("e_patient_id"), "llm_explanation", "explained_at",
                           F.timestamp_seconds("explained_at").alias("e_time")).withWatermark("e_time", watermark)
     cond = (F.col("patient_id") == F.col("e_patient_id")) & (F.col("e_time") >= F.col("d_time")) & \
@@ -270,10 +274,10 @@ def start_merged_job(spark: SparkSession, in_dir: str, out_dir: str, checkpoint:
     """
     decisions_in, explanations_in = route_by_sentinel(read_json_lines(spark, in_dir))
     good, bad = parse_records(decisions_in, record_schema)
-    decided = decide_stream(dedupe_patients(good, watermark).drop("event_time"))
+    decided = decide_stream(dedupe_patients(good, watermark))
     notes = explanations_in.select(F.from_json("value", ENRICHMENT_SCHEMA).alias("e")).select("e.*").filter(
         F.col("patient_id").isNotNull())
-    merged = attach_enrichment(decided.select("patient_id", "produced_at", "predicted_acuity", "label",
+    merged = attach_enrichment(decided.select("patient_id", "produced_at", "event_time", "predicted_acuity", "label",
                                               "requires_review", "safety_rail_triggered"), notes, watermark, within)
     q1 = (merged.writeStream.foreachBatch(enrichment_sink(out_dir))
           .option("checkpointLocation", os.path.join(checkpoint, "merged")).trigger(availableNow=True).start())
