@@ -112,7 +112,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     trees = RandomForestClassifier(featuresCol="v", labelCol="label", weightCol="w", numTrees=TREES, maxDepth=DEPTH,
                                    featureSubsetStrategy="onethird", subsamplingRate=0.7, seed=11,
                                    minInstancesPerNode=5)
-    forest = trees.fit(rows.select("label", weight.alias("w"), array_to_vector("x").alias("v")).cache())
+    vectors = rows.select("label", weight.alias("w"), array_to_vector("x").alias("v")).cache()
+    forest = trees.fit(vectors)
+    vectors.unpersist()
     rules = sorted(set().union(*[tree_rules(t.toDebugString, names) for t in forest.trees]),
                    key=lambda r: (len(r), [(t.name, t.above, t.cut) for t in r]))[:MAX_RULES]
     if not rules:
