@@ -45,3 +45,57 @@ def test_feature_importance_names(spark):
     names = set(best.features.names)
     assert all(r["feature"] in names for r in fi)
     assert any(n.startswith("tfidf::") for n in names) and "sex_F" in names
+
+
+def _separable(spark, n=400):
+    """Patients whose class follows one vital and one word; ids repeat in the last rows."""
+    rows = []
+    for i in range(n):
+        k = i % 5 + 1
+        rows.append((f"P{i}", k, 40.0 + 30 * k + i % 7, "F" if i % 2 else "M", f"word{'abcde'[k - 1]} pain case"))
+    df = spark.createDataFrame(rows, "patient_id string, triage_acuity int, heart_rate double, sex string, "
+                                     "chief_complaint_raw string")
+    return df.withColumn("split", F.when(F.crc32("patient_id") % 5 == 0, "test").otherwise("train"))
+
+
+def test_candidates_agree_between_fits_and_beat_the_majority(spark):
+    split = _separable(spark)
+    names = ["Logistic Regression", "Random Forest", "Boosted Trees"]
+    fits = [training.fit_candidates(split, ["heart_rate"], ["sex"], names, rf_trees=8, gbt_rounds=3,
+                                    max_boosted_rows=200)[0] for _ in range(2)]
+    for a, b in zip(*fits):
+        assert a.name == b.name and a.accuracy == b.accuracy and a.accuracy > 0.5
+    best = training.select_best(fits[0])
+    assert best.accuracy == max(m.accuracy for m in fits[0])
+    boosted = fits[0][2]
+    path = os.path.join(tempfile.mkdtemp(prefix="acurail-model-"), "bundle")
+    boosted.save(path)
+    enc = split.drop("split")
+    again = training.TriageModel.load(spark, path).transform(enc).select("patient_id", "p1", "p5").collect()
+    assert sorted(again) == sorted(boosted.transform(enc).select("patient_id", "p1", "p5").collect())
+
+
+def test_boosted_trees_follow_the_reference_settings():
+    gbt = training.estimators(100)["Boosted Trees"]
+    inner = gbt.getClassifier()
+    assert (inner.getMaxIter(), inner.getMinInfoGain(), inner.getStepSize()) == (500, 0.1, 0.04)
+    assert not gbt.isSet("weightCol") and not inner.isSet("weightCol")
+
+
+def test_repeated_ids_keep_their_own_text_features(spark):
+    split = _separable(spark, 60)
+    train = split.filter("split = 'train'")
+    st = training.fit_features(train, ["heart_rate"], ["sex"])
+    twice = split.limit(20).withColumn("patient_id", F.lit("same"))
+    rows = training.transform_features(twice, st).select("chief_complaint_raw", "features").collect()
+    alone = {r["chief_complaint_raw"]: r["features"].toArray()[-len(st.vocab_rows):].tolist()
+             for r in training.transform_features(split, st).collect()}
+    assert len(rows) == 20
+    for r in rows:
+        assert r["features"].toArray()[-len(st.vocab_rows):].tolist() == alone[r["chief_complaint_raw"]]
+
+
+def test_accent_folding(spark):
+    from acurail.operators.preprocess import tokens
+    df = spark.createDataFrame([("cafe\u0301s Caf\u00e9s \ufb01n \u0133s \u00dcber",)], "text string")
+    assert df.select(tokens().alias("t")).first()["t"] == ["cafes", "cafes", "fin", "ijs", "uber"]
