@@ -14,11 +14,22 @@ from acurail.session import ensure_checkpoint_dir
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package whatever the working folder is.
+#: Rows of an Arrow batch: texts are long, and a worker holds a whole batch.
+BATCH_ROWS = 1_000
 
-    A cluster ships the package with ``--py-files`` or an installed wheel; there this changes nothing.
+
+def prepare(spark: SparkSession) -> None:
+    """Session settings that the operators rely on.
+
+    Python workers of a local session can import this package whatever the
+    working folder is (a cluster ships it with ``--py-files`` or a wheel).
+    Arrow batches hold at most ``BATCH_ROWS`` rows, unless the session asks
+    for fewer.
     """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(key))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):

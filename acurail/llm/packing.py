@@ -38,7 +38,7 @@ JOINED = 256
 #: Documents whose new words are encoded together.
 GROUP = 256
 #: Words whose ids a worker remembers, and the longest word that is remembered.
-MEMORY_WORDS, MEMORY_LENGTH = 1_000_000, 64
+MEMORY_WORDS, MEMORY_LENGTH = 250_000, 64
 
 
 @lru_cache(maxsize=2)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acurail.llm.common import crc_bucket, importable, table
+from acurail.llm.common import crc_bucket, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -16,7 +16,7 @@ ORACLE: dict[str, str] = {}
 def query(name: str):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            importable(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acurail.llm import mixing, packing, rule_ensemble, simhash, toxicity
-from acurail.llm.common import importable, staged, table
+from acurail.llm.common import prepare, staged, table
 from acurail.llm.queries import word_tokenizer
 
 
@@ -28,33 +28,33 @@ def _bare(docs: DataFrame) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject; learned on this stage's input."""
-    importable(spark)
+    prepare(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(_bare(docs), model).filter("predicted = 0").select("row.*")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; learned on this stage's input."""
-    importable(spark)
+    prepare(spark)
     model = rule_ensemble.fit(docs, table(spark, sf_dir, "labels"))
     return rule_ensemble.score(_bare(docs), model).filter("predicted = 1").select("row.*")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: that of the smallest id."""
-    importable(spark)
+    prepare(spark)
     return simhash.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that sources meet their target weights."""
-    importable(spark)
+    prepare(spark)
     return mixing.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences."""
-    importable(spark)
+    prepare(spark)
     return packing.pack(docs, word_tokenizer())
 
 
