@@ -1,6 +1,5 @@
 """Language id, toxicity, near duplicates, mixing, packing and the pipeline."""
 
-import math
 import random
 import re
 import zlib
