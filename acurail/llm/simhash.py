@@ -146,15 +146,12 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, max_bucket: int = MAX_B
             break
         ready.append(rows.join(crowded, ["mask", "key"], "left_anti"))
         held = staged(rows.join(crowded, ["mask", "key"], "left_semi"), "crowded-rows")
-        finer = []
-        for m in parts:
-            free = [p for p in range(BITS) if not (m >> p) & 1]
-            inner = [(m % (1 << BITS)) | x for x in covering_masks(free, radius) if x]
-            finer.append(_keyed(held.filter(F.col("mask") == m), inner))
-        rows = finer[0]
-        for more in finer[1:]:
-            rows = rows.unionByName(more)
-        rows = staged(rows.distinct(), "finer")
+        inner = [(m, _signed((m % (1 << BITS)) | x)) for m in parts
+                 for x in covering_masks([p for p in range(BITS) if not (m >> p) & 1], radius)]
+        # One row for each pair of masks: at most 15 to the power of the depth, whatever the corpus holds.
+        finer = fingerprints.sparkSession.createDataFrame(inner, "mask bigint, inner bigint")
+        rows = staged(held.join(F.broadcast(finer), "mask").select(
+            F.col("inner").alias("mask"), F.col("fp").bitwiseAND(F.col("inner")).alias("key"), "fp").distinct(), "finer")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
