@@ -189,10 +189,13 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     Input columns named like a result column are replaced. A narrow map: no
     shuffle, bounded memory.
     """
+    scorers: list = []  # one a task: the words it remembers serve all of the task's batches
+
     @F.arrow_udf("double")
     def toxic(texts: pa.Array) -> pa.Array:
-        of = model.scorer()
-        return pa.array([of(x.as_py()) for x in texts], pa.float64())
+        if not scorers:
+            scorers.append(model.scorer())
+        return pa.array([scorers[0](x.as_py()) for x in texts], pa.float64())
 
     d = without(docs, *RESULT)
     row = F.struct(*[F.col(f"`{c}`") for c in d.columns]).alias("row")
