@@ -24,7 +24,9 @@ from acurail.llm.common import labelled_ids, staged, without
 MODULUS, HELD_OUT = 3, 1
 #: Most labelled documents that trees and weights are fitted on.
 MAX_LABELLED = 20_000
-TREES, DEPTH, MAX_RULES = 12, 3, 80
+TREES, DEPTH = 12, 3
+#: Paths that so many full trees have together. No rule is left out: the L1 penalty alone drops them.
+MAX_RULES = TREES * (2 ** (DEPTH + 1) - 2)
 L1 = 0.0005
 THRESHOLD = 0.5
 
@@ -116,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     forest = trees.fit(vectors)
     vectors.unpersist()
     rules = sorted(set().union(*[tree_rules(t.toDebugString, names) for t in forest.trees]),
-                   key=lambda r: (len(r), [(t.name, t.above, t.cut) for t in r]))[:MAX_RULES]
+                   key=lambda r: (len(r), [(t.name, t.above, t.cut) for t in r]))
     if not rules:
         return Model([], 10.0 if by_label[1.0] >= by_label[0.0] else -10.0)
     stats = {n: F.col("x")[i] for i, n in enumerate(names)}

@@ -123,6 +123,16 @@ def test_rule_ensemble_without_two_labels(spark):
     assert {r["predicted"] for r in rule_ensemble.score(docs, rule_ensemble.fit(docs, labels(spark, []))).collect()} == {1}
 
 
+def test_rule_ensemble_weighs_every_path(judged, monkeypatch):
+    """A path that sorts behind a hundred useless ones still gets its weight."""
+    docs, marks = judged
+    t = rule_ensemble.Test
+    useless = {(t("adjacent_share", True, 2.0 + i),) for i in range(100)}
+    telling = (t("symbol_share", True, 1e-6), t("words", True, 0.0))
+    monkeypatch.setattr(rule_ensemble, "tree_rules", lambda *_: useless | {telling})
+    assert [r for r, _ in rule_ensemble.fit(docs, marks).rules] == [telling]
+
+
 def test_tree_rules_cover_every_path():
     text = """DecisionTreeClassificationModel: depth=2
   If (feature 0 <= 0.5)
