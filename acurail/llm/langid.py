@@ -122,25 +122,27 @@ def fit(docs: DataFrame, modulus: int = 3, held_out: int = 1, max_per_language:
     share = F.least(F.lit(1.0), F.lit(2.0 * max_per_language) / F.col("count"))
     wanted = counts.select("lang", share.alias("share"))
     sample = (usable.join(F.broadcast(wanted), "lang")  # one row a language
-              .filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)))
+              .withColumns({"h": F.xxhash64("doc_id"), "part": F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))})
+              .filter(F.col("part") < F.col("share") * (1 << 20)))
 
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = [ngram_counts(t) for t in pdf["text"]]
             at = [np.flatnonzero(r) for r in rows]
-            yield pd.DataFrame({"lang": pdf["lang"], "doc_id": pdf["doc_id"],
+            yield pd.DataFrame({"lang": pdf["lang"], "doc_id": pdf["doc_id"], "part": pdf["part"], "h": pdf["h"],
                                 "buckets": [a.astype(np.int32) for a in at],
                                 "counts": [r[a].astype(np.int32) for r, a in zip(rows, at)]})
 
-    counted = staged(sample.select("lang", "doc_id", "text").mapInPandas(
-        grams, "lang string, doc_id bigint, buckets array<int>, counts array<int>"), "langid-sample")
+    counted = staged(sample.select("lang", "doc_id", "part", "h", "text").mapInPandas(
+        grams, "lang string, doc_id bigint, part bigint, h bigint, buckets array<int>, counts array<int>"),
+        "langid-sample")
     total = counted.count()
     idf = np.full(BUCKETS, np.log(1.0 + total), dtype=np.float32)
     for r in counted.select(F.explode("buckets").alias("b")).groupBy("b").count().collect():  # at most BUCKETS rows
         idf[r["b"]] = np.log((1.0 + total) / (1.0 + r["count"])) + 1.0
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", kind="stable").head(max_per_language)
+        pdf = pdf.sort_values(["part", "h", "doc_id"], kind="stable").head(max_per_language)
         rows = np.zeros((len(pdf), BUCKETS), dtype=np.float32)
         for i, (b, c) in enumerate(zip(pdf["buckets"], pdf["counts"])):
             rows[i, b] = np.sqrt(np.asarray(c, dtype=np.float32)) * idf[b]

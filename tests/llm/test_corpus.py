@@ -44,6 +44,20 @@ def test_langid_on_held_out_documents(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, nothing).collect()} == {"und"}
 
 
+def prose(rng, stems):
+    return " ".join(rng.choice(stems) + rng.choice(["", "a", "en", "s"]) for _ in range(rng.randrange(5, 60)))
+
+
+def test_langid_learns_from_all_ids(spark):
+    """A dialect whose ids all lie in the upper half shapes a centroid too."""
+    rng = random.Random(9)
+    dialects = [["kobo", "zubb", "wick"], ["plim", "fryth", "gend"]]
+    rows = [(i, prose(rng, dialects[i >= 500]), "aa") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    out = langid.predict(docs, langid.fit(docs, max_per_language=50)).collect()
+    assert all(r["score"] > 0.5 for r in out)
+
+
 def test_ngrams_of_a_long_text_do_not_depend_on_chunks(monkeypatch):
     text = "Über den Wolken, été 123 " * 400
     whole = langid.ngram_counts(text)
