@@ -23,8 +23,10 @@ from acurail.llm.common import crc_bucket, staged, without
 MAX_PER_LANGUAGE = 1_000
 BUCKETS = 1 << 14
 CENTROIDS = 4
-#: Cosines below this are flagged as rejected.
+#: Cosines below this are flagged as rejected, whatever the centroid.
 REJECT_BELOW = 0.05
+#: Share of its own training texts that a centroid would reject, and the fewest texts that tell it.
+REJECT_QUANTILE, REJECT_TEXTS = 0.01, 50
 _CHUNK = 1 << 20
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
@@ -99,11 +101,37 @@ def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def reject_cosines(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Of each centroid, the cosine that all but ``REJECT_QUANTILE`` of its texts reach.
+
+    Every text is taken out of its own centroid first, as a text that was not
+    learned from is not in one either. A centroid of fewer than
+    ``REJECT_TEXTS`` texts uses the texts of the whole language; a language of
+    fewer has no such cosine (0), as so few texts do not tell it.
+    """
+    cosine = rows @ centroids.T
+    owner = cosine.argmax(axis=1)
+    for j in range(len(centroids)):
+        own = np.flatnonzero(owner == j)
+        total = rows[own].sum(axis=0, dtype=np.float64)
+        along = rows[own] @ total  # rows are unit vectors
+        rest = np.sqrt(np.maximum(total @ total - 2 * along + 1, 0))
+        cosine[own, j] = np.where(rest > 1e-6, (along - 1) / np.maximum(rest, 1e-6), 0)
+    best = cosine.max(axis=1)
+
+    def low(values: np.ndarray) -> float:
+        return float(np.quantile(values, REJECT_QUANTILE)) if len(values) >= REJECT_TEXTS else 0.0
+
+    parts = [best[owner == j] for j in range(len(centroids))]
+    return np.array([low(x if len(x) >= REJECT_TEXTS else best) for x in parts])
+
+
 @dataclass(frozen=True)
 class Model:
     languages: list[str]  # of each centroid
     centroids: np.ndarray
     idf: np.ndarray
+    reject: np.ndarray  # of each centroid, the cosine below which a text is too far from it
 
 
 def fit(docs: DataFrame, modulus: int = 3, held_out: int = 1, max_per_language: int = MAX_PER_LANGUAGE) -> Model:
@@ -148,12 +176,14 @@ def fit(docs: DataFrame, modulus: int = 3, held_out: int = 1, max_per_language:
             rows[i, b] = np.sqrt(np.asarray(c, dtype=np.float32)) * idf[b]
         rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
         c = spherical_kmeans(rows, CENTROIDS)
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(c), "centroid": list(c)})
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(c), "centroid": list(c),
+                             "reject": reject_cosines(rows, c)})
 
-    fitted = counted.groupBy("lang").applyInPandas(cluster, "lang string, centroid array<float>").toPandas()
+    fitted = counted.groupBy("lang").applyInPandas(
+        cluster, "lang string, centroid array<float>, reject double").toPandas()
     fitted = fitted.sort_values("lang", kind="stable")
     centroids = np.array(fitted["centroid"].tolist(), dtype=np.float32).reshape(-1, BUCKETS)
-    return Model(fitted["lang"].tolist(), centroids, idf)
+    return Model(fitted["lang"].tolist(), centroids, idf, fitted["reject"].to_numpy(dtype=np.float64))
 
 
 RESULT = ["lang_pred", "score", "rejected"]
@@ -163,26 +193,29 @@ def predict(docs: DataFrame, model: Model, reject_below: float = REJECT_BELOW) -
     """``docs`` with ``lang_pred``, ``score`` (cosine, 0 to 1) and ``rejected``.
 
     ``und`` with score 0 if the text is null, empty or has no letter. A text
-    whose best cosine is below ``reject_below`` keeps its nearest language but
-    is flagged ``rejected``. Ties go to the language that sorts first. Only the
+    whose best cosine is below that centroid's reject cosine (see
+    ``reject_cosines``) or below ``reject_below`` keeps its nearest language
+    but is flagged ``rejected``. Ties go to the language that sorts first. Only the
     text is read. Input columns named like a result column are replaced.
     """
     languages, centroids, idf = model.languages, model.centroids.T.copy(), model.idf
+    far = np.maximum(model.reject, reject_below)
 
     @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
     def nearest(texts: pa.Array) -> pa.Array:
         values = texts.to_pylist()
         lang: list[str] = ["und"] * len(values)
         score = np.zeros(len(values))
+        least = np.full(len(values), reject_below)
         usable = [i for i, t in enumerate(values) if has_letter(t)] if languages else []
         for at in range(0, len(usable), 128):
             block = usable[at:at + 128]
             cosine = vectors([values[i] for i in block], idf) @ centroids
             best = cosine.argmax(axis=1)
             for i, b, c in zip(block, best, cosine):
-                lang[i], score[i] = languages[b], min(1.0, max(0.0, float(c[b])))
+                lang[i], score[i], least[i] = languages[b], min(1.0, max(0.0, float(c[b]))), far[b]
         return pa.StructArray.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(score), pa.array(score < reject_below)], names=RESULT)
+            [pa.array(lang, pa.string()), pa.array(score), pa.array(score < least)], names=RESULT)
 
     d = without(docs, *RESULT)
     row = F.struct(*[F.col(f"`{c}`") for c in d.columns]).alias("row")

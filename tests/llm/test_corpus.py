@@ -58,6 +58,20 @@ def test_langid_learns_from_all_ids(spark):
     assert all(r["score"] > 0.5 for r in out)
 
 
+def test_langid_rejects_a_language_left_out(spark):
+    rng = random.Random(10)
+    stems = {"aa": ["the", "and", "thing", "with"], "bb": ["der", "und", "nicht", "wird"], "cc": ["les", "pour", "oui"]}
+    rows = [(i, prose(rng, stems[lang]), lang) for i in range(900) for lang in [["aa", "bb", "cc"][i % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    out = langid.predict(docs, langid.fit(docs.filter("lang <> 'cc'"))).collect()
+    rejected = Counter((r["lang"], r["rejected"]) for r in out)
+    assert rejected["cc", True] >= 0.95 * 300
+    assert rejected["aa", True] + rejected["bb", True] <= 0.05 * 600
+    # Too few texts tell no distance: only the fixed floor is left.
+    few = langid.fit(docs.filter("doc_id < 60"))
+    assert not few.reject.any()
+
+
 def test_ngrams_of_a_long_text_do_not_depend_on_chunks(monkeypatch):
     text = "Über den Wolken, été 123 " * 400
     whole = langid.ngram_counts(text)
