@@ -245,18 +245,24 @@ def keep_one(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> Dat
     """``docs`` with one row of each component: that of the smallest ``doc_id`` (any, if rows repeat it).
 
     Only ids move to decide; a kept row's text is shuffled only if its id is
-    repeated within the component.
+    repeated. A repeated id may stand for different texts, so its rows are
+    told apart by their fingerprints.
     """
     prints, groups = _grouped(docs, width, radius)
-    kept = prints.join(groups, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = staged(kept.groupBy("doc_id", "root").agg(F.count("*").alias("n")), "simhash-kept")
-    named = kept.filter(F.col("doc_id").isNotNull())
+    kept = prints.join(groups, "fp").filter(F.col("doc_id") == F.col("component_id"))
+    kept = staged(kept.select("doc_id", "fp", "root").distinct(), "simhash-kept")
+    repeated = staged(prints.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1")
+                      .select("doc_id"), "simhash-repeated")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.join(named.select("doc_id", F.col("n").alias("__n")), "doc_id", "left")
-    single = rows.filter("__n = 1").select(*columns)
-    repeated = rows.filter("__n > 1").select(*columns).dropDuplicates(["doc_id"])
+    single = docs.join(kept.join(repeated, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi").select(*columns)
+    # Rows of repeated ids: one of each component that the id leads.
+    leading = kept.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "fp", "root")
+    several = docs.join(leading.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(
+        F.struct(*columns).alias("row"), F.col("doc_id").alias("id"),
+        fingerprint_column(F.col("text"), width).alias("fp"))
+    several = several.join(leading, ["id", "fp"]).dropDuplicates(["root"]).select("row.*")
     # Components without any id: one row of each, found by its fingerprint.
     lost = docs.filter(F.col("doc_id").isNull()).select(
         F.struct(*columns).alias("row"), fingerprint_column(F.col("text"), width).alias("fp"))
     lost = (lost.join(groups.filter(F.col("component_id").isNull()), "fp").dropDuplicates(["root"]).select("row.*"))
-    return single.unionByName(repeated).unionByName(lost)
+    return single.unionByName(several).unionByName(lost)

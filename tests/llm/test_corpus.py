@@ -193,6 +193,20 @@ def test_fingerprints_and_components(spark):
     assert simhash.duplicates(no_docs(spark)).count() == 0 and simhash.keep_one(no_docs(spark)).count() == 0
 
 
+def test_one_id_on_different_texts(spark):
+    """Each component keeps one row, of its smallest id, whatever else that id names."""
+    rng = random.Random(11)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(800)}" for _ in range(60)) for _ in range(5))
+    rows = [(1, a), (1, b),  # leads two components
+            (2, c), (2, c), (2, d),  # the same with a repeated row
+            (3, e), (5, e), (5, a)]  # 5 leads nothing; its texts belong to 3 and 1
+    rows += [(6, " ".join(reversed(a.split()))), (6, b)]  # leads one, and copies a row of 1
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert len(set(groups_by_hand([fingerprint_by_hand(t) for _, t in rows]).values())) == 6
+    kept = sorted(tuple(r) for r in simhash.keep_one(docs).collect())
+    assert kept == sorted([(1, a), (1, b), (2, c), (2, d), (3, e), (6, rows[-2][1])])
+
+
 def test_crowded_buckets_lose_no_link(spark):
     """Thousands of fingerprints around one centre, with buckets far above the limit, and chains between them."""
     rng = random.Random(4)
