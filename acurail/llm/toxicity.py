@@ -25,10 +25,12 @@ MODULUS, HELD_OUT = 4, 2
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 12_000
 #: Labelled rows that the class prior is estimated from.
 MAX_PRIOR_ROWS = 50_000
-MAX_FEATURES = 1_024
+#: Confirmed toxic texts that a feature must be in: one of a single text tells nothing of others.
+MIN_POSITIVE = 2
 THRESHOLD = 0.3
 _TRIM = string.punctuation + "¡¿«»„“”‘’…–—"
 _PREFIXES = (4, 5, 6)
+_BLOCK = 1 << 20
 
 
 def word_features(word: str) -> list[str]:
@@ -82,18 +84,40 @@ class Hits:
     rows: int
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.feature], minlength=self.rows)
+        return self._sums(self.row, self.feature, w, self.rows)
 
     def transposed_dot(self, g: np.ndarray, features: int) -> np.ndarray:
-        return np.bincount(self.feature, weights=g[self.row], minlength=features)
+        return self._sums(self.feature, self.row, g, features)
+
+    @staticmethod
+    def _sums(to: np.ndarray, of: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+        """Block by block: the driver holds millions of hits, and wide copies of a block only."""
+        out = np.zeros(size)
+        for at in range(0, len(to), _BLOCK):
+            out += np.bincount(to[at:at + _BLOCK], weights=values[of[at:at + _BLOCK]], minlength=size)
+        return out
+
+
+def evidence(found: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Value, up to 1, of features that ``found`` positives have where the mixture lets ``expected`` of them.
+
+    It is 1 from twice the rate of the mixture and 4 standard deviations on
+    and falls with the squares of both, so that the ridge weighs more on
+    features that may be there by chance. None is left out.
+    """
+    beyond_chance = np.clip((found - expected) / np.sqrt(expected + 1) / 4, 0, 1)
+    more_often = np.clip(found / np.maximum(expected, 1e-9) - 1, 0, 1)
+    return (beyond_chance * more_often) ** 2
 
 
 def train_nnpu(p: Hits, u: Hits, features: int, prior: float, rounds: int = 400, rate: float = 0.05,
-               ridge: float = 2e-4) -> tuple[np.ndarray, float]:
+               ridge: float = 2e-4, scale: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Linear weights and bias minimising the non-negative PU risk of the logistic loss (Adam, full batch).
 
-    ``p`` are the confirmed positives, ``u`` the unlabelled rows.
+    ``p`` are the confirmed positives, ``u`` the unlabelled rows; ``scale`` is
+    the value of each feature where a row has it (1 if it is not given).
     """
+    scale = np.ones(features) if scale is None else scale
     w, b = np.zeros(features), math.log(prior / (1 - prior))
     m, v = np.zeros(features + 1), np.zeros(features + 1)
 
@@ -101,7 +125,7 @@ def train_nnpu(p: Hits, u: Hits, features: int, prior: float, rounds: int = 400,
         return 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))
 
     for t in range(1, rounds + 1):
-        zp, zu = p.dot(w) + b, u.dot(w) + b
+        zp, zu = p.dot(w * scale) + b, u.dot(w * scale) + b
         sp, su = sigmoid(zp), sigmoid(zu)
         negative_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         gp_pos = -prior * (1 - sp) / p.rows  # d/dz of prior * loss(z, +1)
@@ -110,21 +134,22 @@ def train_nnpu(p: Hits, u: Hits, features: int, prior: float, rounds: int = 400,
             gp, gu = -gp_neg, -gu_neg
         else:
             gp, gu = gp_pos + gp_neg, gu_neg
-        g = np.append(p.transposed_dot(gp, features) + u.transposed_dot(gu, features) + ridge * w,
+        g = np.append(scale * (p.transposed_dot(gp, features) + u.transposed_dot(gu, features)) + ridge * w,
                       gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return w, float(b)
+    return w * scale, float(b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
         max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """Train on a bounded sample outside the held-out fold.
 
-    The samples are the documents of the smallest hashed ids; features that few
-    positives share are left out. Without a labelled toxic text the model is
-    constant and scores every text 0.
+    The samples are the documents of the smallest hashed ids. Every feature of
+    at least ``MIN_POSITIVE`` confirmed texts that unlabelled texts do not have
+    more often is weighed. Without a labelled toxic text the model is constant
+    and scores every text 0.
     """
     known = labelled_ids(labels, "toxic", MODULUS, HELD_OUT, MAX_PRIOR_ROWS)
     seen = known.agg(F.count("*").alias("n"), F.sum("label").alias("p")).first()
@@ -150,32 +175,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     base = Model({}, math.log(prior / (1 - prior)))
     if not n_p or not n_u:
         return base
-    # Features that enough positives share, and how often unlabelled texts have them. A feature is kept if
-    # positives have it clearly more often than the mixture does: at twice the rate, and beyond chance.
+    # Features that positives share and that the mixture does not have more often; training weighs them all.
     features = sample.select("doc_id", "positive", F.explode("fs").alias("f"))
     shared = (features.filter("positive").groupBy("f").agg(F.count("*").alias("p"))
-              .filter(F.col("p") >= max(3, round(0.004 * n_p))))
+              .filter(F.col("p") >= MIN_POSITIVE))
     mixed = (features.filter(~F.col("positive")).join(shared.select("f"), "f", "left_semi")
              .groupBy("f").agg(F.count("*").alias("u")))
     told = shared.join(mixed, "f", "left").select("f", "p", F.coalesce("u", F.lit(0)).alias("u"))
-    expected = F.col("u") * (n_p / n_u)
-    gain = F.col("p") * F.log((F.col("p") / n_p + 1e-6) / (F.col("u") / n_u + 1e-4))
-    best = (told.filter((F.col("p") > 2 * expected) & (F.col("p") - expected > 4 * F.sqrt(expected + 1)))
-            .orderBy(gain.desc(), "f").limit(MAX_FEATURES).select("f").toPandas()["f"].tolist())
-    names = sorted(best)
+    told = told.filter(F.col("p") * n_u >= F.col("u") * n_p).toPandas().sort_values("f")
+    names = told["f"].tolist()
     if not names:
         return base
+    scale = evidence(told["p"].to_numpy(float), told["u"].to_numpy(float) * (n_p / n_u))
     numbered = docs.sparkSession.createDataFrame(list(enumerate(names)), "i int, f string")
-    hits = (features.join(F.broadcast(numbered), "f").groupBy("positive", "doc_id")
-            .agg(F.collect_set("i").alias("i"))).toPandas()
+    hits = staged(features.join(F.broadcast(numbered), "f").groupBy("positive", "doc_id")
+                  .agg(F.sort_array(F.collect_set("i")).alias("i")), "toxicity-hits")
 
     def rows(positive: bool, n: int) -> Hits:
-        part = hits[hits["positive"] == positive].sort_values("doc_id")
-        found = [np.asarray(x, dtype=np.int64) for x in part["i"]]
-        row = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        return Hits(row, np.concatenate([np.zeros(0, dtype=np.int64), *map(np.sort, found)]), n)
+        part = hits.filter(F.col("positive") == positive).orderBy("doc_id").select("i").toArrow()["i"].combine_chunks()
+        row = np.repeat(np.arange(len(part), dtype=np.int32), part.value_lengths().to_numpy())
+        return Hits(row, part.flatten().to_numpy(), n)
 
-    w, bias = train_nnpu(rows(True, n_p), rows(False, n_u), len(names), prior)
+    w, bias = train_nnpu(rows(True, n_p), rows(False, n_u), len(names), prior, scale=scale)
     return Model({f: float(x) for f, x in zip(names, w)}, bias)
 
 

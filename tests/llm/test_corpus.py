@@ -109,6 +109,16 @@ def test_toxicity_on_held_out_rows(spark, insulted):
     assert toxicity.score(no_docs(spark), model).count() == 0
 
 
+def test_toxicity_weighs_rare_insults(spark, insulted):
+    """An insult of three confirmed texts among dozens gets a weight, and tells a text on its own."""
+    docs, marks = insulted
+    ids = [i for i in range(5000, 5040) if not held(i, 4, 2)][:3]
+    more = spark.createDataFrame([(i, f"word{i % 7} word{i % 11} vrekkel") for i in ids], docs.schema)
+    model = toxicity.fit(docs.unionByName(more), labels(spark, marks + [(i, 1, 1, "t") for i in ids]))
+    score = model.scorer()
+    assert model.weights["vrekkel"] > 0 and score("word3 vrekkel") >= toxicity.THRESHOLD > score("word3")
+
+
 def test_toxicity_without_positives(spark, insulted):
     docs, _ = insulted
     for marks in ([], [(1, 1, 0, ""), (None, 1, 1, "")]):
