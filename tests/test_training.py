@@ -75,6 +75,14 @@ def test_candidates_agree_between_fits_and_beat_the_majority(spark):
     assert sorted(again) == sorted(boosted.transform(enc).select("patient_id", "p1", "p5").collect())
 
 
+def test_results_tell_the_rows_each_model_was_fitted_on(spark):
+    split = _separable(spark, 200)
+    _, res = training.train_candidates(split, ["heart_rate"], ["sex"], ["Logistic Regression", "Boosted Trees"],
+                                       gbt_rounds=2, max_boosted_rows=50)
+    assert {r["model"]: r["n_train"] for r in res.collect()} == {
+        "Logistic Regression": split.filter("split = 'train'").count(), "Boosted Trees": 50}
+
+
 def test_boosted_trees_follow_the_reference_settings():
     gbt = training.estimators(100)["Boosted Trees"]
     inner = gbt.getClassifier()
