@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acurail.functions.ordered import prefix_within
 from acurail.llm.common import staged
 
 WEIGHTS = (5, 2, 1)
@@ -45,19 +46,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     follows from running sums over the sources.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # Source names are ranked in one ordered window: its rows are sources, not documents.
-    ranked = totals.withColumn("k", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("k") % len(weights) + 1).cast("int"))
-    ranked = staged(ranked.select("source", "source_size", weight.alias("w"),
-                                  (cap * F.col("source_size")).cast("double").alias("most")), "mix-sources")
-    order = Window.orderBy(F.col("most") / F.col("w"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # Sources are numbered over range partitions: they may be web hosts, whose number grows with the corpus.
+    ranked = prefix_within(totals.withColumn("last", F.col("source").isNull()), [], ["last", "source"], seq_col="k")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
+                          ((F.col("k") - 1) % len(weights) + 1).cast("int"))
+    ranked = staged(ranked.select("source", "last", "source_size", weight.alias("w"),
+                                  (cap * F.col("source_size")).cast("double").alias("most"))
+                    .withColumn("full_at", F.col("most") / F.col("w")), "mix-sources")
     total = ranked.agg(F.sum("source_size").alias("s"), F.sum("w").alias("sw")).first()
     budget, all_weights = share * (total["s"] or 0), total["sw"] or 1.0
-    levels = ranked.select(
+    running = prefix_within(ranked, [], ["full_at", "last", "source"], sums=["most", "w"], seq_col="k")
+    levels = running.select(
         "source", "most", "w",
-        ((F.lit(budget) - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-         / (F.lit(all_weights) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))).alias("level"))
+        ((F.lit(budget) - (F.col("running_most") - F.col("most")))
+         / (F.lit(all_weights) - (F.col("running_w") - F.col("w")))).alias("level"))
     # The first source that its share does not fill sets the level; if all are filled every source gets its cap.
     place = F.struct(F.col("most") / F.col("w"), F.col("source").isNull(), F.col("source"))
     level = levels.filter(F.col("level") * F.col("w") <= F.col("most")).agg(F.min_by("level", place)).first()[0]

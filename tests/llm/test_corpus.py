@@ -255,6 +255,18 @@ def targets_by_hand(sizes, weights=(5, 2, 1)):
     return out
 
 
+def test_many_sources_are_ranked_without_one_task(spark, monkeypatch):
+    rng = random.Random(12)
+    sizes = {f"h{i}": rng.randrange(0, 500) for i in range(700)} | {None: 40}
+    frame = spark.createDataFrame(list(sizes.items()), "source string, size bigint")
+    plain = mixing.Window.orderBy
+    monkeypatch.setattr(mixing.Window, "orderBy", lambda *_: pytest.fail("a window without partition"))
+    out = mixing.targets(frame).collect()
+    monkeypatch.setattr(mixing.Window, "orderBy", plain)
+    goal = targets_by_hand(sizes)
+    assert len(out) == len(goal) and all(r["target"] == pytest.approx(goal[r["source"]]) for r in out)
+
+
 def test_mixing(spark, monkeypatch):
     rng = random.Random(6)
     monkeypatch.setattr(mixing, "CELL_ROWS", 50)
