@@ -215,3 +215,55 @@ n AS (
 SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score
 FROM n WHERE k <= 3
 """
+
+
+@query("op11_importance_resampling")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acurail.llm import importance
+
+    d = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return d.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: crc32 of a text in SQL: the byte table by its rule, then one step a byte.
+_CRC_SQL = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(hex(encode(f))) // 2),
+    lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i + 1, 2) AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]))"""
+
+ORACLE["op11_importance_resampling"] = f"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END)) AS t),
+texts AS (
+  SELECT doc_id, true AS corpus, row_number() OVER () AS r, text FROM documents
+  UNION ALL SELECT NULL, false, row_number() OVER (), text FROM benchmark),
+words AS (
+  SELECT doc_id, corpus, r, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM texts),
+runs AS (
+  SELECT corpus, r, unnest(list_concat(w,
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM words),
+hashed AS (
+  SELECT f, xor({_CRC_SQL}, CAST(4294967295 AS BIGINT)) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM runs), crc_table),
+features AS (SELECT corpus, r, bucket, count(*) AS n FROM runs JOIN hashed USING (f) GROUP BY ALL),
+counts AS (
+  SELECT b.bucket, coalesce(sum(n) FILTER (WHERE corpus), 0) AS s, coalesce(sum(n) FILTER (WHERE NOT corpus), 0) AS t
+  FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN features USING (bucket) GROUP BY b.bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (CAST((SELECT sum(s) FROM counts) AS DOUBLE) + 10000)
+    / ((CAST(s AS DOUBLE) + 1) * (CAST((SELECT sum(t) FROM counts) AS DOUBLE) + 10000)))) AS BIGINT) AS gain FROM counts),
+weights AS (
+  SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight
+  FROM features JOIN gains USING (bucket) WHERE corpus GROUP BY r),
+scores AS (
+  SELECT doc_id, r, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(
+           CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM words LEFT JOIN weights USING (r) WHERE corpus),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS k FROM scores WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= (SELECT 5 * count(*) // 100 FROM ranked) THEN k END AS rank
+FROM scores LEFT JOIN ranked USING (r)
+"""
