@@ -1,15 +1,19 @@
-"""A bounded memory of computed values for the tasks of a worker."""
+"""Bounded memories of computed values for the tasks of a worker."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 class Memory(dict):
     """``memory[key]`` computes what is missing and forgets what was not used for long.
 
-    Two generations of at most ``size`` entries: a value that is asked for
-    again moves to the young one, and when that is full the old one goes.
+    Two generations of about ``size`` entries: a value that is asked for again
+    moves to the young one, and when that is full the old one goes.
     Keys longer than ``longest`` are computed each time, so the bytes that are
     held are bounded too.
     """
@@ -25,11 +29,55 @@ class Memory(dict):
             value = self.compute(key)
             if isinstance(key, (str, bytes)) and len(key) > self.longest:
                 return value
-        self.keep(key, value)
+        self[key] = value
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
         return value
 
-    def keep(self, key, value) -> None:
-        if len(self) >= self.size:
+    def many(self, keys: list, compute_all: Callable[[list], list]) -> list:
+        """Values of distinct ``keys``; those missing are computed at once."""
+        out = list(map(self.get, keys))
+        missing = [i for i, value in enumerate(out) if value is None]
+        unseen = []
+        for i in missing:
+            out[i] = self.old.get(keys[i])
+            if out[i] is None:
+                unseen.append(i)
+        for i, value in zip(unseen, compute_all([keys[i] for i in unseen]) if unseen else ()):
+            out[i] = value
+        self.update((keys[i], out[i]) for i in missing if len(keys[i]) <= self.longest)
+        if len(self) > self.size:
             self.old = dict(self)
             self.clear()
-        self[key] = value
+        return out
+
+
+def groups(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Slices of about ``size`` bytes of text (a longer text is a slice of its own), nulls as empty texts."""
+    texts = pc.fill_null(texts, "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def spread(words: pa.ListArray, encode_all: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all lists of words in turn, number of ids of each list).
+
+    ``encode_all`` gives the ids of the distinct words as little-endian 32-bit numbers.
+    """
+    offsets = words.offsets.to_numpy()
+    coded = words.flatten().dictionary_encode()
+    found = encode_all(coded.dictionary.to_pylist())
+    length = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+    ids = np.frombuffer(b"".join(found), dtype="<u4")
+    word = coded.indices.to_numpy()
+    size = length[word]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    place = np.repeat((np.cumsum(length) - length)[word] - ends[:-1], size)
+    place += np.arange(ends[-1])
+    return ids[place], np.diff(ends[offsets - offsets[0]])

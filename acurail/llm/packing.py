@@ -17,14 +17,16 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from acurail.llm.memory import Memory, groups, spread
+
 LENGTH = 2048
 END_ID = 1
 #: Cost, in tokens of padding, of ending a window inside a document: at a sentence end, or anywhere.
@@ -35,10 +37,8 @@ LONG_SENTENCE, HARD_STEP = 64, 16
 BLOCK_TOKENS = 1 << 18
 #: Words that are encoded as one text.
 JOINED = 256
-#: Documents whose new words are encoded together.
-GROUP = 256
-#: Words whose ids a worker remembers, and the longest word that is remembered.
-MEMORY_WORDS, MEMORY_LENGTH = 250_000, 64
+#: Bytes of texts whose words are looked up together, and words whose ids a worker remembers.
+GROUP_BYTES, MEMORY_WORDS = 1 << 22, 250_000
 
 
 @lru_cache(maxsize=2)
@@ -50,41 +50,40 @@ def _tokenizer(path: str):
 
 
 #: One ASCII mark between an ASCII letter and white space is a piece of its own for the tokenizer.
-_MARK = re.compile(rb"(?<=[a-z])[.,;:!?](?=[ \t\n\x0b\x0c\r]|$)")
+_MARK = re.compile(r"(?<=[a-z])[.,;:!?]\Z")
 
 
 class WordEncoder:
-    """Token ids of whole texts through a per-word memory.
+    """Token ids of whole texts through a memory of words.
 
     The tokenizer lower-cases, and its pieces never span ASCII white space nor
     an ASCII letter and a following mark. A text's ids are thus those of its
-    lower-cased words and marks in turn, and each is encoded once while
-    remembered. Texts that may hold a special token are encoded as they are.
+    lower-cased words and marks in turn; each distinct word of a group of texts
+    is looked up once, and encoded if it is not remembered. Texts that may hold
+    a special token are encoded as they are.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.memory: dict[bytes, bytes] = {}
-        ends = self.encode([b"x.", b"x!", b"x?"])
+        self.memory = Memory(None, MEMORY_WORDS)
+        self.mark_ids = dict(zip(".,;:!?", self.encode(list(".,;:!?"))))
         #: Ids that end a sentence.
-        self.stops = np.unique([np.frombuffer(e, dtype="<u4")[-1] for e in ends])
+        self.stops = np.unique([np.frombuffer(self.mark_ids[m], dtype="<u4")[-1] for m in ".!?"])
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([t.decode("utf-8", "surrogatepass") for t in texts],
-                                            add_special_tokens=False)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of single words. Words of letters alone are one piece each, so they are encoded joined and told
         apart by the piece number of each token."""
         plain, other = [], []
         for w in words:
-            s = w.decode("utf-8", "surrogatepass")
-            (plain if s.isalpha() and s.lower().isalpha() else other).append(w)
+            (plain if w.isalpha() and w.lower().isalpha() else other).append(w)
         found = dict(zip(other, self.encode(other))) if other else {}
-        groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
-        whole = self.tokenizer.encode_batch([b" ".join(g).decode() for g in groups], add_special_tokens=False)
-        for g, e in zip(groups, whole):
+        joined = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
+        whole = self.tokenizer.encode_batch([" ".join(g) for g in joined], add_special_tokens=False)
+        for g, e in zip(joined, whole):
             piece = np.array(e.word_ids, dtype=np.int64)
             if len(piece) == 0 or piece[-1] != len(g) - 1:  # letters that normalisation takes apart
                 found.update(zip(g, self.encode(g)))
@@ -92,27 +91,23 @@ class WordEncoder:
             raw = np.array(e.ids, dtype="<u4").tobytes()
             cuts = (4 * np.searchsorted(piece, np.arange(len(g) + 1))).tolist()
             found.update((w, raw[a:b]) for w, a, b in zip(g, cuts[:-1], cuts[1:]))
-        return found
-
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text."""
-        memory = self.memory
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        words = [[] if b"<|" in r else _MARK.sub(rb" \g<0>", r.lower()).split() for r in raw]
-        unseen = [w for w in set(chain.from_iterable(words)) if w not in memory]
-        now = self.encode_words(unseen) if unseen else {}
-        room = MEMORY_WORDS - len(memory)  # common words come early, so a full memory is kept as it is
-        memory.update((w, i) for w, i in islice(now.items(), max(0, room)) if len(w) <= MEMORY_LENGTH)
-        rest = {w: i for w, i in now.items() if w not in memory}
+        return [found[w] for w in words]
 
-        def known(w: bytes) -> bytes:
-            return memory.get(w) or rest.get(w, b"")
+    def words_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, a mark at their end looked up on its own."""
+        cores = [w[:-1] if _MARK.search(w) else w for w in words]
+        distinct = list(dict.fromkeys(cores))
+        known = dict(zip(distinct, self.memory.many(distinct, self.encode_words)))
+        return [known[c] if len(c) == len(w) else known[c] + self.mark_ids[w[-1]] for w, c in zip(words, cores)]
 
-        joined = [b"".join(map(known if rest else memory.__getitem__, w)) for w in words]
-        for i, r in enumerate(raw):
-            if b"<|" in r:
-                joined[i] = self.encode([r])[0]
-        return [np.frombuffer(j, dtype="<u4") for j in joined]
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; none is null."""
+        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        flat, sizes = spread(pc.ascii_split_whitespace(pc.ascii_lower(texts)), self.words_ids)
+        each = np.split(flat, np.cumsum(sizes)[:-1])
+        for i in np.flatnonzero(special):
+            each[i] = np.frombuffer(self.encode([texts[i].as_py()])[0], dtype="<u4")
+        return each
 
 
 @lru_cache(maxsize=2)
@@ -244,9 +239,9 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
             return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*pieces)], names=names)
 
         for batch in batches:
-            for at in range(0, len(batch), GROUP):
-                doc_ids, texts = (c.slice(at, GROUP).to_pylist() for c in batch.columns)
-                for doc_id, ids in zip(doc_ids, encoder.ids(texts)):
+            doc_ids = iter(batch.column(0).to_pylist())
+            for group in groups(batch.column(1), GROUP_BYTES):
+                for doc_id, ids in zip(doc_ids, encoder.ids(group)):
                     for pieces in packer.add(doc_id, np.concatenate([ids, end])):
                         if pieces:
                             yield out(pieces)

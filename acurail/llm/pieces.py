@@ -21,20 +21,23 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acurail.llm.common import without
-from acurail.llm.memory import Memory
+from acurail.llm.memory import Memory, groups, spread
 
 #: What stands for a space in pieces.
 SPACE = "▁"
-#: Parts of texts, and compatible or incompatible pairs, that a worker remembers.
-MEMORY_PARTS, MEMORY_PAIRS = 200_000, 500_000
+#: Words, and compatible or incompatible pairs, that a worker remembers.
+MEMORY_WORDS, MEMORY_PAIRS = 300_000, 500_000
+#: Bytes of texts whose words are looked up together.
+GROUP_BYTES = 1 << 22
 _NONE = -1
 _NORMAL = 1
 
@@ -79,7 +82,11 @@ class Vocabulary:
         self.parts = self._cutter(alphabet)
         self.pairs = Memory(self._compatible, MEMORY_PAIRS)
         self.first = Memory(lambda i: self.merged(self.text[i]) == [self.text[i]], MEMORY_PAIRS)
-        self.memory = Memory(self._part_ids, MEMORY_PARTS)
+        self.length = [len(p) for p in self.text]
+        #: What a piece adds to a text's ids: itself, or the bytes of a character that has no piece.
+        self.raw = [np.array([i] if self.text[i] in self.score else [self.bytes[b] for b in self.text[i].encode()],
+                             dtype="<u4").tobytes() if i in self.shorter else b"" for i in range(len(self.text))]
+        self.memory = Memory(self._part_ids, MEMORY_WORDS)
 
     def _cutter(self, alphabet: set[str]) -> re.Pattern:
         """Pattern of the parts of a text. Every cut lies between characters that no piece holds side by side."""
@@ -87,9 +94,12 @@ class Vocabulary:
         letters = {c for c in alphabet if c.isalpha()}
         joined = {b for a, b in inside if a in letters}
         marks = sorted(alphabet - letters - joined - {SPACE})
+        #: Characters that no piece holds behind a letter.
+        self.marks = "".join(marks)
         known = "".join(re.escape(c) for c in sorted(alphabet - {SPACE}))
-        before_space = any(b == SPACE and a != SPACE for a, b in inside)
-        if before_space:
+        #: Whether a piece holds a space behind another character, so that texts cannot be cut at spaces.
+        self.before_space = any(b == SPACE and a != SPACE for a, b in inside)
+        if self.before_space:
             return re.compile(f"[{known}{SPACE}]+|.", re.DOTALL)
         word = f"{SPACE}*[{''.join(re.escape(c) for c in sorted(letters))}]++(?=[{''.join(map(re.escape, marks))}])|"
         return re.compile(f"{word if letters and marks else ''}{SPACE}*[{known}]+|{SPACE}+|.", re.DOTALL)
@@ -113,53 +123,81 @@ class Vocabulary:
         a, b = self.text[left], self.text[right]
         return self.merged(a + b) == [a, b]
 
-    def _part_ids(self, part: str) -> tuple[tuple[int, ...]]:
-        """Ids of a part, in a tuple of one (an empty part is remembered too)."""
-        found: list[int] = []
-        for i in self.backtrack(part):
-            if i < len(self.text) and self.text[i] in self.score:
-                found.append(i)
-            else:
-                c = part if i == len(self.text) else self.text[i]
-                found.extend(self.bytes[b] for b in c.encode("utf-8", "surrogatepass"))
-        return tuple(found)
+    def _part_ids(self, part: str) -> bytes:
+        """Ids of a part, or of the parts that it can be cut into, as little-endian 32-bit numbers."""
+        parts = self.parts.findall(part)
+        if len(parts) > 1:
+            return b"".join(map(self.memory.__getitem__, parts))
+        if len(part) == 1 and part not in self.id_of:
+            return np.array([self.bytes[b] for b in part.encode("utf-8", "surrogatepass")], dtype="<u4").tobytes()
+        return b"".join(map(self.raw.__getitem__, self.backtrack(part)))
+
+    def _words_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words with the space in front of them; marks at the end are looked up on their own."""
+        known, marks = self.memory, self.marks
+        cores = [w.rstrip(marks) for w in words]
+        found = [known[SPACE + c] for c in cores]
+        for i, (w, c) in enumerate(zip(words, cores)):
+            if len(w) > len(c):
+                if c and c[-1].isalpha():
+                    found[i] += known[w[len(c):]]
+                else:
+                    found[i] = known[SPACE + w]
+        return found
 
     def backtrack(self, part: str) -> list[int]:
-        """Pieces of a part; a character outside the alphabet is a part of its own, with the id after the last."""
+        """Pieces of a part all whose characters stand in some piece."""
         n, size = len(part), len(self.text)
-        longest = [size] * n
-        for end, (i, length) in self.automaton.iter(part):
-            longest[end + 1 - length] = i  # ends come in rising order, so the longest stays
-        if n == 1:
-            return longest
-        text, shorter, pairs, first = self.text, self.shorter, self.pairs, self.first
-        failed = bytearray(n // 8 + 1)
+        longest = [0] * n
+        for end, (i, width) in self.automaton.iter(part):
+            longest[end + 1 - width] = i  # ends come in rising order, so the longest stays
+        length, shorter, pairs, first = self.length, self.shorter, self.pairs, self.first
+        failed = None  # bitfield of the positions without a continuation, from the first dead end on
         taken: list[int] = []
-        at, token = 0, longest[0]
-        while at < n:
+        at, last, token = 0, _NONE, longest[0]
+        while True:
             while token != _NONE:
-                end = at + len(text[token])
-                if not failed[end >> 3] >> (end & 7) & 1 and (
-                        pairs[taken[-1] * size + token] if taken else first[token]):
+                end = at + length[token]
+                if (failed is None or not failed[end >> 3] >> (end & 7) & 1) and (
+                        pairs[last * size + token] if last != _NONE else first[token]):
                     break
                 token = shorter[token]
             if token != _NONE:
                 taken.append(token)
-                at = end
-                token = longest[at] if at < n else _NONE
+                if end == n:
+                    return taken
+                at, last = end, token
+                token = longest[at]
             else:
+                failed = failed or bytearray(n // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
-                last = taken.pop()  # single characters always merge to themselves, so there is one
-                at -= len(text[last])
+                taken.pop()  # single characters always merge to themselves, so there is one
+                at -= length[last]
                 token = shorter[last]
-        return taken
+                last = taken[-1] if taken else _NONE
 
-    def ids(self, text: str | None) -> list[int]:
+    def ids(self, text: str | None) -> np.ndarray:
         """Ids of a whole text, without begin and end ids."""
-        if not text:
-            return []
-        parts = self.parts.findall(SPACE + text.replace(" ", SPACE))
-        return list(chain.from_iterable(map(self.memory.__getitem__, parts)))
+        parts = self.parts.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        return np.frombuffer(b"".join(map(self.memory.__getitem__, parts)), dtype="<u4")
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, number of ids of each); no text is null.
+
+        Where single spaces part the words, a word with the space in front is
+        encoded alone, once a batch. Other texts are cut one by one.
+        """
+        odd = pc.or_(pc.match_substring_regex(texts, "^$|^ | $|  "), pc.match_substring(texts, SPACE)).to_numpy(
+            zero_copy_only=False)
+        if self.before_space or odd.all():
+            found = [self.ids(t.as_py()) for t in texts]
+            return np.concatenate([np.zeros(0, "<u4"), *found]), np.array([len(f) for f in found], dtype=np.int64)
+        flat, plain = spread(pc.split_pattern(texts.filter(pa.array(~odd)), " "), self._words_ids)
+        if not odd.any():
+            return flat, plain
+        found = iter(np.split(flat, np.cumsum(plain)[:-1]))
+        each = [self.ids(t.as_py()) if o else next(found) for t, o in zip(texts, odd)]
+        return np.concatenate(each), np.array([len(f) for f in each], dtype=np.int64)
 
     def decode(self, ids: list[int]) -> str:
         """The library's text of ``ids``."""
@@ -187,13 +225,15 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
     def encoded(texts: pa.Array) -> pa.Array:
         model = vocabulary(model_path)
-        offsets, flat, decoded = [0], [], []
-        for value in texts:
-            found = model.ids(value.as_py())
-            flat.append(pa.array(found, pa.int32()))
-            offsets.append(offsets[-1] + len(found))
-            decoded.append(model.decode(found) if found else "")
-        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays([pa.array([], pa.int32()), *flat]))
+        flat, offsets, decoded = [pa.array([], pa.int32())], [np.zeros(1, dtype=np.int32)], []
+        for group in groups(texts, GROUP_BYTES):
+            ids, sizes = model.batch(group)
+            ends = np.cumsum(sizes)
+            flat.append(pa.array(ids.astype(np.int32)))
+            offsets.append((ends + offsets[-1][-1]).astype(np.int32))
+            values = ids.tolist()
+            decoded += [model.decode(values[a:b]) if a < b else "" for a, b in zip(ends - sizes, ends)]
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(offsets)), pa.concat_arrays(flat))
         return pa.StructArray.from_arrays([ids, pa.array(decoded, pa.string())], names=RESULT)
 
     d = without(docs, *RESULT)

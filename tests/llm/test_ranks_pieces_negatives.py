@@ -8,12 +8,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 from acurail.llm import hard_negatives, importance, pieces, radix
-from acurail.llm.memory import Memory
+from acurail.llm.memory import Memory, groups
 from acurail.llm.queries import piece_model
 from tests.llm.edge import edge_docs, no_docs
 
@@ -130,8 +131,11 @@ def test_encoding_equals_the_library(library):
             lambda: chr(rng.choice([rng.randrange(1, 0x250), rng.randrange(0x250, 0xD800), rng.randrange(0xE000, 0x11000)])),
         ][i % 5]() for _ in range(n)))
     for t in texts:
-        assert v.ids(t) == library.encode(t), repr(t)
-        assert v.decode(v.ids(t)) == library.decode(library.encode(t))
+        assert v.ids(t).tolist() == library.encode(t), repr(t)
+        assert v.decode(v.ids(t).tolist()) == library.decode(library.encode(t))
+    for some in (texts, [t for t in texts if re.fullmatch(r"([^ ▁]+ )*[^ ▁]+", t)], ["", "  "], [None, "a b"]):
+        flat, sizes = v.batch(next(groups(pa.array(some, pa.string()), 1 << 30)))
+        assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [library.encode(t or "") for t in some]
 
 
 def test_backtracking_takes_pieces_back_and_marks_dead_ends(library):
@@ -150,7 +154,7 @@ def test_backtracking_takes_pieces_back_and_marks_dead_ends(library):
         wrong += v.backtrack(part) != longest
     assert wrong > 100
     long = "".join(rng.choice("etaoinsrh") for _ in range(200_000))
-    assert v.ids(long) == library.encode(long)
+    assert v.ids(long).tolist() == library.encode(long)
 
 
 def test_piece_query_columns_on_awkward_rows(spark, library):
@@ -163,6 +167,12 @@ def test_piece_query_columns_on_awkward_rows(spark, library):
     assert pieces.encode(no_docs(spark), piece_model()).count() == 0
 
 
+def test_groups_of_texts():
+    texts = pa.array(["ab", None, "c" * 9, "", "d", "e"])
+    assert [g.to_pylist() for g in groups(texts, 3)] == [["ab", ""], ["c" * 9], ["", "d", "e"]]
+    assert list(groups(texts.slice(0, 0), 3)) == []
+
+
 def test_memory_forgets_the_oldest_generation():
     asked = []
     m = Memory(lambda k: asked.append(k) or k * 2, size=3, longest=4)
