@@ -36,23 +36,38 @@ class Memory(dict):
         return value
 
     def many(self, keys: list, compute_all: Callable[[list], list]) -> list:
-        """Values of distinct ``keys``; those missing are computed at once."""
+        """Values of ``keys``; those missing are computed at once, each once."""
         out = list(map(self.get, keys))
         missing = [i for i, value in enumerate(out) if value is None]
-        unseen = []
-        for i in missing:
-            out[i] = self.old.get(keys[i])
-            if out[i] is None:
-                unseen.append(i)
-        for i, value in zip(unseen, compute_all([keys[i] for i in unseen]) if unseen else ()):
-            out[i] = value
-        self.update((keys[i], out[i]) for i in missing if len(keys[i]) <= self.longest)
-        if len(self) > self.size:
-            self.old = dict(self)
-            self.clear()
+        if missing:
+            new = {keys[i]: None for i in missing}
+            new = {k: self.old.get(k) for k in new}
+            unseen = [k for k, value in new.items() if value is None]
+            if unseen:
+                new.update(zip(unseen, compute_all(unseen)))
+            for i in missing:
+                out[i] = new[keys[i]]
+            longest = self.longest
+            self.update((k, value) for k, value in new.items() if len(k) <= longest)
+            if len(self) > self.size:
+                self.old = dict(self)
+                self.clear()
         return out
 
 
+def joined_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``size`` bytes (the last may be smaller)."""
+    held, held_bytes = [], 0
+    for b in batches:
+        held.append(b)
+        held_bytes += b.nbytes
+        if held_bytes >= size:
+            yield pa.concat_batches(held)
+            held, held_bytes = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def groups(texts: pa.Array, size: int) -> Iterator[pa.Array]:
     """Slices of about ``size`` bytes of text (a longer text is a slice of its own), nulls as empty texts."""
     texts = pc.fill_null(texts, "")

@@ -12,7 +12,6 @@ the window gives each minimum in constant time.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acurail.llm.memory import Memory, groups, spread
+from acurail.llm.memory import Memory, groups, joined_batches, spread
 
 LENGTH = 2048
 END_ID = 1
@@ -38,7 +37,7 @@ BLOCK_TOKENS = 1 << 18
 #: Words that are encoded as one text.
 JOINED = 256
 #: Bytes of texts whose words are looked up together, and words whose ids a worker remembers.
-GROUP_BYTES, MEMORY_WORDS = 1 << 22, 250_000
+GROUP_BYTES, MEMORY_WORDS = 1 << 23, 400_000
 
 
 @lru_cache(maxsize=2)
@@ -49,8 +48,8 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: One ASCII mark between an ASCII letter and white space is a piece of its own for the tokenizer.
-_MARK = re.compile(r"(?<=[a-z])[.,;:!?]\Z")
+#: One of these marks between an ASCII letter and white space is a piece of its own for the tokenizer.
+_MARKS, _LETTERS = ".,;:!?", frozenset("abcdefghijklmnopqrstuvwxyz")
 
 
 class WordEncoder:
@@ -66,7 +65,7 @@ class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.memory = Memory(None, MEMORY_WORDS)
-        self.mark_ids = dict(zip(".,;:!?", self.encode(list(".,;:!?"))))
+        self.mark_ids = dict(zip(_MARKS, self.encode(list(_MARKS))))
         #: Ids that end a sentence.
         self.stops = np.unique([np.frombuffer(self.mark_ids[m], dtype="<u4")[-1] for m in ".!?"])
 
@@ -95,10 +94,19 @@ class WordEncoder:
 
     def words_ids(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words, a mark at their end looked up on its own."""
-        cores = [w[:-1] if _MARK.search(w) else w for w in words]
-        distinct = list(dict.fromkeys(cores))
-        known = dict(zip(distinct, self.memory.many(distinct, self.encode_words)))
-        return [known[c] if len(c) == len(w) else known[c] + self.mark_ids[w[-1]] for w, c in zip(words, cores)]
+        cores = [w.rstrip(_MARKS) for w in words]
+        marked = [i for i, (w, c) in enumerate(zip(words, cores)) if len(w) != len(c)]
+        tails = []
+        for i in marked:
+            w, c = words[i], cores[i]
+            if len(w) == len(c) + 1 and c and c[-1] in _LETTERS:
+                tails.append(i)
+            else:
+                cores[i] = w
+        found = self.memory.many(cores, self.encode_words)
+        for i in tails:
+            found[i] += self.mark_ids[words[i][-1]]
+        return found
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; none is null."""
@@ -238,7 +246,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
         def out(pieces: list[tuple]) -> pa.RecordBatch:
             return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*pieces)], names=names)
 
-        for batch in batches:
+        for batch in joined_batches(batches, GROUP_BYTES):
             doc_ids = iter(batch.column(0).to_pylist())
             for group in groups(batch.column(1), GROUP_BYTES):
                 for doc_id, ids in zip(doc_ids, encoder.ids(group)):
