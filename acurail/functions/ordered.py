@@ -81,17 +81,20 @@ def prefix_within(df: DataFrame, group: Sequence[str], order: Sequence[str],
 
 
 def exact_percentiles(df: DataFrame, group: Sequence[str], value: str, quantiles: Sequence[float],
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, count: str | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles per group, NULLs ignored.
 
+    With ``count`` a row stands for that many rows of its value.
+
     Returns one row per group with columns ``q<NN>`` (e.g. ``q50``, ``q95``).
     Rows are first counted per (group, value), which combines map-side, and
     running counts over the distinct values then tell which value has a rank.
     """
     group = list(group)
     own = [f"_g{i}" for i in range(len(group))]
-    counts = (df.select(*[F.col(c).alias(o) for c, o in zip(group, own)], F.col(value).cast("double").alias("_v"))
-              .filter(F.col("_v").isNotNull()).groupBy(*own, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    counts = (df.select(*[F.col(c).alias(o) for c, o in zip(group, own)], F.col(value).cast("double").alias("_v"),
+                        (F.col(count) if count else F.lit(1)).cast("bigint").alias("_n1"))
+              .filter(F.col("_v").isNotNull()).groupBy(*own, "_v").agg(F.sum("_n1").alias("_c")))
     run = prefix_within(counts, own, ["_v"], sums=["_c"], num_partitions=num_partitions, seq_col="_seq")
     tot = [f"_t{i}" for i in range(len(group))]
     totals = run.groupBy(*[F.col(o).alias(t) for o, t in zip(own, tot)]).agg(F.max("running__c").alias("_n"))

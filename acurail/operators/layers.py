@@ -247,14 +247,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return stored(df, "decisions")
 
 
-def decision_record(df: DataFrame) -> DataFrame:
-    """Nested decision record (struct ``vitals``, map ``probabilities``) for publishing."""
+def decision_record(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Nested decision record (struct ``vitals``, map ``probabilities``) for publishing; ``keep`` names further columns."""
     from acurail.constants import VITAL_FIELDS
     cols = set(df.columns)
     vit = F.struct(*[(F.col(c) if c in cols else F.lit(None)).cast("double").alias(c) for c in VITAL_FIELDS])
     base = [c for c in DECISION_COLUMNS if c in cols]
     extra = [c for c in ("timestamp", "run_id", "age", "sex", "chief_complaint_raw") if c in cols]
-    return df.select(*base, *extra, vit.alias("vitals"),
+    return df.select(*keep, *base, *extra, vit.alias("vitals"),
                      F.col("chief_complaint_raw").alias("chief_complaint") if "chief_complaint_raw" in cols
                      else F.lit("").alias("chief_complaint"),
                      F.current_timestamp().alias("processed_at"))

@@ -44,16 +44,24 @@ def close_llm_segment(messages: DataFrame, explanations: DataFrame) -> DataFrame
 
     llm_ms = (explained_at - enrichment_requested_at) * 1000, falling back to
     safety_done_at when the request time is unknown. The explanation side is
-    aggregated per patient first (partial aggregation), then left-joined.
+    aggregated per patient first (partial aggregation), then left-joined. Of
+    explanations of one time the one without, else with the earliest, request
+    time counts; explanations without a time do not count.
     """
-    first = explanations.groupBy("patient_id").agg(
-        F.min_by(F.struct("explained_at", "enrichment_requested_at"), F.col("explained_at")).alias("_e"))
-    first = first.select("patient_id", F.col("_e.explained_at").alias("explained_at"),
-                         F.col("_e.enrichment_requested_at").alias("_req"))
-    joined = messages.join(first, "patient_id", "left")
-    llm = F.when(F.col("explained_at").isNotNull(), (F.col("explained_at") - F.coalesce(
-        F.col("_req"), F.col("safety_done_at"))) * 1000)
-    return joined.withColumn("llm_ms", llm).drop("_req")
+    joined = messages.join(first_explanations(explanations), "patient_id", "left")
+    return joined.withColumn("llm_ms", llm_ms()).drop("enrichment_requested_at")
+
+
+def first_explanations(explanations: DataFrame) -> DataFrame:
+    """(patient_id, explained_at, enrichment_requested_at) of each patient's earliest explanation."""
+    return explanations.filter(F.col("explained_at").isNotNull()).groupBy("patient_id").agg(
+        F.min(F.struct("explained_at", "enrichment_requested_at")).alias("_e")).select("patient_id", "_e.*")
+
+
+def llm_ms():
+    """The explanation segment of a message that carries its explanation's times."""
+    return F.when(F.col("explained_at").isNotNull(), (F.col("explained_at") - F.coalesce(
+        F.col("enrichment_requested_at"), F.col("safety_done_at"))) * 1000)
 
 
 def _truthy(c: str):
@@ -144,11 +152,14 @@ def latency_points(messages: DataFrame) -> DataFrame:
 
 
 def recent_records(records: DataFrame, n: int = 100, order_col: str = "produced_at") -> DataFrame:
-    """first record per patient, then the newest ``n`` by arrival (TakeOrdered, bounded)."""
-    cols = [c for c in records.columns if c != "patient_id"]
-    first = records.groupBy("patient_id").agg(
-        F.min_by(F.struct(*cols), F.col(order_col)).alias("_r")).select("patient_id", "_r.*")
-    return first.orderBy(F.col(order_col).desc(), F.col("patient_id")).limit(n)
+    """first record per patient, then the newest ``n`` by arrival (TakeOrdered, bounded).
+
+    Of records of one time the smallest counts (column by column); records without a time take no part.
+    """
+    cols = [order_col, *[c for c in records.columns if c not in ("patient_id", order_col)]]
+    first = records.filter(F.col(order_col).isNotNull()).groupBy("patient_id").agg(
+        F.min(F.struct(*cols)).alias("_r")).select("patient_id", "_r.*")
+    return first.orderBy(F.col(order_col).desc(), F.col("patient_id")).limit(n).select(*records.columns)
 
 
 def pipeline_counters(decided: DataFrame) -> DataFrame:

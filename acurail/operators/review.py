@@ -319,7 +319,12 @@ def review_backlog(decided: DataFrame, explanations: DataFrame, actions: DataFra
 
 
 def records_with_review(decided: DataFrame, enrichment: DataFrame) -> DataFrame:
-    """Attach the (first) enrichment to its record by key; records without one keep NULLs."""
-    first = enrichment.groupBy("patient_id").agg(F.min_by(F.struct(*[
-        c for c in enrichment.columns if c != "patient_id"]), F.col("explained_at")).alias("llm_explanation"))
+    """Attach the first enrichment to its record by key; records without one keep NULLs.
+
+    Of enrichments of one time the smallest counts (column by column, so they must be of orderable
+    types); those without a time do not count.
+    """
+    cols = ["explained_at", *[c for c in enrichment.columns if c not in ("patient_id", "explained_at")]]
+    first = enrichment.filter(F.col("explained_at").isNotNull()).groupBy("patient_id").agg(
+        F.min(F.struct(*cols)).alias("llm_explanation"))
     return decided.join(first, "patient_id", "left")

@@ -514,6 +514,29 @@ FROM (SELECT CAST(count(*) AS BIGINT) AS processed,
   CAST(count(*) FILTER (WHERE cstate IN ('AMBIGUOUS', 'LOW')) AS BIGINT) AS conf_hits,
   CAST(count(*) FILTER (WHERE has_conflict) AS BIGINT) AS conflict_hits FROM dec) a"""))
 
+register("stream_run_counters", with_decisions("""
+SELECT run_id, CAST(count(*) AS BIGINT) AS processed,
+  CAST(count(*) FILTER (WHERE triage_acuity = final_acuity) AS BIGINT) AS correct,
+  CAST(count(*) FILTER (WHERE trig) AS BIGINT) AS rail_hits,
+  CAST(count(*) FILTER (WHERE cstate IN ('AMBIGUOUS', 'LOW')) AS BIGINT) AS conf_hits,
+  CAST(count(*) FILTER (WHERE has_conflict) AS BIGINT) AS conflict_hits FROM dec GROUP BY run_id"""))
+
+register("stream_llm_segments", with_decisions(f"""
+SELECT patient_id, run_id, {rnd('explained_at', 6)} AS explained_at, {rnd('llm_ms', 6)} AS llm_ms
+FROM msgs WHERE explained_at IS NOT NULL""", *MSG_CTES))
+
+register("stream_run_summary", with_decisions(
+    "SELECT * EXCLUDE (t0, rail_raw) FROM rs", *MSG_CTES, f"rs AS ({RUN_SUMMARY_SQL})"))
+
+register("stream_merged_records", with_decisions(f"""
+SELECT d.patient_id, d.final_acuity AS predicted_acuity, {_label('d.final_acuity')} AS label,
+  d.review AS requires_review, {rnd('m.explained_at', 6)} AS explained_at
+FROM dec d LEFT JOIN msgs m USING (patient_id)""", *MSG_CTES))
+
+register("stream_recent_records", with_decisions(f"""
+SELECT patient_id, {rnd('produced_at', 6)} AS produced_at
+FROM msgs ORDER BY produced_at DESC, patient_id LIMIT 100""", *MSG_CTES))
+
 register("layer_impact", with_decisions(f"""
 SELECT total, correct_raw, correct_final, rail_hits, conf_hits, conflict_hits, escalations, requires_review,
   {rnd('correct_raw * 100.0 / total', 6)} AS raw_accuracy_pct, {rnd('correct_final * 100.0 / total', 6)} AS final_accuracy_pct,

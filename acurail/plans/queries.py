@@ -612,6 +612,15 @@ def stream_records(spark, sf_dir) -> DataFrame:
         "p1", "p2", "p3", "p4", "p5")
 
 
+def stream_schema():
+    """Schema of ``stream_records``: the input fields and the stage timestamps."""
+    from pyspark.sql import types as T
+
+    from acurail.streaming import jobs
+    return T.StructType(list(jobs.INPUT_SCHEMA.fields) + [
+        T.StructField(c, T.DoubleType()) for c in ("consumer_received_at", "ml_done_at", "safety_done_at")])
+
+
 def run_decision_stream(spark, sf_dir, num_files: int | None = None) -> str:
     """J1 end to end on the file source (availableNow); returns the output folder."""
     import os
@@ -619,15 +628,10 @@ def run_decision_stream(spark, sf_dir, num_files: int | None = None) -> str:
     from acurail.streaming import jobs
     par = spark.sparkContext.defaultParallelism
     root = write_stream_input(stream_records(spark, sf_dir), num_files=num_files or 2 * par)
-    from pyspark.sql import types as T
-    schema = T.StructType(list(jobs.INPUT_SCHEMA.fields) + [
-        T.StructField(c, T.DoubleType()) for c in ("consumer_received_at", "ml_done_at", "safety_done_at")])
+    schema = stream_schema()
     raw = jobs.read_json_lines(spark, os.path.join(root, "in"), max_files_per_trigger=par)
-    good, bad = jobs.parse_records(raw, schema)
-    dec = jobs.decide_stream(good)
-    q = (dec.writeStream.foreachBatch(jobs.decision_sink(os.path.join(root, "out")))
-         .option("checkpointLocation", os.path.join(root, "chk")).trigger(availableNow=True).start())
-    q.awaitTermination()
+    for q in jobs.start_decision_job(spark, raw, os.path.join(root, "out"), os.path.join(root, "chk"), schema=schema):
+        q.awaitTermination()
     return root
 
 
@@ -649,3 +653,61 @@ def q_stream_messages(spark, sf_dir):
     return _round_doubles(m.select("run_id", "patient_id", "kafka_transit_ms", "ml_inference_ms",
                                    "safety_pipeline_ms", "e2e_ms", "safety_rail_triggered", "true_acuity",
                                    "predicted_acuity"))
+
+
+def run_live_stream(spark, sf_dir, start, files: int = 6, notes: bool = True) -> str:
+    """Records and explanations of all encounters, mixed over ``files`` files, through a live job; its output folder."""
+    import os
+    from acurail.sources.files import write_lines
+    from acurail.streaming import jobs
+    records = stream_records(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+    told = tables.explanation_events(_enc(spark, sf_dir)).select(F.to_json(F.struct(
+        "patient_id", F.lit(True).alias("enrichment"), "enrichment_requested_at", "explained_at",
+        F.struct(F.lit("why").alias("escalation_reason"), F.lit(True).alias("is_ready")).alias("llm_explanation"))).alias("value"))
+    mixed = records.unionByName(told) if notes else records
+    root = write_lines(mixed, num_files=files)
+    raw = jobs.read_json_lines(spark, os.path.join(root, "in"), max_files_per_trigger=2)
+    out = start(spark, raw, os.path.join(root, "out"), os.path.join(root, "chk"), stream_schema())
+    for q in out if isinstance(out, tuple) else (out,):
+        q.awaitTermination()
+    return os.path.join(root, "out")
+
+
+@query("stream_run_counters")
+def q_stream_run_counters(spark, sf_dir):
+    from acurail.streaming import live
+    out = run_live_stream(spark, sf_dir, live.start_counter_job)
+    return live.counter_table(spark, out).current().drop("first_produced_at", "last_produced_at")
+
+
+@query("stream_llm_segments")
+def q_stream_llm_segments(spark, sf_dir):
+    from acurail.streaming import live
+    m = live.live_messages(spark, run_live_stream(spark, sf_dir, live.start_message_job))
+    return _round_doubles(m.filter(F.col("explained_at").isNotNull()).select("patient_id", "run_id", "explained_at", "llm_ms"))
+
+
+@query("stream_run_summary")
+def q_stream_run_summary(spark, sf_dir):
+    from acurail.streaming import live
+    out = run_live_stream(spark, sf_dir, live.start_message_job)
+    return _round_doubles(live.live_run_summary(spark, out).drop("started_at"))
+
+
+@query("stream_merged_records")
+def q_stream_merged_records(spark, sf_dir):
+    """Published value of every patient: the decision and the time of the explanation joined to it."""
+    from acurail.streaming import live
+    out = run_live_stream(spark, sf_dir, live.start_merged_job)
+    value = live.published(live.merged_table(spark, out).current())
+    return _round_doubles(value.select(
+        F.col("key").alias("patient_id"), *[F.get_json_object("value", f"$.{c}").cast(t).alias(c) for c, t in (
+            ("predicted_acuity", "int"), ("label", "string"), ("requires_review", "boolean"), ("explained_at", "double"))]))
+
+
+@query("stream_recent_records")
+def q_stream_recent_records(spark, sf_dir):
+    """The stored newest 100 after a stream whose records come in any order."""
+    from acurail.streaming import live
+    out = run_live_stream(spark, sf_dir, lambda s, raw, o, c, schema: live.start_recent_job(s, raw, o, c, schema=schema))
+    return _round_doubles(live.recent_records(spark, out).select("patient_id", "produced_at"))

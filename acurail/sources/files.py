@@ -40,12 +40,14 @@ def read_optional(spark: SparkSession, path: str | None, reader=None) -> DataFra
         raise
 
 
-def write_stream_input(records: DataFrame, num_files: int = 4, base: str | None = None) -> str:
-    """Write records as JSON lines (the producer's message format) into a fresh folder under the
-    shared checkpoint directory; returns the folder. Used to drive file-source streams."""
-    spark = records.sparkSession
-    root = base or os.path.join(ensure_checkpoint_dir(spark), "streams", uuid.uuid4().hex)
-    path = os.path.join(root, "in")
-    records.select(F.to_json(F.struct("*")).alias("value")).repartition(num_files) \
-        .write.mode("overwrite").text(path)
+def write_lines(lines: DataFrame, num_files: int = 4, base: str | None = None) -> str:
+    """Write a column of message texts into a fresh folder under the shared checkpoint directory; returns the
+    folder, whose ``in`` drives file-source streams."""
+    root = base or os.path.join(ensure_checkpoint_dir(lines.sparkSession), "streams", uuid.uuid4().hex)
+    lines.repartition(num_files).write.mode("overwrite").text(os.path.join(root, "in"))
     return root
+
+
+def write_stream_input(records: DataFrame, num_files: int = 4, base: str | None = None) -> str:
+    """Write records as JSON lines (the producer's message format); see ``write_lines``."""
+    return write_lines(records.select(F.to_json(F.struct("*")).alias("value")), num_files, base)

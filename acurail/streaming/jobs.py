@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,48 +52,89 @@ def read_json_lines(spark: SparkSession, path: str, max_files_per_trigger: int |
     return r.load(path)
 
 
+def kafka_source_options(servers: str, topics: str, starting: str = "earliest") -> dict[str, str]:
+    """A4/A5: options of a Kafka source. The scorer starts at the earliest offsets, the merged reader at the latest."""
+    return {"kafka.bootstrap.servers": servers, "subscribe": topics, "startingOffsets": starting}
+
+
 def read_kafka(spark: SparkSession, servers: str, topics: str, starting: str = "earliest") -> DataFrame:
-    """A4/A5: Kafka topics (comma-separated) as a stream of ``value`` strings; needs the Kafka connector."""
-    return (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
-            .option("subscribe", topics).option("startingOffsets", starting).load()
+    """A4/A5: Kafka topics (comma-separated) as a stream of (topic, key, value); needs the Kafka connector."""
+    return (spark.readStream.format("kafka").options(**kafka_source_options(servers, topics, starting)).load()
             .select(F.col("topic"), F.col("key").cast("string").alias("key"), F.col("value").cast("string")))
 
 
-def parse_records(raw: DataFrame, schema: T.StructType = INPUT_SCHEMA) -> tuple[DataFrame, DataFrame]:
-    """A17 + B12: decode JSON; records that fail to parse, lack a key or hold a damaged field go to quarantine.
+def messages_of(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """A job's input: a folder of JSON lines, or any stream with ``value`` (and ``topic``, ``key``)."""
+    return read_json_lines(spark, source) if isinstance(source, str) else source
+
+
+def decode(raw: DataFrame, schema: T.StructType = INPUT_SCHEMA, need_time: bool = False) -> DataFrame:
+    """A17 + B12: (value, r, reason) of JSON lines; ``reason`` is null for sound records.
 
-    Whole-number floats (``1.0``) are accepted in integer fields. A field that
-    is present but is not of its type (a text vital, ``2.5`` in an integer
-    field) is damaged: the record is set aside with the field's name, never
-    scored as if the value were missing.
+    A record that fails to parse, lacks a key or holds a damaged field has a
+    reason. Whole-number floats (``1.0``) are accepted in integer fields. A
+    field that is present but is not of its type (a text vital, ``2.5`` in an
+    integer field) is damaged: the record is set aside with the field's name,
+    never scored as if the value were missing. With ``need_time`` a record
+    without ``produced_at`` is set aside too. A line is decoded once; only
+    those in which the decoder met a damaged value are looked at field by field.
     """
-    whole = {f.name: f.dataType for f in schema.fields if isinstance(f.dataType, (T.IntegerType, T.LongType))}
+    whole = [f.name for f in schema.fields if isinstance(f.dataType, (T.IntegerType, T.LongType))]
     wide = T.StructType([T.StructField(f.name, T.DoubleType() if f.name in whole else f.dataType)
-                         for f in schema.fields])
-    parsed = raw.select(F.col("value"), F.from_json("value", wide, {"mode": "PERMISSIVE"}).alias("r"),
-                        F.from_json("value", "map<string,string>").alias("m"))
+                         for f in schema.fields] + [T.StructField("_broken", T.StringType())])
+    parsed = raw.select("value", F.from_json("value", wide, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"))
+    broken = F.col("r._broken").isNotNull()
+    parsed = parsed.select("value", "r", F.when(broken, F.from_json("value", "map<string,string>")).alias("m"))
+    lost = F.when(broken, F.array_compact(F.array(*[
+        F.when(F.col("m")[f.name].isNotNull() & F.col(f"r.{f.name}").isNull(), F.lit(f.name)) for f in schema.fields])))
+    uneven = F.array_compact(F.array(*[F.when(F.col(f"r.{c}") != F.floor(f"r.{c}"), F.lit(c)) for c in whole])) \
+        if whole else F.array().cast("array<string>")
+    damaged = F.concat(F.coalesce(lost, F.array().cast("array<string>")), uneven)
+    keyed = F.coalesce(F.col("r.patient_id") != "", F.lit(False))
+    reason = F.when(~keyed | (broken & F.col("m").isNull()), F.lit("unparsable or missing patient_id")).when(
+        F.size(damaged) > 0, F.concat(F.lit("damaged field: "), F.array_join(damaged, ", ")))
+    if need_time:
+        reason = reason.when(F.col("r.produced_at").isNull() | F.isnan("r.produced_at"), F.lit("no produced_at"))
+    return parsed.select("value", F.struct(*[F.col(f"r.{f.name}").cast(f.dataType).alias(f.name)
+                                             for f in schema.fields]).alias("r"), reason.alias("reason"))
+
+
+def decode_notes(raw: DataFrame) -> DataFrame:
+    """(value, r, reason) of explanation messages; those without patient, time or explanation have a reason."""
+    parsed = raw.select("value", F.from_json("value", ENRICHMENT_SCHEMA).alias("r"))
+    reason = F.when(~F.coalesce(F.col("r.patient_id") != "", F.lit(False)), F.lit("unparsable or missing patient_id")) \
+        .when(F.col("r.explained_at").isNull() | F.isnan("r.explained_at"), F.lit("no explained_at")) \
+        .when(F.col("r.llm_explanation").isNull(), F.lit("no explanation"))
+    return parsed.select("value", "r", reason.alias("reason"))
+
+
+def sound(decoded: DataFrame) -> DataFrame:
+    return decoded.filter(F.col("reason").isNull()).select("r.*")
+
+
+def set_aside(decoded: DataFrame) -> DataFrame:
+    return decoded.filter(F.col("reason").isNotNull()).select(F.col("value").alias("raw_value"), "reason")
 
-    def damaged(f: T.StructField):
-        value = F.col(f"r.{f.name}")
-        lost = F.col("m")[f.name].isNotNull() & value.isNull()
-        return lost | (value != F.floor(value)) if f.name in whole else lost
 
-    broken = F.array_compact(F.array(*[F.when(damaged(f), F.lit(f.name)) for f in schema.fields]))
-    keyed = F.col("r.patient_id").isNotNull() & (F.col("r.patient_id") != "")
-    parsed = parsed.select("value", "r", F.when(
-        F.col("r").isNull() | F.col("m").isNull() | ~F.coalesce(keyed, F.lit(False)),
-        F.lit("unparsable or missing patient_id")).when(
-        F.size(broken) > 0, F.concat(F.lit("damaged field: "), F.array_join(broken, ", "))).alias("reason"))
-    good = parsed.filter(F.col("reason").isNull()).select(*[
-        F.col(f"r.{f.name}").cast(f.dataType).alias(f.name) for f in schema.fields])
-    bad = parsed.filter(F.col("reason").isNotNull()).select(F.col("value").alias("raw_value"), "reason")
-    return good, bad
+def parse_records(raw: DataFrame, schema: T.StructType = INPUT_SCHEMA) -> tuple[DataFrame, DataFrame]:
+    """(sound records, records set aside with their reason); see ``decode``."""
+    decoded = decode(raw, schema)
+    return sound(decoded), set_aside(decoded)
+
 
+def is_note(values: DataFrame, note_topic: str | None = None) -> Column:
+    """A5/H2: whether a message is an explanation: by its topic, or by the ``enrichment`` sentinel."""
+    flag = F.col("value").contains('"enrichment"') & (F.get_json_object("value", "$.enrichment") == "true")
+    if note_topic is not None and "topic" in values.columns:
+        flag = (F.col("topic") == note_topic) | flag
+    return F.coalesce(flag, F.lit(False))
 
-def route_by_sentinel(values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A5/H2: one stream carrying decisions and enrichment messages, split on ``enrichment``."""
-    flag = F.get_json_object("value", "$.enrichment") == "true"
-    return values.filter(~F.coalesce(flag, F.lit(False))), values.filter(F.coalesce(flag, F.lit(False)))
+
+def route_by_sentinel(values: DataFrame, note_topic: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A5/H2: (decisions, explanation messages) of a stream that carries both."""
+    flag = is_note(values, note_topic)
+    return values.filter(~flag), values.filter(flag)
 
 
 # ---------------------------------------------------------------- transforms
@@ -152,7 +193,21 @@ def _write_batch(df: DataFrame, path: str, batch_id: int, fmt: str = "parquet")
     df.write.mode("overwrite").format(fmt).save(os.path.join(path, f"batch_id={batch_id}"))
 
 
-def decision_sink(out_dir: str, with_messages: bool = True):
+def publisher(out_dir: str, name: str, kafka: dict[str, str] | None = None):
+    """Where keyed JSON goes: a Kafka topic with ``kafka_sink_options``, else a folder a batch.
+
+    Kafka delivery is at least once; consumers keep the newest message of a key.
+    """
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        if kafka:
+            batch.select(F.col("key").cast("string"), F.col("value").cast("string")).write.format("kafka") \
+                .options(**{k: v for k, v in kafka.items() if k != "checkpointLocation"}).save()
+        else:
+            _write_batch(batch, os.path.join(out_dir, name), batch_id, "json")
+    return publish
+
+
+def decision_sink(out_dir: str, with_messages: bool = True, kafka: dict[str, str] | None = None):
     """Publish decisions (JSON records) and append per-message latency rows.
 
     Stage timestamps that the records do not carry are stamped per micro-batch:
@@ -162,72 +217,85 @@ def decision_sink(out_dir: str, with_messages: bool = True):
     """
     import time
 
+    publish = publisher(out_dir, "decisions", kafka)
+
     def sink(batch: DataFrame, batch_id: int) -> None:
         received = time.time()
         batch = batch.persist()
         rec = layers.decision_record(batch)
-        _write_batch(rec.select(F.col("patient_id").alias("key"), F.to_json(F.struct("*")).alias("value")),
-                     os.path.join(out_dir, "decisions"), batch_id, "json")
+        publish(rec.select(F.col("patient_id").alias("key"), F.to_json(F.struct("*")).alias("value")), batch_id)
         _write_batch(batch.select(*[c for c in batch.columns if c != "probabilities"]),
                      os.path.join(out_dir, "decision_table"), batch_id)
-        done = time.time()
         if with_messages and "produced_at" in batch.columns:
-            stamped = batch.withColumns({c: F.lit(v) for c, v in (
-                ("consumer_received_at", received), ("ml_done_at", done), ("safety_done_at", done))
-                if c not in batch.columns})
-            _write_batch(metrics.message_rows(stamped), os.path.join(out_dir, "messages"), batch_id)
+            _write_batch(metrics.message_rows(stamped(batch, received, time.time())),
+                         os.path.join(out_dir, "messages"), batch_id)
         batch.unpersist()
     return sink
 
 
+def stamped(batch: DataFrame, received: float, done: float) -> DataFrame:
+    """``batch`` with the stage times that it does not carry."""
+    return batch.withColumns({c: F.lit(v) for c, v in (
+        ("consumer_received_at", received), ("ml_done_at", done), ("safety_done_at", done)) if c not in batch.columns})
+
+
 def feedback_sink(out_dir: str, stats_every: int = 20):
     """One micro-batch writes the flat feedback table, the audit rows and its partial statistics;
     the published statistics are refreshed when the number of saved rows crosses a multiple of ``stats_every``.
 
-    Each batch stores one partial row per feedback type (idempotent per batch id), and a refresh adds up these
-    small partials, so the history of feedback rows is never read again.
+    The partial statistics of all batches are one row per feedback type, to which a batch adds (``KeyedTable``, so a
+    replayed batch counts once); neither the history of feedback rows nor that of partials is read again.
     """
+    from acurail.streaming.keyed import KeyedTable, add_up
+
     def sink(events: DataFrame, batch_id: int) -> None:
         spark = events.sparkSession
         flat = feedback.feedback_flat(events).persist()
         _write_batch(flat, os.path.join(out_dir, "feedback"), batch_id)
         _write_batch(feedback.override_rows(flat), os.path.join(out_dir, "overrides"), batch_id)
-        partials = os.path.join(out_dir, "feedback_partials")
-        _write_batch(feedback.feedback_partials(flat), partials, batch_id)
-        saved = spark.read.parquet(partials)
-        n = saved.agg(F.coalesce(F.sum("n"), F.lit(0)),
-                      F.coalesce(F.sum(F.when(F.col("batch_id") == batch_id, F.col("n"))), F.lit(0))).first()
-        if n[0] // stats_every > (n[0] - n[1]) // stats_every:
+        part = feedback.feedback_partials(flat).persist()
+        totals = KeyedTable(spark, f"{out_dir}/feedback_partials", ["feedback_type"], part.schema, buckets=1)
+        sums = [c for c in part.columns if c != "feedback_type"]
+        totals.merge(batch_id, part, add_up(["feedback_type"], sums))
+        saved = totals.current()
+        n, new = (d.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for d in (saved, part))
+        if n // stats_every > (n - new) // stats_every:
             _write_batch(feedback.combine_partials(saved), os.path.join(out_dir, "feedback_stats"), 0)
+        part.unpersist()
         flat.unpersist()
     return sink
 
 
-def quarantine_sink(out_dir: str):
-    def sink(bad: DataFrame, batch_id: int) -> None:
-        _write_batch(bad, os.path.join(out_dir, "quarantine"), batch_id)
-    return sink
-
-
 # ---------------------------------------------------------------- jobs
-def start_decision_job(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
-                       model=None, available_now: bool = True, processing_time: str | None = None):
-    """J1 + J4 + A17 + J9: file (or Kafka) records -> decisions -> idempotent sinks; bad records quarantined.
-
-    Returns the two started queries (decisions, quarantine).
+def started(stream: DataFrame, sink, checkpoint: str, name: str, available_now: bool = True,
+            processing_time: str | None = None):
+    """Start ``foreachBatch(sink)`` with a checkpoint of its own."""
+    w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", os.path.join(checkpoint, name))
+    return (w.trigger(availableNow=True) if available_now
+            else w.trigger(processingTime=processing_time or "1 second")).start()
+
+
+def start_decision_job(spark: SparkSession, source: str | DataFrame, out_dir: str, checkpoint: str,
+                       model=None, available_now: bool = True, processing_time: str | None = None,
+                       schema: T.StructType = INPUT_SCHEMA, note_topic: str | None = None,
+                       kafka: dict[str, str] | None = None):
+    """J1 + J4 + A17 + J9: messages -> decisions -> idempotent sinks; bad records quarantined.
+
+    ``source`` is a folder of JSON lines or any stream with ``value`` (Kafka
+    too). Explanation messages are not scored; they are kept under ``notes``.
+    A batch is decoded once. Returns the started query in a tuple.
     """
-    raw = read_json_lines(spark, in_dir)
-    good, bad = parse_records(raw)
-    dec = decide_stream(good, model=model)
+    decide = decision_sink(out_dir, kafka=kafka)
 
-    def trig(w):
-        return w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 second")
+    def sink(raw: DataFrame, batch_id: int) -> None:
+        records, notes = route_by_sentinel(raw, note_topic)
+        decoded = decode(records, schema).persist()
+        _write_batch(set_aside(decoded), os.path.join(out_dir, "quarantine"), batch_id)
+        _write_batch(notes.select("value"), os.path.join(out_dir, "notes"), batch_id)
+        decide(decide_stream(sound(decoded), model=model), batch_id)
+        decoded.unpersist()
 
-    q1 = trig(dec.writeStream.foreachBatch(decision_sink(out_dir))
-              .option("checkpointLocation", os.path.join(checkpoint, "decisions"))).start()
-    q2 = trig(bad.writeStream.foreachBatch(quarantine_sink(out_dir))
-              .option("checkpointLocation", os.path.join(checkpoint, "quarantine"))).start()
-    return q1, q2
+    return (started(messages_of(spark, source), sink, checkpoint, "decisions", available_now, processing_time),)
 
 
 def enrichment_messages(gated: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -244,73 +312,61 @@ def enrichment_messages(gated: DataFrame, parsed: DataFrame) -> DataFrame:
                  "is_ready", F.col("error_code").alias("error")).alias("llm_explanation"))
 
 
-def enrichment_sink(out_dir: str):
-    """Publish enrichment messages as keyed JSON (idempotent per batch)."""
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch.select(F.col("patient_id").alias("key"), F.to_json(F.struct("*")).alias("value")),
-                     os.path.join(out_dir, "enrichment"), batch_id, "json")
-    return sink
+def start_enrichment_job(spark: SparkSession, source: str | DataFrame, out_dir: str, checkpoint: str, explain,
+                         schema: T.StructType = INPUT_SCHEMA, note_topic: str | None = None,
+                         kafka: dict[str, str] | None = None, available_now: bool = True):
+    """A7 + C16: decide, gate, have the escalated records explained, publish explanation messages.
 
+    ``explain`` turns the escalated records into (response_id, response_text),
+    ``response_id`` being the patient's id; it stands for the language model
+    service. A record without a response publishes nothing. Bad records are quarantined.
+    """
+    import time
 
-def kafka_sink_options(servers: str, topic: str, checkpoint: str) -> dict[str, str]:
-    """Options of a keyed JSON Kafka sink."""
-    return {"kafka.bootstrap.servers": servers, "topic": topic, "checkpointLocation": checkpoint}
+    from acurail.operators import review
 
+    publish = publisher(out_dir, "enrichment", kafka)
 
-def write_kafka(records: DataFrame, servers: str, topic: str, checkpoint: str):
-    """Publish (key, value) records to a Kafka topic; needs the Kafka connector. Returns the unstarted writer."""
-    return (records.select(F.col("key").cast("string"), F.col("value").cast("string")).writeStream.format("kafka")
-            .options(**kafka_sink_options(servers, topic, checkpoint)).outputMode("append"))
+    def sink(raw: DataFrame, batch_id: int) -> None:
+        asked = time.time()
+        decoded = decode(route_by_sentinel(raw, note_topic)[0], schema).persist()
+        _write_batch(set_aside(decoded), os.path.join(out_dir, "quarantine"), batch_id)
+        gated = review.escalation_gate(decide_stream(sound(decoded))).persist()
+        called = gated.filter("should_call_llm")
+        answers = review.parse_responses(explain(called))
+        notes = enrichment_messages(called.withColumn("enrichment_requested_at", F.lit(asked)), answers)
+        publish(notes.select(F.col("patient_id").alias("key"), F.to_json(F.struct("*")).alias("value")), batch_id)
+        gated.unpersist()
+        decoded.unpersist()
 
+    return started(messages_of(spark, source), sink, checkpoint, "enrichment", available_now)
 
-def start_merged_job(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
-                     record_schema: T.StructType = INPUT_SCHEMA, watermark: str = "10 minutes",
-                     within: str = "24 hours"):
-    """A5 + H2 + J2 + J3 + A7: one stream of records and explanations -> routed, deduplicated, decided, joined, published.
 
-    Explanations may come before, after or without their decision; a decision
-    without one is published once its window has passed. Returns the started
-    queries (merged records, quarantine).
-    """
-    decisions_in, explanations_in = route_by_sentinel(read_json_lines(spark, in_dir))
-    good, bad = parse_records(decisions_in, record_schema)
-    decided = decide_stream(dedupe_patients(good, watermark))
-    notes = explanations_in.select(F.from_json("value", ENRICHMENT_SCHEMA).alias("e")).select("e.*").filter(
-        F.col("patient_id").isNotNull())
-    merged = attach_enrichment(decided.select("patient_id", "produced_at", "event_time", "predicted_acuity", "label",
-                                              "requires_review", "safety_rail_triggered"), notes, watermark, within)
-    q1 = (merged.writeStream.foreachBatch(enrichment_sink(out_dir))
-          .option("checkpointLocation", os.path.join(checkpoint, "merged")).trigger(availableNow=True).start())
-    q2 = (bad.writeStream.foreachBatch(quarantine_sink(out_dir))
-          .option("checkpointLocation", os.path.join(checkpoint, "merged_quarantine"))
-          .trigger(availableNow=True).start())
-    return q1, q2
-
-
-def start_counter_job(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str):
-    """J5 + J8: live per-run counters; every micro-batch replaces the rows of the runs that it touched."""
-    good, _ = parse_records(read_json_lines(spark, in_dir))
-    counters = run_counters(decide_stream(good))
+def kafka_sink_options(servers: str, topic: str, checkpoint: str | None = None) -> dict[str, str]:
+    """Options of a keyed JSON Kafka sink: all replicas acknowledge, three retries."""
+    out = {"kafka.bootstrap.servers": servers, "topic": topic, "kafka.acks": "all", "kafka.retries": "3"}
+    return {**out, "checkpointLocation": checkpoint} if checkpoint else out
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch, os.path.join(out_dir, "run_counters"), batch_id)
 
-    return (counters.writeStream.outputMode("update").foreachBatch(sink)
-            .option("checkpointLocation", os.path.join(checkpoint, "counters")).trigger(availableNow=True).start())
+def write_kafka(records: DataFrame, servers: str, topic: str, checkpoint: str):
+    """Publish (key, value) records to a Kafka topic; needs the Kafka connector. Returns the unstarted writer."""
+    return (records.select(F.col("key").cast("string"), F.col("value").cast("string")).writeStream.format("kafka")
+            .options(**kafka_sink_options(servers, topic, checkpoint)).outputMode("append"))
 
 
-def start_feedback_job(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
+def start_feedback_job(spark: SparkSession, source: str | DataFrame, out_dir: str, checkpoint: str,
                        event_schema: T.StructType, stats_every: int = 20):
     """Feedback events (JSON lines) -> flat feedback table + audit rows in one micro-batch;
-    events without a label or patient are quarantined."""
-    raw = read_json_lines(spark, in_dir)
-    parsed = raw.select(F.col("value"), F.from_json("value", event_schema).alias("e"))
-    ok = F.coalesce(F.col("e.patient_id").isNotNull() & F.col("e.final_label").isNotNull(), F.lit(False))
-    events = parsed.filter(ok).select("e.*")
-    q1 = (events.writeStream.foreachBatch(feedback_sink(out_dir, stats_every))
-          .option("checkpointLocation", os.path.join(checkpoint, "feedback")).trigger(availableNow=True).start())
-    q2 = (parsed.filter(~ok).select(F.col("value").alias("raw_value"), F.lit("bad feedback event").alias("reason"))
-          .writeStream.foreachBatch(quarantine_sink(out_dir))
-          .option("checkpointLocation", os.path.join(checkpoint, "feedback_quarantine"))
-          .trigger(availableNow=True).start())
-    return q1, q2
+    events without a label or patient are quarantined. Returns the started query in a tuple."""
+    save = feedback_sink(out_dir, stats_every)
+
+    def sink(raw: DataFrame, batch_id: int) -> None:
+        parsed = raw.select(F.col("value"), F.from_json("value", event_schema).alias("e")).persist()
+        ok = F.coalesce(F.col("e.patient_id").isNotNull() & F.col("e.final_label").isNotNull(), F.lit(False))
+        _write_batch(parsed.filter(~ok).select(F.col("value").alias("raw_value"),
+                                               F.lit("bad feedback event").alias("reason")),
+                     os.path.join(out_dir, "quarantine"), batch_id)
+        save(parsed.filter(ok).select("e.*"), batch_id)
+        parsed.unpersist()
+
+    return (started(messages_of(spark, source), sink, checkpoint, "feedback"),)

@@ -3,12 +3,15 @@
 import json
 import os
 import tempfile
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from acurail.operators import layers
+from acurail.operators import layers, metrics
 from acurail.plans import queries as Q
-from acurail.streaming import jobs
+from acurail.session import child_names
+from acurail.streaming import jobs, live
+from acurail.streaming.keyed import KeyedTable, add_up
 from tests.conftest import SF001
 
 DECISION_COLS = ["patient_id", "original_acuity", "predicted_acuity", "confidence_state",
@@ -98,39 +101,199 @@ def test_feedback_without_label_is_quarantined_and_stats_follow_saved_rows(spark
     assert spark.read.parquet(os.path.join(root, "o2", "quarantine")).count() == 1
 
 
-def test_kafka_sink_options():
+def test_kafka_options():
     assert jobs.kafka_sink_options("b:9092", "decisions", "/chk") == {
-        "kafka.bootstrap.servers": "b:9092", "topic": "decisions", "checkpointLocation": "/chk"}
+        "kafka.bootstrap.servers": "b:9092", "topic": "decisions", "checkpointLocation": "/chk",
+        "kafka.acks": "all", "kafka.retries": "3"}
+    assert "checkpointLocation" not in jobs.kafka_sink_options("b:9092", "decisions")
+    assert jobs.kafka_source_options("b:9092", "a,b") == {
+        "kafka.bootstrap.servers": "b:9092", "subscribe": "a,b", "startingOffsets": "earliest"}
+    assert jobs.kafka_source_options("b:9092", "a", "latest")["startingOffsets"] == "latest"
 
 
-def test_merged_and_counter_jobs(spark):
+def _note(patient, at, why="why", **more):
+    return {"patient_id": patient, "enrichment": True, "explained_at": at,
+            "llm_explanation": {"escalation_reason": why, "is_ready": True}, **more}
+
+
+def _put(root, name, rows):
+    os.makedirs(os.path.join(root, "in"), exist_ok=True)
+    with open(os.path.join(root, "in", name), "w") as fh:
+        fh.write("\n".join(r if isinstance(r, str) else json.dumps(r) for r in rows))
+
+
+def _run(start, spark, root, **more):
+    out = start(spark, os.path.join(root, "in"), os.path.join(root, "out"), os.path.join(root, "chk"), **more)
+    for q in out if isinstance(out, tuple) else (out,):
+        q.awaitTermination()
+    return os.path.join(root, "out")
+
+
+def _known(spark, n=40):
+    records = Q.stream_records(spark, SF001).limit(n).drop("consumer_received_at", "ml_done_at", "safety_done_at")
+    return [r.asDict() for r in records.collect()]
+
+
+def test_merged_job_loses_nothing(spark):
+    """Notes before, after and without their record, repeats, old and time-less records, over three batches and a replay."""
     root = tempfile.mkdtemp(prefix="acurail-merged-")
-    records = Q.stream_records(spark, SF001).limit(40).drop("consumer_received_at", "ml_done_at", "safety_done_at")
+    known = _known(spark)
+    first, at = known[0], known[0]["produced_at"]
+    _put(root, "a.json", [_note(first["patient_id"], at + 5.0), *known[:20], known[1],
+                          {**known[3], "patient_id": "T", "produced_at": None}, {"patient_id": "Q1", "heart_rate": "x"}])
+    out = _run(live.start_merged_job, spark, root)
+    old = {**known[5], "produced_at": known[5]["produced_at"] - 10 * 86400, "age": 101.0}
+    _put(root, "b.json", [*known[20:], old, _note(known[2]["patient_id"], at + 3600.0), _note("nobody", 1.0),
+                          _note(first["patient_id"], at + 9.0, "later"), _note(None, at), _note("A", "soon"),
+                          _note("B", None), {"patient_id": "C", "enrichment": True, "explained_at": at}, "not json"])
+    _run(live.start_merged_job, spark, root)
+    _put(root, "c.json", [_note(known[30]["patient_id"], at + 1.0, "earlier"), _note(known[30]["patient_id"], at + 2.0)])
+    _run(live.start_merged_job, spark, root)
+    rows = {r["key"]: json.loads(r["value"]) for r in live.published(live.merged_table(spark, out).current()).collect()}
+    assert set(rows) == {r["patient_id"] for r in known}
+    why = {k: r["llm_explanation"]["escalation_reason"] for k, r in rows.items() if "llm_explanation" in r}
+    assert why == {first["patient_id"]: "why", known[2]["patient_id"]: "why", known[30]["patient_id"]: "earlier"}
+    assert rows[first["patient_id"]]["explained_at"] == at + 5.0 and rows[known[5]["patient_id"]]["age"] == 101.0
+    whole = layers.decision_record(layers.decisions(Q._enc(spark, SF001)), keep=("run_id",)).columns
+    assert set(whole) - {"processed_at", "confidence_top2_acuity", "confidence_top2_pct"} <= {
+        c for r in rows.values() for c in r} | {"confidence_top2_acuity", "confidence_top2_pct"}
+    assert [r["patient_id"] for r in live.unmatched_notes(spark, out).collect()] == ["nobody"]
+    reasons = Counter(r["reason"] for r in live.quarantined(spark, out, within_secs=1000.0).collect())
+    assert reasons == {"no produced_at": 1, "damaged field: heart_rate": 1, "no explained_at": 2, "no explanation": 1,
+                       "unparsable or missing patient_id": 2, "explanation without a record": 1}
+    # What was published last for every patient is what the table holds.
+    sent = spark.read.json(os.path.join(out, "published")).collect()
+    newest = {}
+    for r in sorted(sent, key=lambda r: r["batch_id"]):
+        newest[r["key"]] = json.loads(r["value"])
+    assert newest == rows
+
+
+def test_counter_job_has_one_exact_row_a_run(spark):
+    root = tempfile.mkdtemp(prefix="acurail-counters-")
+    known = _known(spark, 60)
+    for i, name in enumerate("abc"):
+        _put(root, f"{name}.json", known[20 * i:20 * i + 20] + [_note(known[i]["patient_id"], 5.0), "{bad"])
+        out = _run(live.start_counter_job, spark, root)  # a restart each time
+    got = live.counter_table(spark, out).current().drop("first_produced_at", "last_produced_at").collect()
+    ids = [r["patient_id"] for r in known]
+    decided = layers.materialize(layers.decisions(Q._enc(spark, SF001).filter(F.col("patient_id").isin(ids))))
+    batch = jobs.run_counters(decided.withColumn("produced_at", F.lit(0.0))).drop("first_produced_at", "last_produced_at")
+    assert sorted(got) == sorted(batch.collect()) and len({r["run_id"] for r in got}) == len(got) > 1
+    assert spark.read.parquet(os.path.join(out, "quarantine")).count() == 3
+    table = live.counter_table(spark, out)
+    assert len(child_names(spark, f"{table.path}/versions")) == 2
+
+
+def test_keyed_table_replays_and_compacts(spark):
+    root = tempfile.mkdtemp(prefix="acurail-keyed-")
+    table = KeyedTable(spark, root, ["k"], "k string, n long", buckets=4)
+    add = add_up(["k"], ["n"])
+
+    def change(*rows):
+        return spark.createDataFrame(list(rows), "k string, n long")
+
+    assert table.current().count() == 0
+    table.merge(0, change(("a", 1), ("b", 2), (None, 5)), add)
+    table.merge(1, change(("a", 10)), add)
+    table.merge(1, change(("a", 100), ("c", 1)), add)  # the batch is replayed
+    assert {tuple(r) for r in table.current().collect()} == {("a", 101), ("b", 2), ("c", 1), (None, 5)}
+    assert {tuple(r) for r in table.current(before=1).collect()} == {("a", 1), ("b", 2), (None, 5)}
+    for batch in range(2, 8):
+        before, after = table.merge(batch, change(("a", 1)), add)
+        assert before.filter("k = 'a'").first()["n"] + 1 == after.filter("k = 'a'").first()["n"] == 100 + batch
+    assert len(child_names(spark, f"{root}/versions")) == 2 and len(child_names(spark, f"{root}/data")) <= 4
+    table.merge(8, change(), add)
+    assert {tuple(r) for r in table.current().collect()} == {("a", 107), ("b", 2), ("c", 1), (None, 5)}
+
+
+def test_messages_and_summary_do_not_depend_on_order(spark):
+    """Explanations before and after their message, a later one and an earlier one: as the batch operators say."""
+    root = tempfile.mkdtemp(prefix="acurail-messages-")
+    records = Q.stream_records(spark, SF001).limit(50)
     known = [r.asDict() for r in records.collect()]
-    note = lambda r, t: {"patient_id": r["patient_id"], "enrichment": True, "explained_at": t,
-                         "llm_explanation": {"escalation_reason": "why", "is_ready": True}}
-    first = known[0]
-    lines = [note(first, first["produced_at"] + 5.0)]  # arrives before its decision
-    lines += known + [known[1], {"patient_id": "Q1", "heart_rate": "x"}]
-    lines += [note(known[2], known[2]["produced_at"] + 3600.0), note({"patient_id": "nobody"}, 1.0)]  # late, unmatched
-    os.makedirs(os.path.join(root, "in"))
-    with open(os.path.join(root, "in", "a.json"), "w") as fh:
-        fh.write("\n".join(json.dumps(x) for x in lines))
-    with open(os.path.join(root, "in", "b.json"), "w") as fh:  # moves both watermarks past the join's window
-        far = max(r["produced_at"] for r in known) + 10 * 86400
-        fh.write(json.dumps({**first, "patient_id": "Z", "produced_at": far}) + "\n")
-        fh.write(json.dumps(note({"patient_id": "Z"}, far)))
-    for q in jobs.start_merged_job(spark, os.path.join(root, "in"), os.path.join(root, "out"), os.path.join(root, "chk")):
+    notes = [_note(r["patient_id"], r["safety_done_at"] + 2.0 + i, enrichment_requested_at=None if i % 2 else
+                   r["safety_done_at"] + 1.0) for i, r in enumerate(known[::3])]
+    more = [_note(r["patient_id"], r["safety_done_at"] + (1.5 if i % 2 else 99.0)) for i, r in enumerate(known[::6])]
+    schema = Q.stream_schema()
+    _put(root, "a.json", notes[:8] + known[10:30])
+    _run(live.start_message_job, spark, root, schema=schema)
+    _put(root, "b.json", known[:10] + more + [_note("waits", 3.0)])
+    _run(live.start_message_job, spark, root, schema=schema)
+    _put(root, "c.json", known[30:] + notes[8:])
+    out = _run(live.start_message_job, spark, root, schema=schema)
+    told = spark.createDataFrame([(n["patient_id"], n["explained_at"], n.get("enrichment_requested_at"))
+                                  for n in notes + more], "patient_id string, explained_at double, enrichment_requested_at double")
+    made = layers.materialize(layers.decisions(records.withColumn("triage_acuity", F.col("true_acuity"))))
+    batch = metrics.close_llm_segment(metrics.message_rows(made), told)
+    got = live.live_messages(spark, out)
+    assert got.count() == 50 and got.filter("llm_ms IS NOT NULL").count() == len(known[::3])
+    cols = ["patient_id", "run_id", "e2e_ms", "explained_at", "llm_ms", "predicted_acuity"]
+    assert got.select(cols).exceptAll(batch.select(cols)).count() == 0
+    summary = metrics.run_summary(batch)
+    assert sorted(live.live_run_summary(spark, out).select(summary.columns).collect(), key=str) == sorted(
+        summary.collect(), key=str)
+
+
+def test_recent_store_is_bounded_and_keeps_what_is_late(spark):
+    root = tempfile.mkdtemp(prefix="acurail-recent-")
+    rows = [{"patient_id": f"P{i}", "produced_at": 100.0 + i, "age": 1.0} for i in range(60)]
+    _put(root, "a.json", rows[:40] + [{**rows[3], "age": 2.0}, {"patient_id": "T", "age": 1.0}])
+    out = _run(live.start_recent_job, spark, root, n=5)
+    held = live.recent_table(spark, out).current()
+    assert held.count() <= 40 and held.groupBy("patient_id").count().filter("count > 1").count() == 0
+    _put(root, "b.json", rows[40:] + [{"patient_id": "old", "produced_at": 1.0}])
+    _put(root, "c.json", [{**rows[3], "produced_at": 500.0, "age": 7.0}])  # was pushed out: may come back
+    out = _run(live.start_recent_job, spark, root, n=5)
+    got = live.recent_records(spark, out, 5).collect()
+    assert [r["patient_id"] for r in got] == ["P3", "P59", "P58", "P57", "P56"]
+    assert json.loads(got[0]["value"])["age"] == 7.0
+    assert [r["reason"] for r in spark.read.parquet(os.path.join(out, "quarantine")).collect()] == ["no produced_at"]
+    late = {json.loads(r["raw_value"])["patient_id"] for r in spark.read.parquet(os.path.join(out, "quarantine_late")).collect()}
+    assert "old" in late
+
+
+def test_jobs_take_streams_with_topics(spark):
+    root = tempfile.mkdtemp(prefix="acurail-topics-")
+    known = _known(spark, 5)
+    note = _note(known[0]["patient_id"], known[0]["produced_at"] + 1.0)
+    del note["enrichment"]  # told by its topic alone
+    spark.createDataFrame([("triage", None, json.dumps(r)) for r in known] + [("notes", "k", json.dumps(note))],
+                          "topic string, key string, value string").write.parquet(os.path.join(root, "in"))
+    stream = spark.readStream.schema("topic string, key string, value string").parquet(os.path.join(root, "in"))
+    for q in jobs.start_decision_job(spark, stream, os.path.join(root, "o1"), os.path.join(root, "c1"), note_topic="notes"):
         q.awaitTermination()
-    out = [json.loads(r["value"]) for r in spark.read.json(os.path.join(root, "out", "enrichment")).collect()]
-    by = {r["patient_id"]: r for r in out}
-    for r in (first, known[2]):
-        assert by[r["patient_id"]]["llm_explanation"]["escalation_reason"] == "why"
-    assert "nobody" not in by and len(by) == len(out)
-    assert spark.read.parquet(os.path.join(root, "out", "quarantine")).count() == 1
-    q = jobs.start_counter_job(spark, os.path.join(root, "in"), os.path.join(root, "out"), os.path.join(root, "c3"))
+    assert spark.read.parquet(os.path.join(root, "o1", "decision_table")).count() == 5
+    assert spark.read.parquet(os.path.join(root, "o1", "notes")).count() == 1
+    assert spark.read.parquet(os.path.join(root, "o1", "quarantine")).count() == 0
+    for q in live.start_merged_job(spark, stream, os.path.join(root, "o2"), os.path.join(root, "c2"), note_topic="notes"):
+        q.awaitTermination()
+    merged = live.merged_table(spark, os.path.join(root, "o2")).current()
+    assert merged.count() == 5 and merged.filter("note IS NOT NULL").count() == 1
+
+
+def test_enrichment_job_publishes_messages_of_the_gate(spark):
+    root = tempfile.mkdtemp(prefix="acurail-explained-")
+    known = _known(spark, 60)
+    _put(root, "a.json", [*known, "{bad"])
+
+    def explain(called):
+        return called.filter("patient_id <> 'none'").select(F.col("patient_id").alias("response_id"), F.concat(
+            F.lit("ESCALATION_REASON:\nbecause\n\nRISK_FLAGS:\n- a\n\nCONFIDENCE_NOTE:\nlow")).alias("response_text"))
+
+    q = jobs.start_enrichment_job(spark, os.path.join(root, "in"), os.path.join(root, "out"), os.path.join(root, "chk"),
+                                  explain)
     q.awaitTermination()
-    assert spark.read.parquet(os.path.join(root, "out", "run_counters")).agg(F.sum("processed")).first()[0] >= 42
+    from acurail.operators import review
+    decided = layers.materialize(layers.decisions(Q._enc(spark, SF001).filter(
+        F.col("patient_id").isin([r["patient_id"] for r in known]))))
+    called = layers.materialize(review.escalation_gate(decided)).filter("should_call_llm")
+    sent = {r["key"]: json.loads(r["value"]) for r in spark.read.json(os.path.join(root, "out", "enrichment")).collect()}
+    assert set(sent) == {r["patient_id"] for r in called.collect()} and sent
+    one = next(iter(sent.values()))
+    assert one["enrichment"] is True and one["enrichment_requested_at"] > 0
+    assert one["llm_explanation"]["escalation_reason"] == "because" and one["llm_explanation"]["escalation_code"] != "NONE"
+    assert spark.read.parquet(os.path.join(root, "out", "quarantine")).count() == 1
 
 
 def test_enrichment_join_attaches_explanation(spark):
@@ -219,8 +382,10 @@ def test_stream_scoring_with_trained_model_matches_batch(spark):
         q.awaitTermination()
     out = spark.read.parquet(os.path.join(root, "out", "decision_table"))
     assert out.count() == 1000 and set(out.select("model").distinct().toPandas()["model"]) == {model.name}
-    # The streaming (row-local TF-IDF) and batch (joined TF-IDF) scoring paths agree.
-    batch = model.transform(Q._enc(spark, SF001).drop("p1", "p2", "p3", "p4", "p5"), row_local=False)
+    # A model that was saved and loaded again scores a batch like the stream did.
+    model.save(os.path.join(root, "bundle"))
+    loaded = training.TriageModel.load(spark, os.path.join(root, "bundle"))
+    batch = loaded.transform(Q._enc(spark, SF001).drop("p1", "p2", "p3", "p4", "p5"))
     j = out.select("patient_id", "p1", "p3").join(
         batch.select("patient_id", F.col("p1").alias("b1"), F.col("p3").alias("b3")), "patient_id")
     assert j.count() == 1000
