@@ -2,8 +2,9 @@
 
 Sequential covering: a rule is grown condition by condition on one part of
 the labelled statistics, pruned from its end on the other part, kept if it is
-precise there, and the rows it covers are removed before the next rule. The
-list becomes one ordered Spark ``CASE`` expression.
+precise there, and the rows it covers are removed before the next rule. Rows
+whose rule was not precise grow no further rule. It ends when no bad row is
+left to grow from. The list becomes one ordered Spark ``CASE`` expression.
 """
 
 from __future__ import annotations
@@ -51,19 +52,17 @@ def _covered(rule: Rule, rows: dict[str, np.ndarray], n: int) -> np.ndarray:
     return mask
 
 
-def _cuts(values: np.ndarray, most: int) -> np.ndarray:
-    """Midpoints between neighbouring distinct values, or between quantiles if there are many."""
+def _cuts(values: np.ndarray) -> np.ndarray:
+    """Midpoints between neighbouring distinct values."""
     distinct = np.unique(values)
-    if len(distinct) > most:
-        distinct = np.unique(np.quantile(distinct, np.linspace(0, 1, most)))
     return (distinct[1:] + distinct[:-1]) / 2
 
 
-def _grow(rows: dict[str, np.ndarray], bad: np.ndarray, cuts: dict[str, np.ndarray], most: int) -> Rule:
+def _grow(rows: dict[str, np.ndarray], bad: np.ndarray, cuts: dict[str, np.ndarray]) -> Rule:
     """Add the condition of the largest information gain (FOIL) until no good row is covered."""
     rule: Rule = ()
     mask = np.ones(len(bad), dtype=bool)
-    while len(rule) < most and (mask & ~bad).any():
+    while (mask & ~bad).any():
         p0, n0 = int((mask & bad).sum()), int((mask & ~bad).sum())
         best, best_gain = None, 1e-9
         for name, points in cuts.items():
@@ -93,30 +92,35 @@ def _worth(rule: Rule, rows: dict[str, np.ndarray], bad: np.ndarray) -> float:
 
 
 def learn(rows: dict[str, np.ndarray], bad: np.ndarray, min_precision: float = 0.9, min_cover: int = 5,
-          max_conditions: int = 4, max_rules: int = 24, most_cuts: int = 256) -> list[Rule]:
+          min_share: float = 0.005) -> list[Rule]:
     """Ordered rules for ``bad`` rows; an empty list if none is precise enough.
 
-    Two thirds of the rows grow a rule, the rest prunes and judges it. The
-    split is by position, so equal input gives an equal list.
+    Two thirds of the rows grow a rule, the rest prunes and judges it: of the
+    held rows that it covers, ``min_precision`` must be bad. It must also cover
+    ``min_cover`` bad rows and the share ``min_share`` of them, grown ones
+    included, which bounds the list at ``1 / min_share`` rules. The split is by
+    position, so equal input gives an equal list.
     """
     rules: list[Rule] = []
-    left = np.ones(len(bad), dtype=bool)
+    left, open_ = np.ones(len(bad), dtype=bool), np.ones(len(bad), dtype=bool)
     prune_part = np.arange(len(bad)) % 3 == 2
-    while len(rules) < max_rules and (left & bad).any():
-        grow, prune = left & ~prune_part, left & prune_part
+    least = max(min_cover, min_share * int(bad.sum()))
+    while (left & open_ & bad & ~prune_part).any():
+        grow, prune = left & open_ & ~prune_part, left & prune_part
         part = {k: v[grow] for k, v in rows.items()}
-        rule = _grow(part, bad[grow], {k: _cuts(v, most_cuts) for k, v in part.items()}, max_conditions)
+        rule = _grow(part, bad[grow], {k: _cuts(v) for k, v in part.items()})
         if not rule:
             break
         held = {k: v[prune] for k, v in rows.items()}
         shorter = [rule[:i] for i in range(len(rule), 0, -1)]
         rule = max(shorter, key=lambda r: _worth(r, held, bad[prune]))  # the longest of equals
         mask = _covered(rule, rows, len(bad)) & left
-        p, n = int((mask & bad).sum()), int((mask & ~bad).sum())
-        if p < min_cover or p < min_precision * (p + n):
-            break
-        rules.append(rule)
-        left &= ~mask
+        p, n = int((mask & prune_part & bad).sum()), int((mask & prune_part & ~bad).sum())
+        if p and p >= min_precision * (p + n) and int((mask & bad).sum()) >= least:
+            rules.append(rule)
+            left &= ~mask
+        else:
+            open_ &= ~mask
     return rules
 
 

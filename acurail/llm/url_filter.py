@@ -8,7 +8,8 @@ unlisted universe keys that level 1 wrongly passes, level 3 the listed keys
 that level 2 wrongly passes, and so on until a level passes nothing wrongly.
 Looking up a universe key is then exact: the first level that rejects it
 decides by its parity. Levels are literals of ``array<bigint>`` words, so a
-lookup needs no join.
+lookup needs no join. A list too long for one literal is dealt to shards by
+key hash, each with a cascade of its own; the pages pass the shards in turn.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from acurail.llm.common import staged, url_host, url_path, without
 
-#: Largest cascade that is put into expressions; beyond it lookups join the listed keys.
-MAX_FILTER_BYTES = 4 << 20
+#: Bytes of filters that one pass over the pages carries; longer lists take as many passes as they need.
+PASS_BYTES = 4 << 20
 _LOG2E2 = 1 / math.log(2)
 
 
@@ -70,8 +71,13 @@ def _shape(number: int, count: int, rate: float) -> Level:
     return Level(number, bits, max(1, min(24, round(-math.log2(rate)))))
 
 
-def build(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> list[Level] | None:
-    """Cascade over column ``key`` of both inputs; None if it would exceed ``max_bytes``.
+def error_rate(listed: int, universe: int) -> float:
+    """Rate of level 1 at which each later level encodes a number of keys of the order of the list."""
+    return min(0.5, max(1e-7, math.sqrt(0.5) * listed / max(universe, 1)))
+
+
+def build(listed: DataFrame, universe: DataFrame) -> list[Level]:
+    """Cascade over column ``key`` of both inputs.
 
     The first level's error rate is about listed / universe, so each later
     level encodes a number of keys of the order of the list, however large the
@@ -82,8 +88,7 @@ def build(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_FILTER_BY
     n = listed.count()
     if not n:
         return []
-    size = universe.agg(F.approx_count_distinct("key", 0.02)).first()[0]
-    rate = min(0.5, max(1e-7, math.sqrt(0.5) * n / max(size, 1)))
+    rate = error_rate(n, universe.agg(F.approx_count_distinct("key", 0.02)).first()[0])
     levels: list[Level] = []
     inside, outside = listed, universe.select("key")
     while True:
@@ -91,8 +96,6 @@ def build(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_FILTER_BY
         if not count:
             return levels
         level = _shape(len(levels) + 1, count, rate if not levels else 0.5)
-        if sum(x.bits for x in [*levels, level]) > 8 * max_bytes:
-            return None
         levels.append(_encode(inside, level))
         wrong = outside.filter(_passes(F.col("key"), levels[-1]))
         if len(levels) == 1:  # the only pass over the universe; what it leaves is of the list's order
@@ -100,6 +103,16 @@ def build(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_FILTER_BY
         inside, outside = staged(wrong, "false-positives"), inside
 
 
+def _shards(listed: int, universe: int, pass_bytes: int) -> int:
+    """Shards so that the two cascades of one (listed and blocked keys) take about ``pass_bytes``."""
+    bits = listed * (-math.log2(error_rate(listed, universe)) + 2) * _LOG2E2
+    return max(1, math.ceil(2 * bits / (8 * pass_bytes)))
+
+
+def _shard(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("shard"), key), F.lit(shards))
+
+
 def contains(key: Column, levels: list[Level]) -> Column:
     """Whether a universe key is listed: exact, and free of joins."""
     answer = F.lit(len(levels) % 2 == 1)
@@ -123,48 +136,47 @@ def candidates(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Col
     return F.array_compact(F.array(*keys))
 
 
-def judge(pages: DataFrame, rules: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """``pages`` with ``host``, ``path``, the longest fitting ``rule`` and its ``verdict``.
 
     ``rules`` has columns host, path, verdict (``allow`` or ``block``); a key
     given with both verdicts blocks. A rule fits its host and all subdomains if
     the URL's path starts with the rule's path. URLs that no rule fits are not
     listed, and an unlisted URL is allowed. Null URLs and URLs without ``://``
-    have empty host and path and fit no rule. Repeated pages are judged alike;
-    input columns named like a result column are replaced.
+    have empty host and path and fit no rule; URLs of any length are read
+    whole. Repeated pages are judged alike; an empty table gives an empty
+    table; input columns named like a result column are replaced.
     """
     keys = (rules.filter(F.col("host") != "")
             .select(F.col("host"), F.coalesce("path", F.lit("")).alias("path"), F.col("verdict"))
             .select(F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.")).alias("labels"),
                     F.length("path").alias("length"), F.col("verdict")))
     shapes = [tuple(r) for r in keys.select("labels", "length").distinct().collect()]  # a few shapes, not rules
-    d = without(pages, "host", "path", "rule", "verdict")
-    d = d.withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))})
-    # Longest rule first: the key's length differs by page, so order by it within each page.
-    found = F.array_sort(candidates(F.col("host"), F.col("path"), shapes),
-                         lambda a, b: F.when(F.length(a) > F.length(b), -1)
-                         .when(F.length(a) < F.length(b), 1)
-                         .when(a > b, -1).when(a < b, 1).otherwise(0)) if shapes else F.array().cast("array<string>")
+    row = F.struct(*[F.col(f"`{c}`") for c in without(pages, "host", "path", "rule", "verdict").columns])
+    d = pages.select(row.alias("row"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     listed, blocked = keys.select("key"), keys.filter("verdict = 'block'").select("key")
-    universe = (pages.select(url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path")).distinct()
-                .select(F.explode(candidates(F.col("host"), F.col("path"), shapes)).alias("key"))
-                if shapes else listed)
-    one, two = build(listed, universe, max_bytes), build(blocked, universe, max_bytes)
-    if one is None or two is None:
-        return _judge_by_join(d, keys, shapes)
-    rule = F.get(F.filter(found, lambda k: contains(k, one)), F.lit(0))
-    d = d.withColumn("rule", rule)
-    return d.withColumn("verdict", F.when(F.col("rule").isNotNull() & contains(F.col("rule"), two), "block")
-                        .otherwise("allow"))
-
-
-def _judge_by_join(d: DataFrame, keys: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
-    """The way beyond ``max_bytes``: join distinct (host, path) pairs' candidate keys with the listed keys."""
-    blocked = keys.groupBy("key").agg(F.max((F.col("verdict") == "block").cast("int")).alias("b"))
-    pairs = d.select("host", "path").distinct()
-    hits = (pairs.select("host", "path", F.explode(candidates(F.col("host"), F.col("path"), shapes)).alias("key"))
-            .join(blocked, "key").groupBy("host", "path")
-            .agg(F.max(F.struct(F.length("key").alias("n"), F.col("key"), F.col("b"))).alias("__best")))
-    d = d.join(hits, ["host", "path"], "left").select(*[F.col(f"`{c}`") for c in d.columns], F.col("__best"))
-    return d.select(*[F.col(f"`{c}`") for c in d.columns if c != "__best"], F.col("__best.key").alias("rule"),
-                    F.when(F.col("__best.b") == 1, "block").otherwise("allow").alias("verdict"))
+    none = F.lit(None).cast("string")
+    if not shapes:
+        return d.select("row.*", "host", "path", none.alias("rule"), F.lit("allow").alias("verdict"))
+    universe = (d.select("host", "path").distinct()
+                .select(F.explode(candidates(F.col("host"), F.col("path"), shapes)).alias("key")))
+    shards = _shards(listed.distinct().count(), universe.agg(F.approx_count_distinct("key", 0.02)).first()[0], pass_bytes)
+    if shards > 1:
+        universe = staged(universe.distinct(), "universe")
+    d = d.withColumn("best", F.lit(None).cast("struct<length:int,rule:string,blocked:boolean>"))
+    for s in range(shards):
+        one, two = (build(part.filter(_shard(F.col("key"), shards) == s), universe.filter(_shard(F.col("key"), shards) == s))
+                    for part in (listed, blocked))
+        if not one:
+            continue
+        fits = F.filter(candidates(F.col("host"), F.col("path"), shapes),
+                        lambda k: (_shard(k, shards) == s) & contains(k, one))
+        # The longest of the shard's fitting keys; of the pages' keys all lie in the universe, so this is exact.
+        rule = F.array_max(F.transform(fits, lambda k: F.struct(F.length(k).alias("length"), k.alias("rule"))))
+        d = d.withColumn("rule", rule).withColumn("best", F.greatest("best", F.when(
+            F.col("rule").isNotNull(), F.struct(F.col("rule.length").alias("length"), F.col("rule.rule").alias("rule"),
+                                                contains(F.col("rule.rule"), two).alias("blocked"))))).drop("rule")
+        if s + 1 < shards:
+            d = staged(d, "judged")
+    return d.select("row.*", "host", "path", F.col("best.rule").alias("rule"),
+                    F.when(F.col("best.blocked"), "block").otherwise("allow").alias("verdict"))

@@ -5,7 +5,7 @@ record, into one archive per partition. Consecutive captures share a
 compressed index block, and a sparse directory holds one row per block: its
 first and last key, where its lines are, and the span of the archive that its
 records fill. A lookup binary-searches the parts and the directory, reads
-one block by range, and then single records by range.
+one block by range, and then the key's records by range.
 """
 
 from __future__ import annotations
@@ -23,13 +23,15 @@ import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acurail.llm.common import shared_path, staged, url_host
 
 #: Captures per index block, and bytes of payload after which a block ends early.
 BLOCK_CAPTURES, BLOCK_BYTES = 500, 16 << 20
+#: Tasks among which the pages of one payload are dealt when revisits are marked.
+SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -43,6 +45,12 @@ def open_store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the file system that Spark would use for it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def url_key(url: Column) -> Column:
     """Sort key of a capture: host labels reversed, then ``)`` and what follows the host; the bare text without ``://``."""
     host = url_host(url)
@@ -134,7 +142,10 @@ def decided(pages: DataFrame, min_payload_bytes: int = 0) -> tuple[DataFrame, Da
         F.col("size") >= min_payload_bytes)
     repeated = (thin.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
                 .filter("n > 1 AND refers_to IS NOT NULL"))
-    marks = (thin.join(repeated, "sha").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    # A payload that a third of all pages share is met by SALTS tasks: its pages are dealt by id.
+    thin = thin.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    repeated = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    marks = (thin.join(repeated, ["sha", "salt"]).filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
              .select("key", "page_id", "sha", "refers_to"))
     return d, marks
 
@@ -143,12 +154,14 @@ def write_archive(pages: DataFrame, folder: str | None = None, min_payload_bytes
     """Write archives and index blocks into ``folder``; returns the stored sparse directory (``DIRECTORY``).
 
     Null html is the empty payload; null URLs have an empty key; repeated rows
-    of one page are records of their own; other columns are not read. Files
+    of one page are records of their own; html of any length is one record; an
+    empty table gives an empty directory; other columns are not read. A folder
+    without a scheme is resolved by Spark's default file system. Files
     carry the task's attempt in their names, so a task that is run again never
     overwrites what another wrote, and the directory names only files of
     committed tasks.
     """
-    folder = folder or shared_path(pages.sparkSession, "warc")
+    folder = qualified(pages.sparkSession, folder or shared_path(pages.sparkSession, "warc"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         capture, revisits = None, {}
@@ -244,7 +257,7 @@ def lookup(directory: DataFrame, urls: DataFrame) -> DataFrame:
 
     The parts' key ranges (one row per archive) are binary-searched in the
     tasks; the directory is joined by part, and only the blocks that a key can
-    be in are read, each record by its own range.
+    be in are read, and of the archive the range of the key's records.
     """
     ranges = directory.groupBy("part").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi"))
     known = sorted((r["lo"].encode(), r["hi"].encode(), r["part"]) for r in ranges.collect())
@@ -269,18 +282,23 @@ def lookup(directory: DataFrame, urls: DataFrame) -> DataFrame:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["wanted", *[f.split()[0] for f in CAPTURES.split(", ")]]
+        block, lines = None, []
         for pdf in frames:
-            out = []
             for b in pdf.itertuples():
                 store, root = open_store(b.folder)
-                lines = _index_lines(store, root, b.part, b.index_start, b.index_bytes)
-                first = bisect.bisect_left([x[0].encode() for x in lines], b.key.encode())
-                for key, at, size in lines[first:]:
-                    if key != b.key:
-                        break
-                    row = _capture(gzip.decompress(_read(store, f"{root}/{b.part}.warc.gz", at, size)))
-                    if row[5] == _uri(b.wanted):
-                        out.append((b.wanted, *row))
-            yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    return hits.repartition("part", "index_start").mapInPandas(read, "wanted string, " + CAPTURES)
+                if (b.part, b.index_start) != block:
+                    block, lines = (b.part, b.index_start), _index_lines(store, root, b.part, b.index_start, b.index_bytes)
+                keys = [x[0].encode() for x in lines]
+                k = b.key.encode()
+                own = lines[bisect.bisect_left(keys, k):bisect.bisect_right(keys, k)]
+                if not own:
+                    continue
+                # A key's records lie next to each other, so one range holds them all.
+                start, end = own[0][1], own[-1][1] + own[-1][2]
+                span = _read(store, f"{root}/{b.part}.warc.gz", start, end - start)
+                rows = [_capture(gzip.decompress(span[at - start:at - start + size])) for _, at, size in own]
+                out = [(b.wanted, *row) for row in rows if row[5] == _uri(b.wanted)]
+                yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+
+    near = hits.repartition("part", "index_start").sortWithinPartitions("part", "index_start", "key")
+    return near.mapInPandas(read, "wanted string, " + CAPTURES)

@@ -31,7 +31,7 @@ def judged_by_hand(url, rules):
     return host, path, best[1], best[2]
 
 
-@pytest.mark.parametrize("limit", [url_filter.MAX_FILTER_BYTES, 1])  # 1 byte: the way by join
+@pytest.mark.parametrize("limit", [url_filter.PASS_BYTES, 60])  # 60 bytes: several shards, a pass each
 def test_url_filter_against_brute_force(spark, limit):
     rng = random.Random(2)
     hosts = ["example.com", "WWW.Example.com", "a.b.example.com", "notexample.com", "x.net", "net", "com", "", ".com",
@@ -43,6 +43,7 @@ def test_url_filter_against_brute_force(spark, limit):
     rows = [(i, u, "") for i, u in enumerate(urls)] + [(0, urls[0], ""), (None, "http://x.net/es/", "")]
     rules = URL_RULES + [(f"h{rng.randrange(500)}.org", f"/{rng.randrange(9)}", "block") for _ in range(60)]
     frame = spark.createDataFrame(rules + [("net", "/es/", "allow")], "host string, path string, verdict string")
+    assert (url_filter._shards(len(rules), 500, limit) > 2) == (limit == 60)
     out = url_filter.judge(pages(spark, rows), frame, limit).collect()
     assert len(out) == len(rows)
     for r in out:
@@ -61,7 +62,7 @@ def test_cascade_is_exact_on_its_universe(spark):
         listed.withColumn("listed", F.lit(True)), "key", "left").filter(
         F.col("in") != F.coalesce("listed", F.lit(False)))
     assert wrong.count() == 0
-    assert url_filter.build(listed, universe, 8) is None
+    assert url_filter.build(listed.limit(0), universe) == []
 
 
 def test_warc_round_trip(spark):
@@ -88,6 +89,22 @@ def test_warc_round_trip(spark):
     assert warc.read_archive(warc.write_archive(pages(spark, []))).count() == 0
 
 
+def test_lookup_finds_every_capture_of_its_urls(spark, monkeypatch):
+    """A URL that fills several blocks, and one common payload on a third of all pages."""
+    monkeypatch.setattr(warc, "BLOCK_CAPTURES", 7)
+    rows = [(i, f"http://h{i % 5}.org/{'hot' if i % 3 == 0 else i}", "common" if i % 3 else f"own {i}") for i in range(200)]
+    rows += [(300, None, "x"), (320, "http://h0.org/\nb", "common")]
+    directory = warc.write_archive(pages(spark, rows))
+    asked = {u for i, u, _ in rows if u is not None and i % 20 == 0}
+    found = warc.lookup(directory, spark.createDataFrame([(u,) for u in asked], "url string")).collect()
+    assert sorted((r["wanted"], r["page_id"]) for r in found) == sorted((u, i) for i, u, _ in rows if u in asked)
+    whole = {r["page_id"]: r for r in warc.read_archive(directory).collect()}
+    for r in found:
+        assert all(r[c] == whole[r["page_id"]][c] for c in ("payload_digest", "record_type", "refers_to", "html"))
+    assert sum(r["record_type"] == "revisit" for r in whole.values()) == sum(h == "common" for _, _, h in rows) - 1
+    assert warc.qualified(spark, "/some/folder").startswith("file:")
+
+
 def test_warc_small_payloads_never_revisit(spark):
     rows = [(1, "http://a.org/1", "ab"), (2, "http://a.org/2", "ab"), (3, "http://a.org/3", "abc"),
             (4, "http://a.org/4", "abc")]
