@@ -161,7 +161,9 @@ RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """``docs`` with its base counts, ``base_failed``, ``kept`` and ``fired_rule``.
 
-    Null and empty texts have zero words, so they fail the base rule. Input
+    Null and empty texts have zero words, so they fail the base rule; texts of
+    any length are counted whole; repeated rows are judged alike; a statistic
+    equal to a cut is not above it; an empty table gives an empty table. Input
     columns named like a result column are replaced. A narrow projection: no
     shuffle, rows independent of each other.
     """

@@ -195,8 +195,9 @@ def predict(docs: DataFrame, model: Model, reject_below: float = REJECT_BELOW) -
     ``und`` with score 0 if the text is null, empty or has no letter. A text
     whose best cosine is below that centroid's reject cosine (see
     ``reject_cosines``) or below ``reject_below`` keeps its nearest language
-    but is flagged ``rejected``. Ties go to the language that sorts first. Only the
-    text is read. Input columns named like a result column are replaced.
+    but is flagged ``rejected``. Ties go to the language that sorts first. Texts of
+    any length are read whole; repeated rows are judged alike; an empty table
+    gives an empty table. Only the text is read. Input columns named like a result column are replaced.
     """
     languages, centroids, idf = model.languages, model.centroids.T.copy(), model.idf
     far = np.maximum(model.reject, reject_below)

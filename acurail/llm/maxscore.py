@@ -149,7 +149,8 @@ def top_k(vectors: DataFrame, k: int = K, query_modulus: int = QUERY_MODULUS, sc
     without id, take no part; missing components of shorter vectors count as
     zero. Ties go to the smaller ``vec_id``. Rows that repeat an id are
     candidates of their own but never of that id's query, which is answered
-    once. Blocks of queries meet shards of vectors, both of bounded size; a
+    once, for the smallest vector among them. Vectors of any length are used
+    whole; an empty table gives an empty table; other columns are not read. Blocks of queries meet shards of vectors, both of bounded size; a
     pair of them returns at most ``k`` rows a query.
     """
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -163,15 +164,16 @@ def top_k(vectors: DataFrame, k: int = K, query_modulus: int = QUERY_MODULUS, sc
     shards = max(1, math.ceil(size["n"] / SHARD_ROWS), min(2 * cores, math.ceil(size["n"] / LEAST_ROWS)))
     blocks = max(1, math.ceil(size["q"] / BLOCK_QUERIES))
     h = F.xxhash64("vec_id")
-    queries = rows.filter(is_query).dropDuplicates(["vec_id"]).select(
-        F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "vec_id", "w")
+    asked = rows.filter(is_query).groupBy("vec_id").agg(F.min("w").alias("w")).select(F.col("vec_id").alias("own"), "w")
+    queries = asked.select(
+        F.pmod(F.xxhash64(F.lit("block"), "own"), F.lit(blocks)).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "own", "w")
     candidates = rows.select(
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
         F.pmod(h, F.lit(shards)).cast("int").alias("shard"), "vec_id", "w")
 
     def meet(q: pa.Table, d: pa.Table) -> pa.Table:
-        query_ids = q.column("vec_id").to_numpy()
+        query_ids = q.column("own").to_numpy()
         lengths, flat = _lists(q.column("w"))
         at = np.cumsum(lengths) - lengths
         weights = [flat[a:a + m] for a, m in zip(at, lengths)]

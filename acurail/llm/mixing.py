@@ -27,7 +27,8 @@ SHARE = 1.5
 MAX_COPIES = 2
 #: Documents of one (source, size) cell that one window partition may rank.
 CELL_ROWS = 4_096
-MAX_STEPS = 60
+#: Newton steps after which an unsolved source is an error; a bracket halves at least every other one.
+MAX_STEPS = 200
 
 
 def words_in(text: Column) -> Column:
@@ -114,7 +115,9 @@ def tilts(cells: DataFrame, goals: DataFrame, max_copies: int = MAX_COPIES) -> D
             F.when(F.col("done") | close, F.col("tilt")).when(inside, step).otherwise(middle).alias("tilt"),
             F.when(F.col("done"), F.col("low")).otherwise(low).alias("low"),
             F.when(F.col("done"), F.col("high")).otherwise(high).alias("high"),
-            (F.col("done") | close | (high - low < 1e-12)).alias("done")), "mix-tilt")
+            (F.col("done") | close | (high - low < 1e-12 * F.greatest(F.abs(low), F.lit(1.0)))).alias("done")), "mix-tilt")
+    else:
+        raise RuntimeError(f"targets of some sources were not met in {MAX_STEPS} steps")
     return state.select("source", "target", "tilt", "scale")
 
 
@@ -151,8 +154,9 @@ def rounded(cells: DataFrame, solved: DataFrame, max_copies: int = MAX_COPIES) -
 def copies(docs: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of every row of ``docs``.
 
-    Null texts have size 0; a null source is a source of its own; documents
-    without a word are taken once. Repeated rows are documents of their own.
+    Null and empty texts have size 0; texts of any length are counted whole; a
+    null source is a source of its own; documents without a word are taken
+    once. An empty table gives an empty table; other columns are not read. Repeated rows are documents of their own.
     Within a cell of equal source and size, the documents of the smallest
     hashed ids take the odd copies, so reruns agree. Cells of many documents
     are split by that hash first, so no task ranks more than about
@@ -193,7 +197,9 @@ def mix(docs: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     """``docs`` repeated: each row as often as its copies say; the columns stay.
 
     Copies are decided per row; rows that repeat one ``doc_id`` share its total
-    as evenly as whole copies allow.
+    as evenly as whole copies allow. Null ids are one id here; null, empty and
+    very long texts are repeated like any other; an empty table stays empty; no
+    column can clash, as none is added.
     """
     decided = copies(docs, max_copies).groupBy("doc_id").agg(
         F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))

@@ -139,8 +139,10 @@ RESULT = ["score", "predicted"]
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if ``score >= threshold``).
 
-    Only the text is read; null and empty texts have all statistics zero and
-    are scored by the rules like any other. Input columns named like a result
+    Only the text is read, whole whatever its length; null and empty texts have
+    all statistics zero and are scored by the rules like any other; repeated
+    rows are scored alike; a score equal to the threshold is predicted 1; an
+    empty table gives an empty table. Input columns named like a result
     column are replaced. A narrow projection: no shuffle.
     """
     d = without(docs, *RESULT)

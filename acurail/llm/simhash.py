@@ -231,7 +231,8 @@ def duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> D
     """(doc_id, fingerprint, component_id) of every row of ``docs``.
 
     ``fingerprint`` is 16 lower-case hex digits. Null and empty texts have
-    fingerprint zero and are linked like any other; repeated rows stay.
+    fingerprint zero and are linked like any other; texts of any length are
+    hashed whole; repeated rows stay; an empty table gives an empty table.
     ``component_id`` is the smallest non-null ``doc_id`` reachable over links of
     at most ``radius`` differing bits, null if a component has none. Further
     input columns are not read.
@@ -246,7 +247,9 @@ def keep_one(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> Dat
 
     Only ids move to decide; a kept row's text is shuffled only if its id is
     repeated. A repeated id may stand for different texts, so its rows are
-    told apart by their fingerprints.
+    told apart by their fingerprints. Null and empty texts are one component,
+    like equal texts; texts of any length are compared whole; an empty table
+    stays empty; no column is added, so none can clash.
     """
     prints, groups = _grouped(docs, width, radius)
     kept = prints.join(groups, "fp").filter(F.col("doc_id") == F.col("component_id"))

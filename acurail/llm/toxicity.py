@@ -149,7 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     The samples are the documents of the smallest hashed ids. Every feature of
     at least ``MIN_POSITIVE`` confirmed texts that unlabelled texts do not have
     more often is weighed. Without a labelled toxic text the model is constant
-    and scores every text 0.
+    and scores every text 0; without a telling feature it scores the labelled
+    share of toxic texts, so where labels have nothing to do with texts and
+    mark 30 % or more of them, every text reaches the threshold. Rows without
+    id or label do not count; repeated ids count once as a label; null and
+    empty texts have no feature; equal hashes go to the smaller id.
     """
     known = labelled_ids(labels, "toxic", MODULUS, HELD_OUT, MAX_PRIOR_ROWS)
     seen = known.agg(F.count("*").alias("n"), F.sum("label").alias("p")).first()
@@ -206,7 +210,9 @@ RESULT = ["score", "predicted"]
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if ``score >= threshold``).
 
-    Only the text is read. Null and empty texts get the model's base rate.
+    Only the text is read, whole whatever its length. Null and empty texts get
+    the model's base rate; repeated rows are scored alike; a score equal to the
+    threshold is predicted 1; an empty table gives an empty table.
     Input columns named like a result column are replaced. A narrow map: no
     shuffle, bounded memory.
     """

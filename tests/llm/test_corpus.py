@@ -395,3 +395,50 @@ def test_pipeline_stage_by_stage(spark, tmp_path, insulted):
     assert ends == mixed.count() and tokens > mixed.count()
     result = corpus_pipeline.run(spark, root)
     assert result.columns == at.columns and abs(result.count() - at.count()) <= 0.05 * at.count()
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path):
+    """Nulls, empty and long texts, repeats, clashing names and no rows at all pass every stage."""
+    root = str(tmp_path)
+    marks = [(i, i % 2, int(i == 4), "t") for i in range(20)]
+    labels(spark, marks).write.parquet(f"{root}/labels.parquet")
+    for kind, docs in (("edge", edge_docs(spark)), ("none", no_docs(spark))):
+        docs.write.parquet(f"{root}/{kind}.parquet")
+        at = spark.read.parquet(f"{root}/{kind}.parquet")
+        columns, known = at.columns, at
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            before = at.count()
+            out = stage(spark, at, root)
+            out.write.parquet(f"{root}/{kind}-{i}")
+            at = spark.read.parquet(f"{root}/{kind}-{i}")
+            if name == "packing":
+                assert at.columns == [f.split()[0] for f in packing.PIECES.split(", ")]
+                assert at.filter("start + length = doc_tokens").count() == before
+            else:
+                assert at.columns == columns and at.select(columns).distinct().exceptAll(known.distinct()).count() == 0
+                assert name == "mixing" or at.count() <= before
+        if kind == "none":
+            assert at.count() == 0
+
+
+def test_toxicity_column_against_a_plain_evaluation(spark, insulted):
+    """The column's scores are the sigmoid of the bias and the weights of a text's distinct features."""
+    docs, marks = insulted
+    model = toxicity.fit(docs, labels(spark, marks))
+    for r in toxicity.score(docs.limit(200), model).collect():
+        z = model.bias + sum(model.weights.get(f, 0.0) for f in toxicity.features_of(r["text"]))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_nearest_centroid_against_brute_force(spark):
+    """Predictions are the arg max of plain cosines of TF-IDF vectors with all centroids."""
+    rng = random.Random(12)
+    stems = {"aa": ["the", "and", "thing"], "bb": ["der", "und", "nicht"]}
+    rows = [(i, prose(rng, stems[["aa", "bb"][i % 2]]), ["aa", "bb"][i % 2]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs)
+    for r in langid.predict(docs.limit(60), model).collect():
+        v = langid.vectors([r["text"]], model.idf)[0].astype(float)
+        cosines = [float(v @ c) / (np.linalg.norm(v) * np.linalg.norm(c) or 1.0) for c in model.centroids.astype(float)]
+        best = int(np.argmax(cosines))
+        assert r["lang_pred"] == model.languages[best] and r["score"] == pytest.approx(cosines[best], abs=1e-4)

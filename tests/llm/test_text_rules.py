@@ -6,8 +6,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from acurail.llm import decision_list, rule_ensemble
+from acurail.llm import decision_list, rule_ensemble, textstats
 from acurail.llm.textstats import text_counts
 from tests.llm.edge import edge_docs, labels, no_docs
 
@@ -147,3 +148,49 @@ def test_tree_rules_cover_every_path():
     t = rule_ensemble.Test
     assert rules == {(t("x", False, 0.5),), (t("x", False, 0.2),), (t("x", False, 0.5), t("x", True, 0.2)),
                      (t("x", True, 0.5),)}
+
+
+def test_rule_columns_against_a_plain_evaluation(spark):
+    """The compiled expressions of the ensemble and of the list equal a row-by-row evaluation of their rules."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        good = i % 3 > 0
+        words = [rng.choice(["alpha", "beta", "gamma", "delta", "###", "$$"] if not good else
+                            ["some", "plain", "words", "here", "too", "and"]) for _ in range(rng.randrange(5, 80))]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows], "doc_id bigint, quality int")
+    st = docs.select("doc_id", textstats.text_stats(F.col("text")).alias("st"))
+    names = list(textstats.ratios("st"))
+    stats = {r["doc_id"]: r for r in st.select("doc_id", *[c.alias(n) for n, c in textstats.ratios("st").items()]).collect()}
+    model = rule_ensemble.fit(docs, marks)
+    assert model.rules
+    for r in rule_ensemble.score(docs, model).collect():
+        s = stats[r["doc_id"]]
+        z = model.bias + sum(w for rule, w in model.rules if all(
+            (s[t.name] > t.cut) if t.above else (s[t.name] <= t.cut) for t in rule))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+    rules = decision_list.fit(docs, marks)
+    assert rules
+    for r in decision_list.judge(docs, rules).collect():
+        s = {n: np.array([stats[r["doc_id"]][n]]) for n in names}
+        first = next((rule for rule in rules if all(c.holds(s)[0] for c in rule)), None)
+        assert r["fired_rule"] == (" AND ".join(map(str, first)) if first else None)
+        assert r["kept"] == (first is None and not r["base_failed"])
+
+
+def test_list_is_judged_on_held_rows_and_goes_on():
+    """A rule that is precise only where it was grown is left out, and later rules are still found."""
+    rng = np.random.default_rng(3)
+    n = 3000
+    x, noise = rng.uniform(size=n), rng.uniform(size=n)
+    bad = x > 0.8
+    bad |= (np.arange(n) % 3 != 2) & (noise > 0.7)  # only grown rows show this
+    rules = decision_list.learn({"x": x, "noise": noise}, bad)
+    held = np.arange(n) % 3 == 2
+    assert rules and any(c.name == "x" for r in rules for c in r)
+    for r in rules:
+        mask = np.all([c.holds({"x": x, "noise": noise}) for c in r], axis=0)
+        assert not any(c.name == "noise" and len(r) == 1 for c in r)
+        assert mask[held].sum() > 0
