@@ -5,6 +5,11 @@ stage before kept. All but the last return the columns of ``docs``; the last
 returns packed pieces. ``run`` writes each stage's result as Parquet in the
 shared folder and reads it back, so a lost executor never repeats an earlier
 stage and the scan order that packing relies on is stored.
+
+All stages read whole texts of any length, treat repeated rows as rows of their
+own, keep further columns whatever their names (they travel in one struct), and
+give an empty table for an empty one. What each does with nulls, empty texts
+and ties is said at the stage.
 """
 
 from __future__ import annotations
@@ -27,33 +32,53 @@ def _bare(docs: DataFrame) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not reject; learned on this stage's input."""
+    """Documents that the toxicity classifier does not reject; learned on this stage's input.
+
+    Null and empty texts score the labelled share of toxic documents; a score of
+    the threshold is rejected. Without a toxic label nothing is rejected.
+    """
     prepare(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(_bare(docs), model).filter("predicted = 0").select("row.*")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject; learned on this stage's input."""
+    """Documents that the quality classifier does not reject; learned on this stage's input.
+
+    Null and empty texts have all statistics zero and are judged by the rules; a
+    score of the threshold is kept. Without labels nothing is rejected.
+    """
     prepare(spark)
     model = rule_ensemble.fit(docs, table(spark, sf_dir, "labels"))
     return rule_ensemble.score(_bare(docs), model).filter("predicted = 1").select("row.*")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: that of the smallest id."""
+    """One document of each near-duplicate component: that of the smallest id.
+
+    Null and empty texts are one component. Of rows that repeat the smallest id
+    one stays; a component without any id keeps one of its rows.
+    """
     prepare(spark)
     return simhash.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that sources meet their target weights."""
+    """Documents repeated or left out so that sources meet their target weights.
+
+    Null and empty texts hold no word and are taken once; a null source is a
+    source of its own; ties between documents of one size go by hashed id.
+    """
     prepare(spark)
     return mixing.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed sequences."""
+    """Pieces of the packed sequences.
+
+    A null or empty text is its end id alone; a null id stays null; documents
+    follow each other in their stored order.
+    """
     prepare(spark)
     return packing.pack(docs, word_tokenizer())
 
