@@ -83,15 +83,29 @@ def one_hot(df: DataFrame, categories: DataFrame, cols: list[str], key: str = "p
 
 
 # ---------------------------------------------------------------- F5 / F6
+def split_cuts(df: DataFrame, label: str, key: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
+    """F6 fit: per class the (hash, key) of the last test row; one row a class. Only labels and keys are ranked."""
+    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
+    thin = prefix_within(df.select(label, h.alias("_h"), key), [label], ["_h", key], seq_col="_rk")
+    counts = thin.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    last = thin.join(F.broadcast(counts), label).filter(F.col("_rk") == F.ceil(F.col("_nc") * test_size))
+    return last.select(label, F.struct("_h", key).alias("cut"))
+
+
 def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """deterministic stratified split. Within each class rows are ranked by
-    ``md5(key || seed)``; the first ``ceil(test_size * n_c)`` go to test."""
-    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
-    ranked = prefix_within(df.withColumn("_h", h), [label], ["_h", key], seq_col="_rk")
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    out = ranked.join(counts, label, "inner")
-    return out.withColumn("split", F.when(F.col("_rk") <= F.ceil(F.col("_nc") * test_size), "test")
-                          .otherwise("train")).drop("_h", "_rk", "_nc")
+    ``md5(key || seed)``; the first ``ceil(test_size * n_c)`` go to test.
+
+    The cut of each class is found first; the flag is then set row by row, so
+    no whole row is sorted, joined or stored. Rows without a class are left out.
+    """
+    cuts = split_cuts(df.filter(F.col(label).isNotNull()), label, key, test_size, seed).collect()  # one row a class
+    own = F.struct(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))), F.col(key))
+    test = F.lit(False)
+    for r in cuts:
+        cut = F.struct(F.lit(r["cut"][0]), F.lit(r["cut"][1]))
+        test = test | ((F.col(label) == r[label]) & (own <= cut))
+    return df.filter(F.col(label).isNotNull()).withColumn("split", F.when(test, "test").otherwise("train"))
 
 
 def stratified_sample(df: DataFrame, label: str, key: str, n: int = 200, seed: int = 42) -> DataFrame:

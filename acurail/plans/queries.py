@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from acurail.functions.columns import py_round
 from acurail.operators import layers
 from acurail.sources import tables
+from acurail.stages import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -30,18 +31,18 @@ def _enc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.encounters(spark, sf_dir)
 
 
-def decided(spark: SparkSession, sf_dir: str, keep_input: bool = True, materialize: bool = True) -> DataFrame:
-    """Decisions over the whole encounter view (row-local, no shuffle).
+def decided(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Decisions over the whole encounter view (row-local, no shuffle), stored with the columns that a report names.
 
-    Reports read decisions as a materialized stage (in production: the
-    decision sink). ``materialize`` checkpoints them into
-    ``spark.checkpoint.dir``: it cuts the lineage, computes the rule layers
-    once for reports that branch several times, and keeps filters on
-    decision columns from being pushed (and inlined) through the whole rule
-    tree by the optimizer.
+    Reports read decisions as a stored stage (in production: the decision
+    sink). It computes the rule layers once for reports that branch several
+    times, and keeps filters on decision columns from being pushed (and
+    inlined) through the whole rule tree by the optimizer. Only the named
+    columns are computed and written, and a report that needs no others than
+    an earlier one writes nothing. Without names all columns are stored.
     """
-    d = layers.decisions(_enc(spark, sf_dir), keep_input=keep_input)
-    return materialized(d) if materialize else d
+    d = layers.decisions(_enc(spark, sf_dir))
+    return stage(spark, [tables.table_path(sf_dir, "events")], "decisions", columns or d.columns, lambda: d)
 
 
 def materialized(df: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def _json(*cols: str) -> dict:
 
 @query("decisions")
 def q_decisions(spark, sf_dir):
-    d = decided(spark, sf_dir, materialize=False)
+    d = layers.decisions(_enc(spark, sf_dir))
     return d.select(
         "patient_id", "run_id", "original_acuity", "predicted_acuity", "true_acuity", "label", "color",
         "confidence", "confidence_pct", "confidence_state", "confidence_gap", "confidence_top2_acuity",
@@ -167,7 +168,7 @@ PROFILE_NUMERIC = ["heart_rate", "systolic_bp", "diastolic_bp", "spo2", "respira
 def q_class_distribution(spark, sf_dir):
     enc = _enc(spark, sf_dir)
     true = profile.class_distribution(enc, "triage_acuity", kind="true")
-    pred = profile.class_distribution(decided(spark, sf_dir), "predicted_acuity", kind="predicted")
+    pred = profile.class_distribution(decided(spark, sf_dir, "predicted_acuity"), "predicted_acuity", kind="predicted")
     return true.unionByName(pred).select("kind", "acuity", "n", py_round(F.col("pct"), R6).alias("pct"))
 
 
@@ -211,7 +212,8 @@ from acurail.operators import metrics  # noqa: E402
 def message_table(spark, sf_dir) -> DataFrame:
     """Messages: decisions + stage timestamps, with the LLM segment closed (A9 + A12)."""
     enc = _enc(spark, sf_dir)
-    d = tables.message_times(decided(spark, sf_dir))
+    d = tables.message_times(decided(spark, sf_dir, "event_id", "patient_id", "run_id", "predicted_acuity", "true_acuity",
+                                     "safety_rail_triggered"))
     return metrics.close_llm_segment(metrics.message_rows(d), tables.explanation_events(enc))
 
 
@@ -275,17 +277,17 @@ def q_recent_records(spark, sf_dir):
 
 @query("pipeline_counters")
 def q_pipeline_counters(spark, sf_dir):
-    return _round_doubles(metrics.pipeline_counters(decided(spark, sf_dir)))
+    return _round_doubles(metrics.pipeline_counters(decided(spark, sf_dir, "confidence_state", "has_feature_conflict", "predicted_acuity", "safety_rail_triggered", "true_acuity")))
 
 
 @query("layer_impact")
 def q_layer_impact(spark, sf_dir):
-    return _round_doubles(metrics.layer_impact(decided(spark, sf_dir)))
+    return _round_doubles(metrics.layer_impact(decided(spark, sf_dir, "confidence_state", "has_feature_conflict", "original_acuity", "predicted_acuity", "requires_review", "safety_rail_triggered", "true_acuity")))
 
 
 @query("layer_breakdowns")
 def q_layer_breakdowns(spark, sf_dir):
-    return metrics.layer_breakdowns(decided(spark, sf_dir))
+    return metrics.layer_breakdowns(decided(spark, sf_dir, "confidence_state", "conflict_reasons", "has_feature_conflict", "original_acuity", "predicted_acuity", "safety_rail_reasons", "safety_rail_triggered"))
 
 
 # ---------------------------------------------------------------- review and feedback
@@ -298,7 +300,7 @@ def actions_table(spark, sf_dir) -> DataFrame:
 
 @query("escalation_gate")
 def q_escalation_gate(spark, sf_dir):
-    d = decided(spark, sf_dir)
+    d = decided(spark, sf_dir, "patient_id", "predicted_acuity", "true_acuity", "safety_rail_triggered", "has_feature_conflict", "gcs_total", "heart_rate", "news2_score", "respiratory_rate", "spo2", "systolic_bp", "temperature_c")
     ovr = review.valid_overrides(actions_table(spark, sf_dir)).select(
         "patient_id", F.lit("overridden").alias("decision")).distinct()
     g = review.escalation_gate(d.join(ovr, "patient_id", "left"), decision_col="decision")
@@ -316,14 +318,26 @@ def q_history_text(spark, sf_dir):
     return review.history_text(_enc(spark, sf_dir)).select("patient_id", "history_text")
 
 
+#: Decision columns that a review prompt shows or is gated by.
+PROMPT_COLUMNS = ["patient_id", "predicted_acuity", "true_acuity", "safety_rail_triggered", "has_feature_conflict", "age", "sex",
+                  "chief_complaint_raw", "mental_status_triage", "confidence_pct", "model", "heart_rate", "systolic_bp",
+                  "diastolic_bp", "respiratory_rate", "temperature_c", "spo2", "gcs_total", "pain_score", "news2_score",
+                  "hx_heart_failure", "hx_copd", "hx_dementia", "hx_hypertension", "p1", "p2", "p3", "p4", "p5"]
+
+
 @query("review_prompts")
 def q_review_prompts(spark, sf_dir):
-    p = review.review_prompts(decided(spark, sf_dir))
+    p = review.review_prompts(decided(spark, sf_dir, *PROMPT_COLUMNS))
     return p.select("patient_id", "reason_code", "prompt")
 
 
+#: Decision columns that the explanation texts are made of.
+RESPONSE_COLUMNS = ["event_id", "patient_id", "predicted_acuity", "age", "sex", "chief_complaint_raw", "confidence_pct",
+                    "conflict_reasons", "safety_rail_reasons"]
+
+
 def response_table(spark, sf_dir) -> DataFrame:
-    return tables.explanation_texts(decided(spark, sf_dir)).unionByName(tables.conversation_texts(spark, sf_dir))
+    return tables.explanation_texts(decided(spark, sf_dir, *RESPONSE_COLUMNS)).unionByName(tables.conversation_texts(spark, sf_dir))
 
 
 @query("parsed_responses")
@@ -347,14 +361,32 @@ def events_table(spark, sf_dir) -> DataFrame:
 
 @query("feedback_events")
 def q_feedback_events(spark, sf_dir):
-    e = events_table(spark, sf_dir)
+    e = feedback.feedback_events(decided(spark, sf_dir, *FEEDBACK_COLUMNS), actions_table(spark, sf_dir))
     return e.select("patient_id", "event_type", "feedback_type", "final_label", "override_reason", "override_ktas",
                     F.col("patient.predicted_acuity").alias("shown_acuity"))
 
 
 def flat_table(spark, sf_dir) -> DataFrame:
-    """The 99-column table, stored once as Parquet; each report scans only the columns it uses."""
-    return materialized(feedback.feedback_flat(events_table(spark, sf_dir)))
+    """The 99-column table."""
+    flat = feedback.feedback_flat(events_table(spark, sf_dir))
+    return stage(spark, [tables.table_path(sf_dir, "events")], "feedback", flat.columns, lambda: flat)
+
+
+#: What the feedback reports read of a decision, and of the flat table.
+FEEDBACK_COLUMNS = ["patient_id", "original_acuity", "predicted_acuity", "confidence_state", "has_feature_conflict",
+                    "safety_rail_triggered", "safety_rail_reasons"]
+FLAT_COLUMNS = ["patient_id", "feedback_type", "final_label", "override_reason", "guardrail_acuity",
+                "model_predicted_acuity", "safety_rail_reasons", "safety_rail_triggered", "has_feature_conflict"]
+
+
+def flat_core(spark, sf_dir) -> DataFrame:
+    """The few columns of the flat table that the reports use, stored once for all of them."""
+    inputs = [tables.table_path(sf_dir, "events")]
+
+    def make() -> DataFrame:
+        shown = decided(spark, sf_dir, *FEEDBACK_COLUMNS)
+        return feedback.feedback_flat(feedback.feedback_events(shown, actions_table(spark, sf_dir)))
+    return stage(spark, inputs, "feedback", FLAT_COLUMNS, make)
 
 
 @query("feedback_flat")
@@ -364,63 +396,63 @@ def q_feedback_flat(spark, sf_dir):
 
 @query("override_rows")
 def q_override_rows(spark, sf_dir):
-    return feedback.override_rows(flat_table(spark, sf_dir))
+    return feedback.override_rows(flat_core(spark, sf_dir))
 
 
 @query("override_matrix")
 def q_override_matrix(spark, sf_dir):
-    return feedback.override_matrix(feedback.override_rows(flat_table(spark, sf_dir)))
+    return feedback.override_matrix(feedback.override_rows(flat_core(spark, sf_dir)))
 
 
 @query("override_matrix_dense")
 def q_override_matrix_dense(spark, sf_dir):
-    return feedback.override_matrix_dense(feedback.override_rows(flat_table(spark, sf_dir)))
+    return feedback.override_matrix_dense(feedback.override_rows(flat_core(spark, sf_dir)))
 
 
 @query("override_summary")
 def q_override_summary(spark, sf_dir):
-    return _round_doubles(feedback.override_summary(feedback.override_rows(flat_table(spark, sf_dir))))
+    return _round_doubles(feedback.override_summary(feedback.override_rows(flat_core(spark, sf_dir))))
 
 
 @query("rail_reasons")
 def q_rail_reasons(spark, sf_dir):
-    return feedback.rail_reasons(feedback.override_rows(flat_table(spark, sf_dir)))
+    return feedback.rail_reasons(feedback.override_rows(flat_core(spark, sf_dir)))
 
 
 @query("feedback_stats")
 def q_feedback_stats(spark, sf_dir):
-    return feedback.feedback_stats(flat_table(spark, sf_dir))
+    return feedback.feedback_stats(flat_core(spark, sf_dir))
 
 
 @query("dashboard_kpis")
 def q_dashboard_kpis(spark, sf_dir):
     enc = _enc(spark, sf_dir)
-    return _round_doubles(feedback.dashboard_kpis(decided(spark, sf_dir), actions_table(spark, sf_dir),
+    return _round_doubles(feedback.dashboard_kpis(decided(spark, sf_dir, "patient_id", "confidence", "is_emergency", "predicted_acuity", "true_acuity"), actions_table(spark, sf_dir),
                                                   tables.explanation_events(enc)))
 
 
 @query("pending_queue")
 def q_pending_queue(spark, sf_dir):
-    q = review.pending_queue(decided(spark, sf_dir), actions_table(spark, sf_dir))
+    q = review.pending_queue(decided(spark, sf_dir, "patient_id", "predicted_acuity", "label", "confidence_pct", "is_emergency", "safety_rail_triggered"), actions_table(spark, sf_dir))
     return q.select("patient_id", "predicted_acuity", "label", "confidence_pct", "safety_rail_triggered")
 
 
 @query("review_backlog")
 def q_review_backlog(spark, sf_dir):
     enc = _enc(spark, sf_dir)
-    b = review.review_backlog(decided(spark, sf_dir), tables.explanation_events(enc), actions_table(spark, sf_dir))
+    b = review.review_backlog(decided(spark, sf_dir, "patient_id", "predicted_acuity", "true_acuity", "safety_rail_triggered", "has_feature_conflict"), tables.explanation_events(enc), actions_table(spark, sf_dir))
     return b.select("patient_id", "predicted_acuity", "true_acuity", "safety_rail_triggered", "has_feature_conflict")
 
 
 @query("enriched_records")
 def q_enriched_records(spark, sf_dir):
-    m = feedback.merge_history(decided(spark, sf_dir))
+    m = feedback.merge_history(decided(spark, sf_dir, "patient_id", "predicted_acuity", "hx_copd", "hx_dementia", "hx_heart_failure", "hx_hypertension"))
     return m.select("patient_id", "predicted_acuity", *[c for c in m.columns if c.startswith("hx_")])
 
 
 @query("records_with_review")
 def q_records_with_review(spark, sf_dir):
-    d = decided(spark, sf_dir)
+    d = decided(spark, sf_dir, *RESPONSE_COLUMNS)
     parsed = review.parse_responses(tables.explanation_texts(d)).withColumnRenamed("response_id", "patient_id")
     enc = _enc(spark, sf_dir)
     expl = tables.explanation_events(enc).join(parsed, "patient_id", "inner")
@@ -439,10 +471,10 @@ MODEL_NUMERIC = ["age", "heart_rate", "systolic_bp", "diastolic_bp", "respirator
 MODEL_CATEGORICAL = ["sex", "mental_status_triage"]
 
 
-def scored(spark, sf_dir) -> DataFrame:
-    """Model output of the fixture: raw argmax class and class scores, with the truth."""
-    return decided(spark, sf_dir).select("patient_id", "true_acuity", F.col("original_acuity").alias("predicted_acuity"),
-                                         "p1", "p2", "p3", "p4", "p5")
+def scored(spark, sf_dir, *scores: str) -> DataFrame:
+    """Model output of the fixture: raw argmax class and the named class scores, with the truth."""
+    return decided(spark, sf_dir, "true_acuity", "original_acuity", *scores).withColumnRenamed(
+        "original_acuity", "predicted_acuity")
 
 
 @query("confusion_matrix")
@@ -457,7 +489,7 @@ def q_classification_report(spark, sf_dir):
 
 @query("macro_auc")
 def q_macro_auc(spark, sf_dir):
-    return _round_doubles(evaluate.macro_auc(scored(spark, sf_dir)))
+    return _round_doubles(evaluate.macro_auc(scored(spark, sf_dir, "p1", "p2", "p3", "p4", "p5")))
 
 
 @query("emergency_accuracy")
@@ -470,13 +502,15 @@ def q_distribution_compare(spark, sf_dir):
     return evaluate.distribution_compare(scored(spark, sf_dir))
 
 
-def split_training(spark, sf_dir) -> DataFrame:
-    return materialized(preprocess.stratified_split(training_frame(spark, sf_dir), "triage_acuity", "patient_id"))
+def split_training(spark, sf_dir, *columns: str) -> DataFrame:
+    """The training rows' named columns (all without names) and their ``split``, stored once for their readers."""
+    return stage(spark, [tables.table_path(sf_dir, "events")], "training", [*(columns or TRAINING_COLUMNS), "split"],
+                 lambda: preprocess.stratified_split(training_frame(spark, sf_dir), "triage_acuity", "patient_id"))
 
 
 @query("stratified_split")
 def q_stratified_split(spark, sf_dir):
-    return split_training(spark, sf_dir).select("patient_id", "triage_acuity", "split")
+    return split_training(spark, sf_dir, "patient_id", "triage_acuity")
 
 
 @query("stratified_sample")
@@ -487,12 +521,12 @@ def q_stratified_sample(spark, sf_dir):
 
 @query("class_weights")
 def q_class_weights(spark, sf_dir):
-    return _round_doubles(evaluate.class_weights(split_training(spark, sf_dir).filter(F.col("split") == "train")))
+    return _round_doubles(evaluate.class_weights(split_training(spark, sf_dir, "triage_acuity").filter(F.col("split") == "train")))
 
 
 @query("impute_scale")
 def q_impute_scale(spark, sf_dir):
-    df = split_training(spark, sf_dir)
+    df = split_training(spark, sf_dir, "patient_id", *MODEL_NUMERIC)
     fitted = preprocess.fit_impute_scale(df.filter(F.col("split") == "train"), MODEL_NUMERIC)
     out = preprocess.apply_impute_scale(df, fitted, MODEL_NUMERIC)
     return _round_doubles(out.select("patient_id", "split", *MODEL_NUMERIC))
@@ -500,7 +534,7 @@ def q_impute_scale(spark, sf_dir):
 
 @query("one_hot")
 def q_one_hot(spark, sf_dir):
-    df = split_training(spark, sf_dir)
+    df = split_training(spark, sf_dir, "patient_id", *MODEL_CATEGORICAL)
     cats = preprocess.fit_categories(df.filter(F.col("split") == "train"), MODEL_CATEGORICAL)
     out = preprocess.one_hot(df, cats, MODEL_CATEGORICAL)
     return out.select("patient_id", *[c for c in out.columns if any(c.startswith(f"{m}_") for m in MODEL_CATEGORICAL)])

@@ -90,3 +90,11 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
 def delete_folder(spark: SparkSession, path: str) -> None:
     fs, p = _folder(spark, path)
     fs.delete(p, True)
+
+
+def folder_entries(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, bytes, time) of a file, or of the files right in a folder; sorted."""
+    fs, p = _folder(spark, path)
+    if not fs.exists(p):
+        return []
+    return sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p))

@@ -33,6 +33,7 @@ def main() -> None:
     from acurail.session import get_session
     spark = get_session(f"local[{cpus}]", app="acurail-bench", shuffle_partitions=max(8, 2 * cpus))
     from acurail.plans.queries import QUERIES
+    from acurail.stages import release
 
     if os.environ.get("BENCH_WARMUP", "1") != "0":
         for name in HEADLINE:
@@ -42,6 +43,7 @@ def main() -> None:
     for name in HEADLINE:
         # No cached data may carry over from the warm-up pass or an earlier query.
         spark.catalog.clearCache()
+        release(spark)
         t0 = time.perf_counter()
         df = QUERIES[name](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
