@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import unicodedata
 
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,46 +164,53 @@ def grams(tok: F.Column) -> F.Column:
     return F.concat(tok, F.filter(pairs, lambda x: x.isNotNull()))
 
 
-def term_counts(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, term, tf) for unigrams and bigrams of each document (whole text)."""
-    # Documents are dealt out by their key first: counting a document's terms and its norm both reuse that
-    # partitioning, so the far larger (doc, term) rows never move.
-    tok = docs.select(key, text_col).repartition(key).select(key, tokens(text_col).alias("tok"))
-    # The token array is only referenced outside lambdas, so it is never recomputed per element.
-    return tok.select(key, F.explode(grams(F.col("tok"))).alias("term")).groupBy(key, "term").agg(
-        F.count(F.lit(1)).alias("tf"))
-
-
-def tfidf_corpus(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Fit and transform one corpus. The vocabulary (at most ``max_features`` rows) is stored; the (doc, term)
-    counts are taken again for the weights, which is cheaper than keeping them. Returns (vocab, weights)."""
-    vocab = stored(fit_tfidf(docs, key, text_col), "vocabulary")
-    return vocab, tfidf_weights(docs, vocab, key, text_col)
-
-
 def fit_tfidf(train_docs: DataFrame, key: str = "doc_id", text_col: str = "text",
-              max_features: int = TFIDF_MAX_FEATURES, min_df: int = TFIDF_MIN_DF,
-              counts: DataFrame | None = None) -> DataFrame:
+              max_features: int = TFIDF_MAX_FEATURES, min_df: int = TFIDF_MIN_DF) -> DataFrame:
     """K3 fit: vocabulary (top ``max_features`` by corpus frequency, ties by term, df >= min_df)
     with smooth idf = ln((1 + n) / (1 + df)) + 1. Returns (term, idf), at most max_features rows.
-    ``counts`` may pass precomputed ``term_counts`` (shared with the transform)."""
-    tc = counts if counts is not None else term_counts(train_docs, key, text_col)
-    n_docs = train_docs.count()
-    stats = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")) \
-        .filter(F.col("df") >= min_df)
+
+    Grams are taken inside the row and summed map-side by term; no text is shuffled.
+    """
+    # The gram array is only referenced outside lambdas, so it is never recomputed per element.
+    g = train_docs.select(grams(tokens(text_col)).alias("g"))
+    each = F.array(F.struct(F.col("g").alias("g"), F.lit(1).alias("cf"), F.lit(0).alias("df")),
+                   F.struct(F.array_distinct("g").alias("g"), F.lit(0).alias("cf"), F.lit(1).alias("df")))
+    terms = g.select(F.inline(each)).select(F.explode("g").alias("term"), "cf", "df")
+    stats = terms.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).filter(F.col("df") >= min_df)
     vocab = stats.orderBy(F.col("cf").desc(), F.col("term")).limit(max_features)
-    return vocab.select("term", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf"))
+    return vocab.select("term", (F.log((1 + F.lit(train_docs.count())) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def tfidf_weights(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text_col: str = "text",
-                  counts: DataFrame | None = None) -> DataFrame:
-    """K3 transform: sublinear tf (1 + ln tf) * idf, L2-normalised per document; (doc, term, weight).
+def tfidf_vector(df: DataFrame, text_col: str, vocab_rows: list[tuple[str, float]]) -> DataFrame:
+    """Add ``_tfidf``: sublinear tf x idf over a fixed vocabulary, L2-normalised (zero if no term occurs).
 
-    The vocabulary has at most ``max_features`` rows, so broadcasting it is
-    size-safe; the per-document norm is a window bounded by the vocabulary.
+    Row-local. Terms are counted by Spark ML's ``CountVectorizerModel`` (one
+    lookup per gram); the weights are one pass over its vector.
     """
-    tc = (counts if counts is not None else term_counts(docs, key, text_col)).join(
-        F.broadcast(vocab), "term", "inner")
-    w = tc.withColumn("w", (1 + F.log(F.col("tf"))) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return w.select(key, "term", (F.col("w") / norm).alias("weight"))
+    if not vocab_rows:
+        return df.withColumn("_tfidf", array_to_vector(F.array().cast("array<double>")))
+    counter = CountVectorizerModel.from_vocabulary([t for t, _ in vocab_rows], inputCol="_grams", outputCol="_tf")
+    out = counter.transform(df.withColumn("_grams", grams(tokens(text_col))))
+    idf = F.array(*[F.lit(i) for _, i in vocab_rows])
+    weights = F.zip_with(vector_to_array("_tf"), idf,
+                         lambda n, i: F.when(n > 0, (1 + F.log(n)) * i).otherwise(F.lit(0.0)))
+    out = out.withColumn("_weights", array_to_vector(weights))
+    return Normalizer(inputCol="_weights", outputCol="_tfidf", p=2.0).transform(out).drop("_grams", "_tf", "_weights")
+
+
+def tfidf_weights(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """K3 transform: (doc, term, weight) of the terms that occur, sublinear tf (1 + ln tf) * idf, L2-normalised per row.
+
+    The vocabulary (at most ``max_features`` rows) is model state, kept as literals.
+    """
+    rows = sorted((r["term"], float(r["idf"])) for r in vocab.collect())
+    out = tfidf_vector(docs.select(key, text_col), text_col, rows).select(
+        key, F.posexplode(vector_to_array("_tfidf")).alias("i", "weight")).filter("weight <> 0")
+    names = F.array(*[F.lit(t) for t, _ in rows]) if rows else F.array().cast("array<string>")
+    return out.select(key, F.get(names, F.col("i")).alias("term"), "weight")
+
+
+def tfidf_corpus(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Fit and transform one corpus; (vocabulary, weights)."""
+    vocab = stored(fit_tfidf(docs, key, text_col), "vocabulary")
+    return vocab, tfidf_weights(docs, vocab, key, text_col)

@@ -113,3 +113,22 @@ def column_profile(df: DataFrame, categorical: list[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                       for c in present])
     return df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def column_list(df: DataFrame, key: str, rows: int = 5) -> DataFrame:
+    """(column, position, type, nulls, head) of every column; ``head`` is the JSON of its first ``rows`` values
+    by ``key``, as text. Null counts are one aggregate, the head a bounded top-k."""
+    fields = [f for f in df.schema.fields]
+    nulls = df.agg(*[F.count_if(F.col(f.name).isNull()).alias(f"n{i}") for i, f in enumerate(fields)])
+    order = F.col(key).alias("k")
+    top = df.select(order, *[F.col(f.name).cast("string").alias(f"v{i}") for i, f in enumerate(fields)]).orderBy("k").limit(rows)
+
+    def first(name: str):
+        return F.transform(F.array_sort(F.collect_list(F.struct("k", name))),
+                           lambda s: F.coalesce(s[name], F.lit("null")))
+
+    head = top.agg(*[first(f"v{i}").alias(f"h{i}") for i in range(len(fields))])  # at most ``rows`` values
+    out = F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(i).alias("position"),
+                             F.lit(f.dataType.simpleString()).alias("type"), F.col(f"n{i}").alias("nulls"),
+                             F.to_json(f"h{i}").alias("head")) for i, f in enumerate(fields)])
+    return nulls.crossJoin(head).select(F.inline(out))  # one row each

@@ -423,6 +423,21 @@ SELECT "column", value, CAST(count(*) AS BIGINT) AS n FROM (
   UNION ALL SELECT 'mental_status_triage', mental_status_triage FROM encounters) u GROUP BY 1, 2"""))
 
 
+# FIXED VALUES: columns of the encounter view and their types.
+_ENCOUNTER_TYPES = {
+    "event_id": "bigint", "patient_id": "string", "run_id": "string", "arrival_ts": "timestamp_ntz", "triage_acuity": "int",
+    "age": "int", "sex": "string", "mental_status_triage": "string", "heart_rate": "double", "systolic_bp": "double",
+    "diastolic_bp": "double", "respiratory_rate": "double", "temperature_c": "double", "spo2": "double", "gcs_total": "int",
+    "pain_score": "int", "news2_score": "int", "hx_heart_failure": "int", "hx_copd": "int", "hx_dementia": "int",
+    "hx_hypertension": "int", "chief_complaint_raw": "string",
+}
+register("column_list", with_encounters(" UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", {i} AS position, '{t}' AS type, CAST(count(*) - count({c}) AS BIGINT) AS nulls,
+  (SELECT CAST(to_json(list(coalesce(CAST({c} AS VARCHAR), 'null') ORDER BY patient_id)) AS VARCHAR)
+   FROM (SELECT patient_id, {c} FROM encounters ORDER BY patient_id LIMIT 5) h) AS head
+FROM encounters""" for i, (c, t) in enumerate(_ENCOUNTER_TYPES.items()))))
+
+
 # ---------------------------------------------------------------- metrics
 MSG_CTES = (
     f"messages AS ({MESSAGES_SQL})",
@@ -985,6 +1000,41 @@ TFIDF_CTES = (
     SELECT term, count(*) AS df, sum(tf) AS cf FROM tfs GROUP BY term HAVING count(*) >= 2
     ORDER BY cf DESC, term LIMIT 300) v)""",
 )
+_FIT = (
+    "med AS (SELECT " + ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS {c}_med" for c in _MN)
+    + " FROM split WHERE split = 'train')",
+    "fit AS (SELECT med.*, " + ", ".join(
+        f"avg(coalesce(CAST(s.{c} AS DOUBLE), med.{c}_med)) AS {c}_mean, "
+        f"CASE WHEN stddev_pop(coalesce(CAST(s.{c} AS DOUBLE), med.{c}_med)) > 0 "
+        f"THEN stddev_pop(coalesce(CAST(s.{c} AS DOUBLE), med.{c}_med)) ELSE 1.0 END AS {c}_scale" for c in _MN)
+    + " FROM split s CROSS JOIN med WHERE s.split = 'train' GROUP BY ALL)")
+
+
+def _mode(c: str) -> str:
+    return (f"(SELECT {c} FROM split WHERE split = 'train' AND {c} IS NOT NULL GROUP BY {c} "
+            f"ORDER BY count(*) DESC, {c} LIMIT 1)")
+
+
+register("training_features", with_encounters(
+    " UNION ALL ".join(
+        f"SELECT patient_id, '{c}' AS feature, "
+        f"{rnd(f'(coalesce(CAST({c} AS DOUBLE), f.{c}_med) - f.{c}_mean) / f.{c}_scale', 6)} AS value "
+        "FROM split CROSS JOIN fit f" for c in _MN)
+    + "".join(f" UNION ALL SELECT s.patient_id, '{c}_' || k.v, 1.0 FROM split s JOIN (SELECT DISTINCT {c} AS v FROM split "
+              f"WHERE split = 'train' AND {c} IS NOT NULL) k ON coalesce(s.{c}, {_mode(c)}) = k.v"
+              for c in ("sex", "mental_status_triage"))
+    + f""" UNION ALL SELECT patient_id, 'tfidf::' || term, {rnd('w / sqrt(sum(w * w) OVER (PARTITION BY patient_id))', 6)}
+FROM (SELECT t.patient_id, t.term, (1 + ln(t.tf)) * v.idf AS w FROM ctfs t JOIN cvocab v USING (term)) x""",
+    *TRAIN_CTES, *_FIT,
+    "cdocs AS (SELECT patient_id, split, regexp_extract_all(strip_accents(lower(coalesce(chief_complaint_raw, ''))), "
+    "'[a-zA-Z]{2,}') AS tok FROM split)",
+    "cgrams AS (SELECT patient_id, split, unnest(tok || [tok[i] || ' ' || tok[i + 1] for i in range(1, len(tok))]) AS term "
+    "FROM cdocs)",
+    "ctfs AS (SELECT patient_id, split, term, count(*) AS tf FROM cgrams GROUP BY ALL)",
+    "cvocab AS (SELECT term, ln((1 + (SELECT count(*) FROM split WHERE split = 'train')) / (1 + df)) + 1 AS idf FROM ("
+    "SELECT term, count(*) AS df, sum(tf) AS cf FROM ctfs WHERE split = 'train' GROUP BY term HAVING count(*) >= 2 "
+    "ORDER BY cf DESC, term LIMIT 300) v)"))
+
 register("tfidf_vocabulary", with_encounters(f"SELECT term, {rnd('idf', 6)} AS idf FROM vocab", *TFIDF_CTES))
 register("tfidf_weights", with_encounters(f"""
 SELECT doc_id, term, {rnd('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))', 6)} AS weight FROM (

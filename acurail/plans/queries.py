@@ -205,6 +205,11 @@ def q_column_profile(spark, sf_dir):
     return profile.column_profile(_enc(spark, sf_dir), ["sex", "mental_status_triage"])
 
 
+@query("column_list")
+def q_column_list(spark, sf_dir):
+    return profile.column_list(_enc(spark, sf_dir).drop("p1", "p2", "p3", "p4", "p5"), "patient_id")
+
+
 # ---------------------------------------------------------------- metrics
 from acurail.operators import metrics  # noqa: E402
 
@@ -558,6 +563,14 @@ def q_tfidf_vocabulary(spark, sf_dir):
 # ---------------------------------------------------------------- training and scoring
 from acurail.operators import training  # noqa: E402
 
+@query("training_features")
+def q_training_features(spark, sf_dir):
+    """K4: the model's feature vectors of all training rows, fitted on the train part."""
+    df = split_training(spark, sf_dir, "patient_id", *MODEL_NUMERIC, *MODEL_CATEGORICAL, "chief_complaint_raw")
+    state = training.fit_features(df.filter(F.col("split") == "train"), MODEL_NUMERIC, MODEL_CATEGORICAL)
+    return _round_doubles(training.feature_rows(df, state))
+
+
 # Labelled rows that the registered queries fit boosted trees on; all 500 rounds are run.
 MAX_BOOSTED_ROWS = 2_000
 _MODELS: dict = {}
