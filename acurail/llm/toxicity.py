@@ -56,20 +56,21 @@ class Model:
 
     def scorer(self):
         """text -> probability; remembers which features each word has, in a bounded memory."""
-        memory: dict[str, tuple[str, ...]] = {}
-        weights, bias = self.weights, self.bias
+        memory: dict[str, tuple[int, ...]] = {}
+        number = {f: i for i, f in enumerate(self.weights)}
+        weights, bias = list(self.weights.values()), self.bias
 
-        def known(word: str) -> tuple[str, ...]:
+        def known(word: str) -> tuple[int, ...]:
             hits = memory.get(word)
             if hits is None:
                 if len(memory) >= 200_000:
                     memory.clear()
-                hits = memory[word] = tuple(f for f in word_features(word) if f in weights)
+                hits = memory[word] = tuple(number[f] for f in word_features(word) if f in number)
             return hits
 
         def score(text: str | None) -> float:
-            hits = {f for w in words_of(text) for f in known(w)}
-            z = bias + math.fsum(weights[f] for f in hits)
+            hits = {i for w in words_of(text) for i in known(w)}
+            z = bias + math.fsum(weights[i] for i in hits)
             return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, z))))
 
         return score
@@ -169,7 +170,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
 
     @F.arrow_udf("array<string>")
     def distinct_features(values: pa.Array) -> pa.Array:
-        return pa.array([sorted(features_of(x.as_py())) for x in values], pa.list_(pa.string()))
+        kind = pa.list_(pa.string())  # texts have thousands of features, so few are held as Python objects at a time
+        return pa.concat_arrays([pa.array([], kind), *[
+            pa.array([sorted(features_of(x.as_py())) for x in values.slice(at, 50)], kind)
+            for at in range(0, len(values), 50)]])
 
     ids = confirmed.unionByName(anything)  # bounded by max_positive + max_unlabelled
     sample = staged(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(
