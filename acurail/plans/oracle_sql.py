@@ -739,6 +739,7 @@ SELECT a.patient_id, 'clinician_feedback' AS event_type,
 FROM actions a JOIN dec d USING (patient_id)
 WHERE a.action = 'accept' OR a.patient_id IN (SELECT patient_id FROM overridden)""", *ACT_CTES))
 
+# FIXED VALUES: columns of the flat feedback table and the expressions behind them.
 _FB_COLUMNS = (
     ["patient_id", "timestamp", "processed_at", "feedback_type"]
     + ["final_label", "override_reason", "model_predicted_acuity", "guardrail_acuity", "original_acuity", "true_acuity"]
