@@ -10,12 +10,15 @@ parsed as data.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acurail.constants import (
     ABNORMAL_VITAL_CHECKS, ACUITY_CLINICAL, ACUITY_LABELS, ACUITY_SHORT_LABEL, GATE_CONFLICT_LABEL,
-    GATE_KTAS_RAIL_CODE, GATE_NONE, GATE_OVERRIDE, GATE_VITAL_RAILS, RESPONSE_SECTIONS,
+    GATE_KTAS_RAIL_CODE, GATE_NONE, GATE_OVERRIDE, GATE_VITAL_RAILS, PROMPT, PROMPT_CONFLICT, PROMPT_CONFLICT_SENTENCE,
+    PROMPT_CONFLICT_TASK, PROMPT_NO_ABNORMAL, PROMPT_TRIGGER, RESPONSE_SECTIONS,
 )
 from acurail.functions.columns import acuity_lookup, fmt_fixed, safe_double
 
@@ -149,6 +152,14 @@ def _prob_lines(df: DataFrame) -> Column:
         F.lit("%  "), F.repeat(F.lit("█"), F.floor(e["p"] * 25).cast("int")), F.lit("\n"))), "")
 
 
+def _filled(template: str, slots: dict[str, Column]) -> Column:
+    """``template`` with its slots filled; one ``%s`` template keeps the generated code small (a long
+    concat of literals and expressions exceeds what Janino compiles in one method)."""
+    names = re.findall(r"\{(\w+)\}", template)
+    text = re.sub(r"\{\w+\}", "%s", template.replace("%", "%%"))
+    return F.format_string(text, *[F.coalesce(slots[n].cast("string"), F.lit("null")) for n in names])
+
+
 def _none_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("None"))
 
@@ -166,17 +177,14 @@ def review_prompts(df: DataFrame, only_escalated: bool = True) -> DataFrame:
     clinical = acuity_lookup(level, ACUITY_CLINICAL, F.lit(""))
     true = F.col("true_acuity")
     conflict = true.isNotNull() & (true.cast("int") != level.cast("int"))
-    conflict_block = F.when(conflict, F.concat(
-        F.lit("\n⚠ ACUITY CONFLICT DETECTED:\n  ML predicted : KTAS "), lvl, F.lit(" — "), label,
-        F.lit("\n  Ground truth : KTAS "), true.cast("string"), F.lit(" — "),
-        acuity_lookup(true.cast("int"), ACUITY_SHORT_LABEL, true.cast("string")),
-        F.lit("\n  → Address this discrepancy directly in your ESCALATION_REASON.\n"))).otherwise(F.lit(""))
-    esc_block = F.when(F.col("reason_code") != "NONE", F.concat(
-        F.lit("\n🔔 REVIEW TRIGGERED BY: "), F.col("reason_label"), F.lit("\n   "), F.col("reason_detail"),
-        F.lit("\n"))).otherwise(F.lit(""))
+    true_label = acuity_lookup(true.cast("int"), ACUITY_SHORT_LABEL, true.cast("string"))
+    conflict_block = F.when(conflict, _filled(PROMPT_CONFLICT, {
+        "level": lvl, "label": label, "true": true, "true_label": true_label})).otherwise(F.lit(""))
+    trigger = F.when(F.col("reason_code") != "NONE", _filled(PROMPT_TRIGGER, {
+        c: F.col(c) for c in ("reason_label", "reason_detail")})).otherwise(F.lit(""))
     ab = F.col("abnormal_vitals")
     abnormal_str = F.when(F.size(ab) > 0, F.array_join(F.transform(ab, lambda x: F.concat(F.lit("  ⚠ "), x)), "\n")) \
-        .otherwise(F.lit("  (no obvious vital sign derangements detected)"))
+        .otherwise(F.lit(PROMPT_NO_ABNORMAL))
     complaint = F.coalesce(_falsy_null(_col_or_null(df, "chief_complaint")),
                            _falsy_null(_col_or_null(df, "chief_complaint_raw")), F.lit("Not recorded"))
 
@@ -187,56 +195,16 @@ def review_prompts(df: DataFrame, only_escalated: bool = True) -> DataFrame:
             return _none_text(F.col(name))
         return F.lit("?") if name in ("age", "sex") else F.lit("None")
 
-    conf_line = F.when(conflict, F.lit("Also explain the CONFLICT between predicted and ground-truth acuity.")) \
-        .otherwise(F.lit(""))
-    conf_sentence = F.when(conflict, F.lit("Include one sentence on the acuity conflict and its likely cause.")) \
-        .otherwise(F.lit(""))
     confidence = F.coalesce(F.col("confidence_pct"), F.lit("?")) if "confidence_pct" in df.columns else F.lit("?")
     model = F.coalesce(F.col("model"), F.lit("None")) if "model" in df.columns else F.lit("ML model")
-    parts = [
-        "You are a senior emergency medicine physician reviewing a machine learning triage decision.\n",
-        conflict_block, esc_block,
-        "\n═══ ML MODEL DECISION ═══\nModel     : ", model,
-        "\nPrediction: KTAS ", lvl, " — ", label,
-        "\nDefinition: ", clinical,
-        "\nConfidence: ", confidence,
-        "\n\n═══ PATIENT DATA ═══\nChief Complaint : ", complaint,
-        "\nAge / Sex       : ", vit("age"), "y, ", vit("sex"),
-        "\n\nVital Signs:\n  Heart Rate       : ", vit("heart_rate"), " bpm",
-        "\n  Blood Pressure   : ", vit("systolic_bp"), "/", vit("diastolic_bp"), " mmHg",
-        "\n  SpO2             : ", vit("spo2"), "%",
-        "\n  Respiratory Rate : ", vit("respiratory_rate"), " breaths/min",
-        "\n  Temperature      : ", vit("temperature_c"), "°C",
-        "\n  GCS Total        : ", vit("gcs_total"), "/15",
-        "\n  Pain Score       : ", vit("pain_score"), "/10",
-        "\n  NEWS2 Score      : ", vit("news2_score"),
-        "\n\nPre-computed Abnormal Vitals:\n", abnormal_str,
-        "\n\nModel Probability Distribution:\n", _prob_lines(df),
-        "\n═══ PATIENT HISTORY ═══\n", F.col("history_text"),
-        "\n\n═══ YOUR TASK ═══\nExplain WHY the ML model chose KTAS ", lvl, " for this patient.\n", conf_line,
-        "\nDo NOT re-classify or second-guess the model unless there is a documented conflict above.\n"
-        "Focus on which clinical findings — vitals, history, complaint — justify KTAS ", lvl, ".\n"
-        "Be concise, direct, and clinical.\n\n"
-        "Respond in EXACTLY this format — no preamble, no extra commentary:\n\n"
-        "ESCALATION_REASON:\n[2-3 sentences. Name the specific vitals or findings that are the strongest drivers\n"
-        "of KTAS ", lvl, ". Explain WHY each one matters clinically for this level.\n", conf_sentence,
-        "]\n\nPATIENT_SUMMARY:\n[1-2 sentences. Who is this patient, what is their acute picture, and what "
-        "relevant history bears on this presentation?]\n\n"
-        "RISK_FLAGS:\n- [Specific finding + clinical significance]\n- [Specific finding + clinical significance]\n"
-        "- [Third flag only if genuinely relevant — include comorbidity interactions if applicable]\n\n"
-        "CONFIDENCE_NOTE:\n[1 sentence. What does ", confidence,
-        " model confidence mean for clinical decision-making here?]",
-    ]
-    # One template with %s slots keeps the generated code small (a long concat
-    # of literals and expressions exceeds what Janino compiles in one method).
-    template, args = [], []
-    for p in parts:
-        if isinstance(p, str):
-            template.append(p.replace("%", "%%"))
-        else:
-            template.append("%s")
-            args.append(F.coalesce(p.cast("string"), F.lit("null")))
-    prompt = F.format_string("".join(template), *args)
+    vitals = ("age", "sex", "heart_rate", "systolic_bp", "diastolic_bp", "spo2", "respiratory_rate", "temperature_c",
+              "gcs_total", "pain_score", "news2_score")
+    prompt = _filled(PROMPT, {
+        "conflict": conflict_block, "trigger": trigger, "model": model, "level": lvl, "label": label, "clinical": clinical,
+        "confidence": confidence, "complaint": complaint, **{name: vit(name) for name in vitals},
+        "abnormal": abnormal_str, "probabilities": _prob_lines(df), "history": F.col("history_text"),
+        "conflict_task": F.when(conflict, F.lit(PROMPT_CONFLICT_TASK)).otherwise(F.lit("")),
+        "conflict_sentence": F.when(conflict, F.lit(PROMPT_CONFLICT_SENTENCE)).otherwise(F.lit(""))})
     return g.withColumn("prompt", prompt)
 
 

@@ -8,6 +8,10 @@ mismatch. ``fmtN(x)`` produce Python-compatible fixed-point text
 
 from __future__ import annotations
 
+import re
+
+from acurail import constants as const  # the fixed texts of the review prompt only
+
 # FIXED VALUES: FIXTURES.md section 1, the encounter view, verbatim.
 ENCOUNTERS_SQL = """
 SELECT e.event_id, concat('P', lpad(CAST(e.event_id AS VARCHAR(12)), 8, '0')) AS patient_id,
@@ -663,6 +667,50 @@ _HIST = """coalesce(nullif(concat_ws(chr(10),
 
 register("history_text", with_encounters(f"SELECT patient_id, {_HIST} AS history_text FROM encounters"))
 
+
+def _filled(template: str, **slots: str) -> str:
+    """SQL text of a prompt template: its literal parts and the SQL of its slots."""
+    parts = re.split(r"\{(\w+)\}", template)
+    sql = [f"coalesce(CAST({slots[x]} AS VARCHAR), 'None')" if i % 2 else "'" + x.replace("'", "''") + "'"
+           for i, x in enumerate(parts) if i % 2 or x]
+    return "(" + " || ".join(sql) + ")"
+
+
+def _short(x: str) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in const.ACUITY_SHORT_LABEL.items()) + " END"
+
+
+_PROMPT_SLOTS = {c: f"d.{c}" for c in (
+    "age", "heart_rate", "systolic_bp", "diastolic_bp", "spo2", "respiratory_rate", "temperature_c", "gcs_total",
+    "pain_score", "news2_score")}
+_DIFFERS = "d.triage_acuity <> d.final_acuity"
+_LEVEL = {"level": "d.final_acuity", "label": _short("d.final_acuity")}
+
+register("review_prompts", with_decisions(
+    f"""SELECT d.patient_id, g.reason_code, {_filled(
+        const.PROMPT, **_PROMPT_SLOTS, **_LEVEL, sex="coalesce(d.sex, 'None')", model="'unknown'",
+        conflict=f"CASE WHEN {_DIFFERS} THEN " + _filled(
+            const.PROMPT_CONFLICT, **_LEVEL, true="d.triage_acuity", true_label=_short("d.triage_acuity")) + " ELSE '' END",
+        trigger=_filled(const.PROMPT_TRIGGER, reason_label="g.reason_label", reason_detail="g.reason_detail"),
+        clinical="CASE d.final_acuity " + " ".join(
+            f"WHEN {k} THEN '{v}'" for k, v in const.ACUITY_CLINICAL.items()) + " END",
+        confidence=pct("d.s1"), complaint="coalesce(nullif(d.chief_complaint_raw, ''), 'Not recorded')",
+        abnormal=f"CASE WHEN len(a.items) = 0 THEN '{const.PROMPT_NO_ABNORMAL}' "
+                 "ELSE '  ⚠ ' || array_to_string(a.items, chr(10) || '  ⚠ ') END",
+        probabilities="pr.lines", history="a.history",
+        conflict_task=f"CASE WHEN {_DIFFERS} THEN '{const.PROMPT_CONFLICT_TASK}' ELSE '' END",
+        conflict_sentence=f"CASE WHEN {_DIFFERS} THEN '{const.PROMPT_CONFLICT_SENTENCE}' ELSE '' END")} AS prompt
+FROM dec d JOIN gate g USING (patient_id) JOIN shown a USING (patient_id) JOIN probs pr USING (patient_id)
+WHERE g.reason_code <> 'NONE'""",
+    # No clinician has acted yet when a prompt is written.
+    "overridden AS (SELECT patient_id FROM encounters WHERE false)", GATE_CTE,
+    f"""shown AS (SELECT patient_id, list_filter([{_abn_items()}], lambda x: x IS NOT NULL) AS items,
+  {_HIST} AS history FROM encounters)""",
+    f"""probs AS (SELECT patient_id, string_agg('  ' || rpad({_label('cls')}, 38, ' ') || ' '
+    || lpad({fmt('p * 100', 1)}, 5, ' ') || '%  ' || repeat('█', CAST(floor(p * 25) AS INT)) || chr(10), ''
+    ORDER BY p DESC, cls) AS lines
+  FROM (SELECT patient_id, cls, {rnd('p', 4)} AS p FROM ranked) x GROUP BY patient_id)"""))
+
 _SECTIONS = ["ESCALATION_REASON", "PATIENT_SUMMARY", "RISK_FLAGS", "CONFIDENCE_NOTE"]
 NL = "chr(10)"
 
