@@ -608,6 +608,26 @@ def q_train_gbt(spark, sf_dir):
     return trained(spark, sf_dir, ("Boosted Trees",))[1]
 
 
+#: Rounds and rate of the registered softmax fit: the same total step (20) as 500 rounds of 0.04.
+SOFTMAX_ROUNDS, SOFTMAX_RATE = 60, 1 / 3
+
+
+@query("train_softmax")
+def q_train_softmax(spark, sf_dir):
+    """K7 on all training rows: class, its test rows, and how many of them the model gets right."""
+    from acurail.operators.boosting import SoftmaxBoosting
+    split = split_training(spark, sf_dir)
+    train = split.filter(F.col("split") == "train")
+    state = training.fit_features(train, training.numeric_features(split, MODEL_NUMERIC), MODEL_CATEGORICAL)
+    rows = training.transform_features(split, state).select(
+        "split", "features", (F.col("triage_acuity") - 1).cast("double").alias("label_idx"))
+    model = SoftmaxBoosting(rounds=SOFTMAX_ROUNDS, rate=SOFTMAX_RATE).fit(rows.filter(F.col("split") == "train"))
+    told = model.transform(rows.filter(F.col("split") == "test"))
+    right = (F.col("prediction") == F.col("label_idx")).cast("long")
+    return told.groupBy((F.col("label_idx") + 1).cast("int").alias("triage_acuity")).agg(
+        F.count(F.lit(1)).alias("n_test"), F.sum(right).alias("n_right"))
+
+
 @query("model_selection")
 def q_model_selection(spark, sf_dir):
     return trained(spark, sf_dir, ALL_MODELS)[1]
