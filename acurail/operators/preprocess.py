@@ -7,7 +7,9 @@ pulled through the driver as data.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -121,20 +123,24 @@ def stratified_sample(df: DataFrame, label: str, key: str, n: int = 200, seed: i
 
 
 # ---------------------------------------------------------------- K3
+@cache
 def _accent_table() -> tuple[str, str]:
-    """Accent folding for the Latin blocks, derived from Unicode NFKD (1:1 mappings).
+    """Accent folding of all scripts, derived from Unicode NFKD: characters that become one Latin letter
+    (accented, full-width, superscript, mathematical).
 
     Combining marks stand at the end of the source without a counterpart, so ``translate`` deletes them and
-    decomposed text folds like precomposed text.
+    decomposed text folds like precomposed text. Other characters separate tokens, folded or not.
     """
-    src, dst = [], []
-    for cp in list(range(0x00C0, 0x0250)) + list(range(0x1E00, 0x1F00)):
+    letters, marks = {}, []
+    for cp in range(0x80, sys.maxunicode + 1):
         ch = chr(cp)
-        base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-        if len(base) == 1 and base != ch:
-            src.append(ch)
-            dst.append(base)
-    return "".join(src) + "".join(map(chr, range(0x0300, 0x0370))), "".join(dst)
+        if unicodedata.combining(ch):
+            marks.append(ch)
+        elif unicodedata.decomposition(ch):
+            base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
+            if len(base) == 1 and base.isascii() and base.isalpha():
+                letters[ch] = base
+    return "".join(letters) + "".join(marks), "".join(letters.values())
 
 
 def _ligatures() -> list[tuple[str, str]]:
@@ -147,12 +153,9 @@ def _ligatures() -> list[tuple[str, str]]:
     return found
 
 
-_ACC_FROM, _ACC_TO = _accent_table()
-
-
 def tokens(text_col: str = "text") -> F.Column:
     """Lower-case, fold accents, extract ``[a-zA-Z]{2,}`` tokens."""
-    t = F.translate(F.lower(F.coalesce(F.col(text_col), F.lit(""))), _ACC_FROM, _ACC_TO)
+    t = F.translate(F.lower(F.coalesce(F.col(text_col), F.lit(""))), *_accent_table())
     for letter, base in _ligatures():
         t = F.replace(t, F.lit(letter), F.lit(base))
     return F.regexp_extract_all(t, F.lit(f"({TFIDF_TOKEN_PATTERN})"), 1)

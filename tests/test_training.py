@@ -107,3 +107,15 @@ def test_accent_folding(spark):
     from acurail.operators.preprocess import tokens
     df = spark.createDataFrame([("cafe\u0301s Caf\u00e9s \ufb01n \u0133s \u00dcber",)], "text string")
     assert df.select(tokens().alias("t")).first()["t"] == ["cafes", "cafes", "fin", "ijs", "uber"]
+
+
+def test_folding_of_all_scripts(spark):
+    import unicodedata
+    from acurail.operators.preprocess import tokens
+    texts = ["\uff26\uff35\uff2c\uff2c width", "N\u00ba 1\u00aa x\u00aab", "a\u20d7b o\u0483k", "\U0001d400\U0001d41b bold",
+             "caf\u00e9 \u1e69 \u212bngstr\u00f6m", "\u0627\u0301 ab\u4e2dcd"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    import re
+    want = [re.findall("[a-zA-Z]{2,}", "".join(c for c in unicodedata.normalize("NFKD", t.lower())
+                                               if not unicodedata.combining(c))) for t in texts]
+    assert [r["t"] for r in df.select(tokens().alias("t")).collect()] == want
