@@ -211,31 +211,41 @@ def review_prompts(df: DataFrame, only_escalated: bool = True) -> DataFrame:
 def parse_responses(df: DataFrame, text_col: str = "response_text") -> DataFrame:
     """Split a sectioned explanation into reason, summary, flags and note.
 
-    A fold over the lines keeps (current section, four buffers). A header line
-    switches section and may carry inline text; other lines append to the
-    current section. Without a parsable reason the whole text becomes the
-    reason. ``error_code`` classifies error strings by their ``GROQ_*`` prefix.
+    Every line is read once (its text, the section that it heads, the inline
+    text of a header), so no pattern is matched again for each use. A fold over
+    these lines keeps (current section, four buffers): a header line switches
+    section and may carry inline text; other lines append to the current
+    section. Without a parsable reason the whole text becomes the reason.
+    ``error_code`` classifies error strings by their ``GROQ_*`` prefix.
     """
     raw = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(raw, PY_LINES)
-    init = F.struct(F.lit(None).cast("string").alias("cur"),
-                    *[F.lit("").alias(k) for k in RESPONSE_SECTIONS])
 
-    def step(acc, line):
-        stripped = py_strip(line)
+    named = "|".join(RESPONSE_SECTIONS)
+
+    def read(text):
+        # Only a line that names a section is looked at closely; ``stripped`` of the others is null.
+        return F.struct(text.alias("text"), F.when(text.rlike(named), py_strip(text)).alias("stripped"))
+
+    def headed(line):
         header = None
         for k in RESPONSE_SECTIONS:
-            m = stripped.startswith(k + ":") | (stripped == k)
+            m = line["stripped"].startswith(k + ":") | (line["stripped"] == k)
             header = F.when(m, F.lit(k)) if header is None else header.when(m, F.lit(k))
-        header = header.otherwise(F.lit(None).cast("string"))
-        fields = []
-        for k in RESPONSE_SECTIONS:
-            inline = py_strip(F.regexp_replace(stripped.substr(len(k) + 1, 1 << 30), "^:+", ""))
-            add = (F.when(header == k, F.when(inline != "", F.concat(inline, F.lit("\n"))).otherwise(F.lit("")))
-                   .when(header.isNull() & (acc["cur"] == k), F.concat(line, F.lit("\n")))
-                   .otherwise(F.lit("")))
-            fields.append(F.concat(acc[k], add).alias(k))
-        return F.struct(F.coalesce(header, acc["cur"]).alias("cur"), *fields)
+        return F.struct(line["text"].alias("text"), line["stripped"].alias("stripped"), header.alias("header"))
+
+    def with_inline(line):
+        inline = py_strip(F.regexp_replace(line["stripped"].substr(F.length(line["header"]) + 1, F.lit(1 << 30)), "^:+", ""))
+        return F.struct(line["header"].alias("header"), F.when(line["header"].isNull(), F.concat(line["text"], F.lit("\n")))
+                        .otherwise(F.when(inline != "", F.concat(inline, F.lit("\n"))).otherwise(F.lit(""))).alias("add"))
+
+    lines = F.transform(F.transform(F.transform(F.split(raw, PY_LINES), read), headed), with_inline)
+    init = F.struct(F.lit(None).cast("string").alias("cur"),
+                    *[F.lit("").alias(k) for k in RESPONSE_SECTIONS])
+
+    def step(acc, line):
+        cur = F.coalesce(line["header"], acc["cur"])
+        return F.struct(cur.alias("cur"), *[F.when(cur == k, F.concat(acc[k], line["add"])).otherwise(acc[k]).alias(k)
+                                            for k in RESPONSE_SECTIONS])
 
     parsed = F.aggregate(lines, init, step)
     out = df.withColumn("_p", parsed)
