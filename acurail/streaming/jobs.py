@@ -189,8 +189,11 @@ def run_counters(decisions: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- sinks
 def _write_batch(df: DataFrame, path: str, batch_id: int, fmt: str = "parquet") -> None:
-    """Idempotent per batch: each batch id owns one directory and is overwritten on replay."""
-    df.write.mode("overwrite").format(fmt).save(os.path.join(path, f"batch_id={batch_id}"))
+    """Idempotent per batch: each batch id owns one directory and is overwritten on replay. JSON is compressed."""
+    writer = df.write.mode("overwrite").format(fmt)
+    if fmt == "json":
+        writer = writer.option("compression", "gzip")
+    writer.save(os.path.join(path, f"batch_id={batch_id}"))
 
 
 def publisher(out_dir: str, name: str, kafka: dict[str, str] | None = None):
