@@ -69,7 +69,8 @@ class KeyedTable:
         places = self._places(known[-1] if known else None)
         before = self._read({b: places[b] for b in touched if b in places})
         rows = fold(before, changes).select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
-        (rows.withColumn(_BUCKET, bucket).hint("rebalance", _BUCKET).write.mode("overwrite").partitionBy(_BUCKET)
+        # The fold has just dealt the rows by key; dealing them again by bucket would move the whole table twice.
+        (rows.withColumn(_BUCKET, bucket).write.mode("overwrite").option("compression", "zstd").partitionBy(_BUCKET)
          .parquet(f"{self.path}/data/{batch_id}"))
         written = {int(n.split("=")[1]) for n in child_names(self.spark, f"{self.path}/data/{batch_id}")
                    if n.startswith(_BUCKET)}

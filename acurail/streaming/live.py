@@ -36,10 +36,11 @@ def _quarantine(out_dir: str, batch_id: int, *decoded: DataFrame) -> None:
 
 # ---------------------------------------------------------------- merged records
 MERGED = ("patient_id string, produced_at double, record string, explained_at double, "
-          "enrichment_requested_at double, note string")
+          "enrichment_requested_at double, note string, batch long")
 
 
 def merged_table(spark: SparkSession, out_dir: str) -> KeyedTable:
+    """A patient's record and explanation, and the last ``batch`` that told something of the patient."""
     return KeyedTable(spark, f"{out_dir}/merged", ["patient_id"], MERGED)
 
 
@@ -47,7 +48,8 @@ def _fold_merged(before: DataFrame, changes: DataFrame) -> DataFrame:
     record = F.when(F.col("record").isNotNull(), F.struct("produced_at", "record"))
     note = F.when(F.col("note").isNotNull(), F.struct("explained_at", "enrichment_requested_at", "note"))
     return before.unionByName(changes, allowMissingColumns=True).groupBy("patient_id").agg(
-        F.min(record).alias("r"), F.min(note).alias("n")).select("patient_id", "r.*", "n.*")
+        F.min(record).alias("r"), F.min(note).alias("n"), F.max("batch").alias("batch")).select(
+        "patient_id", "r.*", "n.*", "batch")
 
 
 def published(merged: DataFrame) -> DataFrame:
@@ -78,9 +80,10 @@ def start_merged_job(spark: SparkSession, source: str | DataFrame, out_dir: str,
             "patient_id", "produced_at", F.to_json(F.struct("*")).alias("record"))
         told = jobs.sound(notes).select("patient_id", "explained_at", "enrichment_requested_at",
                                         F.to_json("llm_explanation").alias("note"))
-        changes = made.unionByName(told, allowMissingColumns=True).persist()
+        changes = made.unionByName(told, allowMissingColumns=True).withColumn(
+            "batch", F.lit(batch_id).cast("long")).persist()
         _, after = merged_table(spark, out_dir).merge(batch_id, changes, _fold_merged)
-        publish(published(after.join(changes.select("patient_id").distinct(), "patient_id", "left_semi")), batch_id)
+        publish(published(after.filter(F.col("batch") == batch_id)), batch_id)
         for d in (changes, records, notes):
             d.unpersist()
 
