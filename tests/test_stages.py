@@ -53,3 +53,18 @@ def test_split_moves_only_keys(spark):
     plain = rows.filter("c IS NOT NULL").withColumn("split", F.when(
         F.row_number().over(w) <= F.ceil(F.count("*").over(n) * 0.2), "test").otherwise("train"))
     assert out.exceptAll(plain).count() == 0 and out.count() == plain.count()
+
+
+def test_flat_feedback_stores_only_the_decisions_it_shows(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(Q, "stage", lambda spark, inputs, label, columns, make: (
+        stored.append((label, list(columns))), make().select(*columns))[1])
+    flat = Q.flat_table(spark, SF001)
+    assert len(flat.columns) == 99 and [label for label, _ in stored] == ["decisions"]
+    assert not {"probabilities", "rail_note", "conf_note", "p1"} & set(stored[0][1])
+
+
+def test_rule_layers_run_as_methods_that_the_jvm_compiles(spark):
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    Q.QUERIES["decisions"](spark, SF001)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
