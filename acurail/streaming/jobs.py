@@ -100,6 +100,15 @@ def decode(raw: DataFrame, schema: T.StructType = INPUT_SCHEMA, need_time: bool
                                              for f in schema.fields]).alias("r"), reason.alias("reason"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` behind a generator: a filter on its columns stays above it.
+
+    A filter on ``reason`` of a decoded stream is else pushed below the projections and takes the decoder with it,
+    once for every reference to a field of the record. Stored or persisted frames need no such thing.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def decode_notes(raw: DataFrame) -> DataFrame:
     """(value, r, reason) of explanation messages; those without patient, time or explanation have a reason."""
     parsed = raw.select("value", F.from_json("value", ENRICHMENT_SCHEMA).alias("r"))

@@ -260,7 +260,7 @@ def start_recent_job(spark: SparkSession, source: str | DataFrame, out_dir: str,
     Returns the started queries (store, quarantine of bad records).
     """
     raw = jobs.route_by_sentinel(jobs.messages_of(spark, source), note_topic)[0]
-    decoded = jobs.decode(raw, schema, need_time=True)
+    decoded = jobs.settled(jobs.decode(raw, schema, need_time=True))
     good = decoded.filter(F.col("reason").isNull()).select("r.patient_id", "r.produced_at", "value")
 
     def store(events: DataFrame, batch_id: int) -> None:

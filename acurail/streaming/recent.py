@@ -9,6 +9,7 @@ back. The newest ``n`` of all are among the shards' newest ``n`` each.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,6 +30,8 @@ class _Newest(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = {k[0]: v[0] for k, v in self.held.iterator()}  # at most n
+        oldest = [(t, p) for p, t in held.items()]  # only the oldest ever leaves, so the heap is exact
+        heapq.heapify(oldest)
         changed: set[str] = set()
         for batch in rows:
             out = []
@@ -37,15 +40,16 @@ class _Newest(StatefulProcessor):
                 pushed = pushed_at = None
                 if patient in held:
                     outcome = "repeat"
-                elif len(held) >= self.n and (at, patient) < min((t, p) for p, t in held.items()):
+                elif len(held) >= self.n and (at, patient) < oldest[0]:
                     outcome = "late"
                 else:
                     outcome = "kept"
                     if len(held) >= self.n:
-                        pushed = min(held, key=lambda p: (held[p], p))
-                        pushed_at = held.pop(pushed)
+                        pushed_at, pushed = heapq.heappop(oldest)
+                        del held[pushed]
                         changed.add(pushed)
                     held[patient] = at
+                    heapq.heappush(oldest, (at, patient))
                     changed.add(patient)
                 out.append((outcome, patient, at, pushed, pushed_at, value))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")])

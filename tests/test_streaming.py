@@ -253,6 +253,61 @@ def test_recent_store_is_bounded_and_keeps_what_is_late(spark):
     assert "old" in late
 
 
+def test_recent_job_decodes_a_line_once(spark):
+    root = tempfile.mkdtemp(prefix="acurail-recent-")
+    _put(root, "a.json", [{"patient_id": "P1", "produced_at": 1.0}, {"patient_id": "P2", "age": 2.0}])
+    for q in live.start_recent_job(spark, os.path.join(root, "in"), os.path.join(root, "out"), os.path.join(root, "chk")):
+        q.awaitTermination()
+        plan = q._jsq.explainInternal(False)
+        assert 1 <= plan.count("from_json(") <= 3, plan.count("from_json(")  # the record, and the text map of a broken line
+
+
+def test_newest_pushes_out_the_oldest_as_a_full_search_does():
+    import random
+
+    import pandas as pd
+
+    from acurail.streaming.recent import _Newest
+
+    class Held(dict):
+        def iterator(self):
+            return iter([((k,), (v,)) for k, v in self.items()])
+
+        def updateValue(self, k, v):
+            self[k[0]] = v[0]
+
+        def containsKey(self, k):
+            return k[0] in self
+
+        def removeKey(self, k):
+            del self[k[0]]
+
+    rnd, n = random.Random(7), 5
+    job, known = _Newest(n), {}
+    job.held = Held()
+    for _ in range(40):
+        rows = sorted((rnd.randrange(60) / 2, f"P{rnd.randrange(25)}") for _ in range(rnd.randrange(1, 12)))
+        got = pd.concat(job.handleInputRows(("0",), iter([pd.DataFrame(
+            [(p, t, "v") for t, p in rows], columns=["patient_id", "produced_at", "value"])]), None))
+        want = []
+        for t, p in rows:
+            out = (None, None)
+            if p in known:
+                kind = "repeat"
+            elif len(known) >= n and (t, p) < min((at, q) for q, at in known.items()):
+                kind = "late"
+            else:
+                kind = "kept"
+                if len(known) >= n:
+                    q = min(known, key=lambda q: (known[q], q))
+                    out = (q, known.pop(q))
+                known[p] = t
+            want.append((kind, p, t, *out))
+        have = got.astype(object).where(got.notna(), None)
+        assert list(have[["outcome", "patient_id", "produced_at", "pushed_out", "pushed_at"]].itertuples(index=False, name=None)) == want
+        assert dict(job.held) == known
+
+
 def test_jobs_take_streams_with_topics(spark):
     root = tempfile.mkdtemp(prefix="acurail-topics-")
     known = _known(spark, 5)
