@@ -233,11 +233,10 @@ def decision_sink(out_dir: str, with_messages: bool = True, kafka: dict[str, str
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         received = time.time()
-        batch = batch.persist()
+        batch = batch.drop("probabilities").persist()  # no output has the map
         rec = layers.decision_record(batch)
         publish(rec.select(F.col("patient_id").alias("key"), F.to_json(F.struct("*")).alias("value")), batch_id)
-        _write_batch(batch.select(*[c for c in batch.columns if c != "probabilities"]),
-                     os.path.join(out_dir, "decision_table"), batch_id)
+        _write_batch(batch, os.path.join(out_dir, "decision_table"), batch_id)
         if with_messages and "produced_at" in batch.columns:
             _write_batch(metrics.message_rows(stamped(batch, received, time.time())),
                          os.path.join(out_dir, "messages"), batch_id)

@@ -308,6 +308,15 @@ def test_newest_pushes_out_the_oldest_as_a_full_search_does():
         assert dict(job.held) == known
 
 
+def test_decision_sink_keeps_no_column_that_it_does_not_write(spark, monkeypatch):
+    kept = []
+    real = type(spark.range(1)).persist
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda self, *a: (kept.append(self.columns), real(self, *a))[1])
+    d = jobs.decide_stream(Q.stream_records(spark, SF001).limit(20))
+    jobs.decision_sink(tempfile.mkdtemp(prefix="acurail-sink-"))(d, 0)
+    assert kept and all("probabilities" not in columns for columns in kept)
+
+
 def test_jobs_take_streams_with_topics(spark):
     root = tempfile.mkdtemp(prefix="acurail-topics-")
     known = _known(spark, 5)
