@@ -119,3 +119,17 @@ def test_folding_of_all_scripts(spark):
     want = [re.findall("[a-zA-Z]{2,}", "".join(c for c in unicodedata.normalize("NFKD", t.lower())
                                                if not unicodedata.combining(c))) for t in texts]
     assert [r["t"] for r in df.select(tokens().alias("t")).collect()] == want
+
+
+def test_registered_candidates_are_fitted_on_all_training_rows(spark, tmp_path, monkeypatch):
+    """More training rows than the bound of 2,000 that boosted trees once had; few rounds keep the test fast."""
+    spark.range(3_000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.col("id") % 97).alias("user_id"),
+        F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props")).coalesce(1).write.parquet(
+        str(tmp_path / "events.parquet"))
+    usual = training.estimators
+    monkeypatch.setattr(training, "estimators", lambda n, *_: usual(n, rf_trees=3, gbt_rounds=2))
+    rows = Q.split_training(spark, str(tmp_path)).filter("split = 'train'").count()
+    assert rows > 2_000
+    table = Q.trained(spark, str(tmp_path), ("Random Forest", "Boosted Trees"))[1].collect()
+    assert {r["model"]: r["n_train"] for r in table} == {"Random Forest": rows, "Boosted Trees": rows}
