@@ -10,6 +10,9 @@ without duplicating rows (J9).
 from __future__ import annotations
 
 import os
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ from pyspark.sql import types as T
 
 from acurail.constants import HISTORY_COLS
 from acurail.operators import feedback, layers, metrics
+from acurail.session import delete_folder, ensure_checkpoint_dir
 
 INPUT_SCHEMA = T.StructType(
     [T.StructField("patient_id", T.StringType()), T.StructField("timestamp", T.StringType()),
@@ -197,6 +201,27 @@ def run_counters(decisions: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- sinks
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` stored as Parquet while a micro-batch uses it several times.
+
+    A cached frame builds columns of thousands of wide records at a time in an executor's memory; stored rows pass
+    through one by one, whatever the batch's size.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/acurail-batch-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        delete_folder(spark, path)
+
+
+def without_sound_text(decoded: DataFrame) -> DataFrame:
+    """``decoded`` with the texts of the records that are set aside only."""
+    return decoded.withColumn("value", F.when(F.col("reason").isNotNull(), F.col("value")))
+
+
 def _write_batch(df: DataFrame, path: str, batch_id: int, fmt: str = "parquet") -> None:
     """Idempotent per batch: each batch id owns one directory and is overwritten on replay. JSON is compressed."""
     writer = df.write.mode("overwrite").format(fmt)
@@ -225,7 +250,8 @@ def decision_sink(out_dir: str, with_messages: bool = True, kafka: dict[str, str
     Stage timestamps that the records do not carry are stamped per micro-batch:
     received when the batch starts, done once the decision outputs are written
     (scoring and the three layers run as one fused plan, so they share the
-    completion time). Timestamps already present in the input win.
+    completion time). Timestamps already present in the input win. The decision
+    table is written first; the other outputs are read off it.
     """
     import time
 
@@ -233,14 +259,14 @@ def decision_sink(out_dir: str, with_messages: bool = True, kafka: dict[str, str
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         received = time.time()
-        batch = batch.drop("probabilities").persist()  # no output has the map
+        batch, table = batch.drop("probabilities"), os.path.join(out_dir, "decision_table")  # no output has the map
+        _write_batch(batch, table, batch_id)
+        batch = batch.sparkSession.read.schema(batch.schema).parquet(os.path.join(table, f"batch_id={batch_id}"))
         rec = layers.decision_record(batch)
         publish(rec.select(F.col("patient_id").alias("key"), F.to_json(F.struct("*")).alias("value")), batch_id)
-        _write_batch(batch, os.path.join(out_dir, "decision_table"), batch_id)
         if with_messages and "produced_at" in batch.columns:
             _write_batch(metrics.message_rows(stamped(batch, received, time.time())),
                          os.path.join(out_dir, "messages"), batch_id)
-        batch.unpersist()
     return sink
 
 
@@ -300,11 +326,10 @@ def start_decision_job(spark: SparkSession, source: str | DataFrame, out_dir: st
 
     def sink(raw: DataFrame, batch_id: int) -> None:
         records, notes = route_by_sentinel(raw, note_topic)
-        decoded = decode(records, schema).persist()
-        _write_batch(set_aside(decoded), os.path.join(out_dir, "quarantine"), batch_id)
-        _write_batch(notes.select("value"), os.path.join(out_dir, "notes"), batch_id)
-        decide(decide_stream(sound(decoded), model=model), batch_id)
-        decoded.unpersist()
+        with kept(without_sound_text(decode(records, schema))) as decoded:
+            _write_batch(set_aside(decoded), os.path.join(out_dir, "quarantine"), batch_id)
+            _write_batch(notes.select("value"), os.path.join(out_dir, "notes"), batch_id)
+            decide(decide_stream(sound(decoded), model=model), batch_id)
 
     return (started(messages_of(spark, source), sink, checkpoint, "decisions", available_now, processing_time),)
 
