@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import time
+from contextlib import ExitStack
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,22 +75,27 @@ def start_merged_job(spark: SparkSession, source: str | DataFrame, out_dir: str,
     publish = jobs.publisher(out_dir, "published", kafka)
 
     def sink(raw: DataFrame, batch_id: int) -> None:
-        records, notes = _decoded(raw, record_schema, note_topic)
-        _quarantine(out_dir, batch_id, records, notes)
-        made = layers.decision_record(jobs.decide_stream(jobs.sound(records)), keep=("produced_at",)).select(
-            "patient_id", "produced_at", F.to_json(F.struct("*")).alias("record"))
-        told = jobs.sound(notes).select("patient_id", "explained_at", "enrichment_requested_at",
-                                        F.to_json("llm_explanation").alias("note"))
-        changes = made.unionByName(told, allowMissingColumns=True).withColumn(
-            "batch", F.lit(batch_id).cast("long")).persist()
-        _, after = merged_table(spark, out_dir).merge(batch_id, changes, _fold_merged)
-        publish(published(after.filter(F.col("batch") == batch_id)), batch_id)
-        for d in (changes, records, notes):
-            d.unpersist()
+        lines, told_lines = jobs.route_by_sentinel(raw, note_topic)
+        decoded = jobs.decode(lines, record_schema, need_time=True), jobs.decode_notes(told_lines)
+        with ExitStack() as stack:
+            records, notes = (stack.enter_context(jobs.kept(jobs.without_sound_text(d))) for d in decoded)
+            _quarantine(out_dir, batch_id, records, notes)
+            changes = stack.enter_context(jobs.kept(merged_changes(records, notes, batch_id)))
+            _, after = merged_table(spark, out_dir).merge(batch_id, changes, _fold_merged)
+            publish(published(after.filter(F.col("batch") == batch_id)), batch_id)
 
     return (jobs.started(jobs.messages_of(spark, source), sink, checkpoint, "merged", available_now),)
 
 
+def merged_changes(records: DataFrame, notes: DataFrame, batch_id: int) -> DataFrame:
+    """What a batch's decoded records and explanations tell of their patients, in the columns of the merged table."""
+    made = layers.decision_record(jobs.decide_stream(jobs.sound(records)), keep=("produced_at",)).select(
+        "patient_id", "produced_at", F.to_json(F.struct("*")).alias("record"))
+    told = jobs.sound(notes).select("patient_id", "explained_at", "enrichment_requested_at",
+                                    F.to_json("llm_explanation").alias("note"))
+    return made.unionByName(told, allowMissingColumns=True).withColumn("batch", F.lit(batch_id).cast("long"))
+
+
 def unmatched_notes(spark: SparkSession, out_dir: str) -> DataFrame:
     """Explanations that wait for their record."""
     return merged_table(spark, out_dir).current().filter(F.col("record").isNull()).select(

@@ -489,3 +489,32 @@ def test_a_merge_moves_the_table_once_and_publishing_reads_no_other_key(spark):
         type(spark.range(1)).hint = real
     assert "rebalance" not in hints and len(plans) == 2
     assert sorted(seen.current().collect(), key=str) == sorted([("a", 2), (None, 4)], key=str)
+
+
+def test_batches_are_stored_not_held_in_memory(spark, tmp_path, monkeypatch):
+    """Decision and merged job cache nothing, set bad lines aside with their text and leave no folder behind."""
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+    held = []
+    monkeypatch.setattr(Frame, "persist", lambda self, *a: held.append(self) or self)
+    monkeypatch.setattr(Frame, "cache", lambda self: held.append(self) or self)
+    src = tmp_path / "in"
+    src.mkdir()
+    good = [json.dumps({"patient_id": f"P{i}", "produced_at": 10.0 + i, "run_id": "r", "true_acuity": 3, "heart_rate": 80.0 + i,
+                        "p1": 0.1, "p2": 0.2, "p3": 0.4, "p4": 0.2, "p5": 0.1}) for i in range(9)]
+    note = json.dumps({"patient_id": "P4", "enrichment": True, "explained_at": 50.0, "llm_explanation": {"is_ready": True}})
+    bad = '{"patient_id": "PX", "produced_at": 1.0, "heart_rate": "fast"}'
+    (src / "a.txt").write_text("\n".join([*good, note, bad]))
+    for name, start in (("decided", jobs.start_decision_job), ("merged", live.start_merged_job)):
+        out = str(tmp_path / name)
+        for q in start(spark, str(src), out, str(tmp_path / f"{name}-chk")):
+            q.awaitTermination()
+        aside = spark.read.parquet(os.path.join(out, "quarantine")).collect()
+        assert [(r["raw_value"], r["reason"]) for r in aside] == [(bad, "damaged field: heart_rate")]
+    table = spark.read.parquet(str(tmp_path / "decided" / "decision_table")).collect()
+    assert sorted(r["patient_id"] for r in table) == [f"P{i}" for i in range(9)]
+    sent = spark.read.json(str(tmp_path / "decided" / "decisions")).collect()
+    assert sorted(r["key"] for r in sent) == [f"P{i}" for i in range(9)]
+    merged = {r["patient_id"]: r["note"] for r in live.merged_table(spark, str(tmp_path / "merged")).current().collect()}
+    assert len(merged) == 9 and [k for k, v in merged.items() if v] == ["P4"]
+    assert not held
+    assert not [n for n in os.listdir(spark.conf.get("spark.checkpoint.dir")) if n.startswith("acurail-batch")]
