@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -265,8 +266,10 @@ def decision_sink(out_dir: str, with_messages: bool = True, kafka: dict[str, str
         rec = layers.decision_record(batch)
         publish(rec.select(F.col("patient_id").alias("key"), F.to_json(F.struct("*")).alias("value")), batch_id)
         if with_messages and "produced_at" in batch.columns:
-            _write_batch(metrics.message_rows(stamped(batch, received, time.time())),
-                         os.path.join(out_dir, "messages"), batch_id)
+            # Narrow rows of times and numbers, kept on disk; the wide decisions are not cached.
+            rows = metrics.message_rows(stamped(batch, received, time.time())).persist(StorageLevel.DISK_ONLY)
+            _write_batch(rows, os.path.join(out_dir, "messages"), batch_id)
+            rows.unpersist()
     return sink
 
 
